@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from foliant.llm.bpe import op1_bpe
 from foliant.llm.quality import op5_quality_rules
+from foliant.llm.secrets import op10_secret_scans
+from foliant.llm.simhash import op7_simhash
 
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op5_quality_rules": op5_quality_rules,
+    "op7_simhash": op7_simhash,
+    "op10_secret_scans": op10_secret_scans,
 }
 
 ORACLE = {
