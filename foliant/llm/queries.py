@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from foliant.llm.bpe import op1_bpe
+from foliant.llm.langid import op3_language_id
 from foliant.llm.quality import op5_quality_rules
 from foliant.llm.secrets import op10_secret_scans
 from foliant.llm.simhash import op7_simhash
+from foliant.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op7_simhash": op7_simhash,
     "op10_secret_scans": op10_secret_scans,
