@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foliant.llm.bpe import op1_bpe
+from foliant.llm.decontaminate import op2_decontamination
 from foliant.llm.langid import op3_language_id
 from foliant.llm.quality import op5_quality_rules
 from foliant.llm.secrets import op10_secret_scans
@@ -11,6 +12,7 @@ from foliant.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
@@ -18,7 +20,25 @@ QUERIES = {
     "op10_secret_scans": op10_secret_scans,
 }
 
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLE = {
+    "op2_decontamination": f"""
+with i as (select item_id, {WORDS} as ws from benchmark),
+win as (select distinct item_id, array_to_string(ws[s:s + 12], ' ') as win, least(len(ws), 13) as n
+        from (select item_id, ws, unnest(range(1, greatest(len(ws) - 11, 2))) as s from i where len(ws) > 0)),
+d as (select doc_id, {WORDS} as ws from documents),
+sizes as (select distinct n from win),
+p as (select doc_id, n, unnest(range(1, len(ws) - n + 2)) as s, ws from d cross join sizes where len(ws) >= n),
+occ as (select doc_id, s, win.n, item_id from p join win on win.n = p.n and win.win = array_to_string(ws[s:s + p.n - 1], ' ')),
+hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(s, s + n)) as q from occ) group by doc_id),
+it as (select doc_id, count(distinct item_id) as n_items,
+              array_to_string(list_sort(list(distinct cast(item_id as varchar))), ',') as items from occ group by doc_id)
+select doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
+from d left join hit using (doc_id) left join it using (doc_id)
+""",
     "op5_quality_rules": r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as ws from d),
