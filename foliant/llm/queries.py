@@ -5,6 +5,7 @@ from __future__ import annotations
 from foliant.llm.bpe import op1_bpe
 from foliant.llm.decontaminate import op2_decontamination
 from foliant.llm.langid import op3_language_id
+from foliant.llm.licenses import op9_license_scans
 from foliant.llm.quality import op5_quality_rules
 from foliant.llm.secrets import op10_secret_scans
 from foliant.llm.simhash import op7_simhash
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op7_simhash": op7_simhash,
+    "op9_license_scans": op9_license_scans,
     "op10_secret_scans": op10_secret_scans,
 }
 
