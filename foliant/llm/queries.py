@@ -8,6 +8,7 @@ from foliant.llm.langid import op3_language_id
 from foliant.llm.licenses import op9_license_scans
 from foliant.llm.quality import op5_quality_rules
 from foliant.llm.secrets import op10_secret_scans
+from foliant.llm.shards import op6_sharding
 from foliant.llm.simhash import op7_simhash
 from foliant.llm.toxicity import op4_toxicity
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
     "op9_license_scans": op9_license_scans,
     "op10_secret_scans": op10_secret_scans,
