@@ -10,6 +10,7 @@ from foliant.llm.quality import op5_quality_rules
 from foliant.llm.secrets import op10_secret_scans
 from foliant.llm.shards import op6_sharding
 from foliant.llm.simhash import op7_simhash
+from foliant.llm.suffixes import op8_suffix_dedup
 from foliant.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op7_simhash": op7_simhash,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scans": op9_license_scans,
     "op10_secret_scans": op10_secret_scans,
 }
