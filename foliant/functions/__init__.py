@@ -1 +1 @@
-"""functions"""
+"""Scalar functions: text and id cleaning, geometry, similarity."""

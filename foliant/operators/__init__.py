@@ -1 +1 @@
-"""operators"""
+"""Operators over page, region, word and excerpt tables."""
