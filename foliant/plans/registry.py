@@ -509,7 +509,16 @@ def finisher_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run() -> None:
         stream = spark.readStream.schema(MESSAGE).json(f"{where}/in")
         out = closed_pages(stream, latency=1.0).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint")
-        out.trigger(availableNow=True).start().awaitTermination()
+        idle = "spark.sql.streaming.noDataMicroBatches.enabled"  # a timeout asks for batches without end, also when there is nothing to read
+        before = spark.conf.get(idle)
+        spark.conf.set(idle, "false")
+        query = out.trigger(availableNow=True).start()
+        try:
+            if not query.awaitTermination(300):
+                raise TimeoutError("the stream did not end")
+        finally:
+            query.stop()
+            spark.conf.set(idle, before)
 
     for part in (0, 1, 2):
         rows.where(F.col("part") == part).drop("part").write.mode("append").json(f"{where}/in")
