@@ -92,7 +92,7 @@ def image_page_id(path: Column) -> Column:
 
 def ocr_issue_id(path: Column) -> Column:
     """The issue id in an OCR path: its first part that ends in a known suffix, without it; null if there is none."""
-    found = F.regexp_extract(path, r"(?:^|/)([^/]+)[^/]c?hocr\.html(?:\.gz)?(?:/|$)", 1)
+    found = F.regexp_extract(path, r"(?:^|/)([^/]+?)[^/]c?hocr\.html(?:\.gz)?(?:/|$)", 1)
     return F.nullif(found, F.lit(""))
 
 

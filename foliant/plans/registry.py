@@ -160,7 +160,7 @@ def parse_page_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PATHS = "select doc_id, '/data/' || source || '/sim_' || source || '_' || cast(doc_id as string) || case doc_id % 4 when 0 then '_hocr.html' when 1 then '_chocr.html.gz' when 2 then '_hocr.html.gz' else '_djvu.xml' end as path from documents"
 
 
-@answers(f"select doc_id, nullif(regexp_extract(path, '(?:^|/)([^/]+)[^/]c?hocr\\.html(?:\\.gz)?(?:/|$)', 1), '') as issue_id, regexp_extract(path, '([^/.]*)[^/]*$', 1) as page_id from ({_PATHS})")
+@answers(f"select doc_id, nullif(regexp_extract(path, '(?:^|/)([^/]+?)[^/]c?hocr\\.html(?:\\.gz)?(?:/|$)', 1), '') as issue_id, regexp_extract(path, '([^/.]*)[^/]*$', 1) as page_id from ({_PATHS})")
 def ocr_issue_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.query(spark, sf_dir, _PATHS).select("doc_id", tx.ocr_issue_id(F.col("path")).alias("issue_id"), tx.image_page_id(F.col("path")).alias("page_id"))
 

@@ -66,7 +66,7 @@ def training_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 def label_names(spark: SparkSession, path: str) -> DataFrame:
     """label (from 1) and name, one name a line."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")).alias("n", "name"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.transform(F.split("value", "\n"), F.trim), lambda x: x != "")).alias("n", "name"))
     return lines.select((F.col("n") + 1).alias("label"), "name")
 
 
