@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from foliant.llm.base import cut, drop_cut, table
 
 #: Histogram bins of a pass, over all nodes of a level.
-BINS = 65_536
+BINS = 16_384
 #: Parts of a shard's bytes by which a cut may miss the median; and up to which a group is kept whole.
 MISS, WHOLE_GROUP = 0.0005, 0.01
 #: Rows that are ranked together to number slots.
@@ -83,21 +83,23 @@ def _medians(rows: DataFrame, shares: list[float], dims: list[int], miss: float,
         got = seen.groupBy("node", "bin").agg(F.sum("size").alias("w"), F.count("*").alias("n"), F.min("g").alias("g0"), F.max("g").alias("g1")).collect()
         by: dict[int, list] = {}
         for x in got:
-            by.setdefault(x["node"], []).append(x)
+            by.setdefault(x["node"], []).append(tuple(x)[1:])
         for i, s in enumerate(state):
             if not live[i]:
                 continue
             before = s["before"]
-            for x in sorted(by[i], key=lambda x: x["bin"]):
-                if before + x["w"] >= s["want"] or x["bin"] == max(y["bin"] for y in by[i]):
+            for number, weight, rows_in, least, most in sorted(by[i]):
+                if before + weight >= s["want"]:
                     break
-                before += x["w"]
-            lo = s["lo"] + x["bin"] * s["width"]
+                before += weight
+            else:  # the share is reached by the last bin alone, if at all
+                before -= weight
+            lo = s["lo"] + number * s["width"]
             hi = min(s["hi"], lo + s["width"] - 1)
-            done = x["w"] <= miss or x["n"] == 1 or x["g0"] == x["g1"] and x["w"] <= whole
+            done = weight <= miss or rows_in == 1 or least == most and weight <= whole
             exact = lo == hi
             if done or exact and s["part"] == 2:
-                after = s["want"] - before > x["w"] / 2  # the nearer side of the bin
+                after = s["want"] - before > weight / 2  # the nearer side of the bin
                 s["at"] = (*s["fixed"], lo if not after else hi + 1)
             elif exact:
                 s |= {"fixed": [*s["fixed"], lo], "part": s["part"] + 1, "lo": 0, "hi": (1 << 62) - 1, "before": before}
