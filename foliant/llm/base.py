@@ -120,6 +120,15 @@ def word_count(normal):
     return F.when(normal == "", F.lit(0)).otherwise(F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+#: A word in a text as it stands, before A-Z is lower-cased.
+WORD = "[0-9A-Za-z\\x80-\\x{10FFFF}]+"
+
+
+def count_words(text):
+    """Words of a text, without making the text that normal_words() gives; 0 if null."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+
+
 def fold(column, mod: int):
     """crc32 of the id as text, modulo mod; null ids count as the empty text."""
     return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary")) % mod

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.base import cut, normal_words, table, word_count
+from foliant.llm.base import count_words, cut, normal_words, table
 
 #: Phrase -> label, as the contract fixes them.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -28,11 +28,11 @@ BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by"
 GATES = ("licen", "spdx", "copyright", "public domain", "creative commons", "cc by", "cc0", "gpl", "wtfpl", "all rights reserved")
 
 LIC = "licen[cs]e"
-#: label, keyword that every match of the name holds, name in running text, name after "under the", versions.
+#: label, keywords of which every match of the name holds one, name in running text, name after "under the", versions.
 FAMILIES = [
-    ("gpl", "g", f"(?:gnu )?(?:general public {LIC}|gpl)", None, ("1.0", "2.0", "3.0")),
-    ("lgpl", "l", f"(?:gnu )?(?:(?:lesser|library) general public {LIC}|lgpl)", None, ("2.0", "2.1", "3.0")),
-    ("agpl", "a", f"(?:gnu )?(?:affero general public {LIC}|agpl)", None, ("1.0", "3.0")),
+    ("gpl", "gpl|general public", f"(?:gnu )?(?:general public {LIC}|gpl)", None, ("1.0", "2.0", "3.0")),
+    ("lgpl", "lgpl|lesser general|library general", f"(?:gnu )?(?:(?:lesser|library) general public {LIC}|lgpl)", None, ("2.0", "2.1", "3.0")),
+    ("agpl", "agpl|affero", f"(?:gnu )?(?:affero general public {LIC}|agpl)", None, ("1.0", "3.0")),
     ("gfdl", "free documentation", f"(?:gnu )?free documentation {LIC}", None, ("1.1", "1.2", "1.3")),
     ("apache", "apache", f"apache(?: software)? {LIC}", f"apache(?: software)?(?: {LIC})?", ("1.0", "1.1", "2.0")),
     ("mit", "mit", f"(?:mit|expat) {LIC}", f"(?:mit|expat)(?: {LIC})?", ()),
@@ -44,13 +44,13 @@ FAMILIES = [
     ("bsd-3-clause", "bsd", f"(?:3|three) clause bsd(?: {LIC})?|(?:new|modified|revised) bsd {LIC}|bsd (?:3|three) clause(?: {LIC})?", None, ()),
     ("bsd-4-clause", "bsd", f"(?:4|four) clause bsd(?: {LIC})?|(?:original|old) bsd {LIC}|bsd (?:4|four) clause(?: {LIC})?", None, ()),
     ("isc", "isc", f"isc {LIC}", f"isc(?: {LIC})?", ()),
-    ("mpl", "m", f"mozilla public {LIC}|mpl", None, ("1.0", "1.1", "2.0")),
-    ("epl", "e", f"eclipse public {LIC}|epl", None, ("1.0", "2.0")),
+    ("mpl", "mpl|mozilla", f"mozilla public {LIC}|mpl", None, ("1.0", "1.1", "2.0")),
+    ("epl", "epl|eclipse", f"eclipse public {LIC}|epl", None, ("1.0", "2.0")),
     ("edl", "eclipse", f"eclipse distribution {LIC}", None, ("1.0",)),
-    ("cddl", "c", f"common development and distribution {LIC}|cddl", None, ("1.0", "1.1")),
+    ("cddl", "cddl|common development", f"common development and distribution {LIC}|cddl", None, ("1.0", "1.1")),
     ("cpl", "common public", f"common public {LIC}", None, ("1.0",)),
     ("cpal", "common public", f"common public attribution {LIC}", None, ("1.0",)),
-    ("eupl", "e", f"european union public {LIC}|eupl", None, ("1.0", "1.1", "1.2")),
+    ("eupl", "eupl|european union", f"european union public {LIC}|eupl", None, ("1.0", "1.1", "1.2")),
     ("artistic", "artistic", f"artistic {LIC}", None, ("1.0", "2.0")),
     ("zlib", "zlib", f"zlib(?: libpng)? {LIC}", f"zlib(?: {LIC})?", ()),
     ("libpng", "libpng", f"libpng {LIC}", None, ("2.0",)),
@@ -60,13 +60,13 @@ FAMILIES = [
     ("elastic", "elastic", f"elastic {LIC}", None, ("2.0",)),
     ("unlicense", "unlicen", f"the unlicen[cs]e", "unlicen[cs]e", ()),
     ("wtfpl", "wtfpl", "wtfpl", None, ("2.0",)),
-    ("cc0", "c", f"cc0|creative commons zero(?: {LIC})?", None, ("1.0",)),
-    ("cc-by", "c", f"cc by|creative commons attribution(?: (?:unported|international))?(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-sa", "sa|share", f"cc by sa|creative commons attribution share ?alike(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc", "nc|non", f"cc by nc|creative commons attribution non ?commercial(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nd", "nd|no", f"cc by nd|creative commons attribution no ?deriv(?:ative)?s?(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-sa", "nc|non", f"cc by nc sa|creative commons attribution non ?commercial share ?alike(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
-    ("cc-by-nc-nd", "nc|non", f"cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc0", "cc0|creative commons", f"cc0|creative commons zero(?: {LIC})?", None, ("1.0",)),
+    ("cc-by", "cc by|creative commons", f"cc by|creative commons attribution(?: (?:unported|international))?(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-sa", "cc by sa|creative commons", f"cc by sa|creative commons attribution share ?alike(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc", "cc by nc|creative commons", f"cc by nc|creative commons attribution non ?commercial(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nd", "cc by nd|creative commons", f"cc by nd|creative commons attribution no ?deriv(?:ative)?s?(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-sa", "cc by nc sa|creative commons", f"cc by nc sa|creative commons attribution non ?commercial share ?alike(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
+    ("cc-by-nc-nd", "cc by nc nd|creative commons", f"cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: {LIC})?", None, ("1.0", "2.0", "2.5", "3.0", "4.0")),
     ("ofl", "open font", f"(?:sil )?open font {LIC}", None, ("1.0", "1.1")),
     ("odbl", "open database", f"open database {LIC}", None, ("1.0",)),
     ("odc-by", "open data", f"open data commons attribution {LIC}", None, ("1.0",)),
@@ -145,13 +145,12 @@ def detections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own:
     own = rules() if own is None else own
     table = F.from_json(F.lit(json.dumps(own)), "array<struct<rule:int,label:string,keywords:array<string>,priority:int,base:boolean,pattern:string>>")
     base = docs.select(docs[f"`{doc_id}`"].alias("k1"), F.xxhash64(docs[f"`{text}`"]).alias("k2"), normal_words(docs[f"`{text}`"]).alias("normal"))
-    gate = F.lit(False)
-    for g in GATES:
-        gate = gate | F.contains("normal", F.lit(g))
-    gated = cut(base.where(gate).distinct(), "gated")
+    # one expression, so that the words are made once for it
+    gated = cut(base.where(F.rlike("normal", F.lit("|".join(map(re.escape, GATES)).replace("\\ ", " ")))).distinct(), "gated")
+    words = F.array(*[F.lit(k) for k in sorted({k for r in own for k in r["keywords"]})])
+    gated = gated.withColumn("present", F.filter(words, lambda k: F.contains(F.col("normal"), k)))
     return (
-        gated.select("k1", "k2", "normal", F.explode(table).alias("r"))
-        .where(F.exists("r.keywords", lambda k: F.contains(F.col("normal"), k)))
+        gated.select("k1", "k2", "normal", F.explode(F.filter(table, lambda r: F.arrays_overlap(r["keywords"], F.col("present")))).alias("r"))
         .where(F.rlike("normal", F.col("r.pattern")))
         .select(
             "k1", "k2", "r",
@@ -198,7 +197,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own: list[
     per_doc = more.join(base, same, "left").select(more.k1, more.k2, "labels", "score", "n_base", "first_word", "last_word", "base_labels")
     per_doc = cut(per_doc, "licenses")
 
-    whole = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.xxhash64(docs[f"`{text}`"]).alias("h"), word_count(normal_words(docs[f"`{text}`"])).alias("n_words"))
+    whole = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.xxhash64(docs[f"`{text}`"]).alias("h"), count_words(docs[f"`{text}`"]).alias("n_words"))
     out = whole.join(per_doc, whole.doc_id.eqNullSafe(per_doc.k1) & (whole.h == per_doc.k2), "left")
     none = F.array().cast("array<string>")
     basic, every = F.coalesce("base_labels", none), F.coalesce("labels", none)
