@@ -74,7 +74,7 @@ def train_language(words: Counter) -> dict:
     weight = np.fromiter(words.values(), np.int64, len(names))
     codes, lengths = _codes(names)
     places, weights = _places(lengths), np.repeat(weight, lengths)
-    alphabet = len(np.unique(codes[places])) + 1
+    alphabet = len(np.unique(codes[places])) + 1  # and one for all unknown characters
     grams: dict[int, tuple] = {}
     for k in range(ORDER, 0, -1):
         h = _hashes(codes, k)[places - k + 1]
@@ -87,7 +87,7 @@ def train_language(words: Counter) -> dict:
         context = _hashes(codes, k - 1)[places - k + 1][first] if k > 1 else np.zeros(len(keys), np.uint64)
         shorter = _hashes(codes, k - 1)[places - k + 2][first] if k > 1 else None
         grams[k] = keys, count, context, shorter
-    out: dict = {"floor": 1.0 / (alphabet + 1)}
+    out: dict = {"floor": 1.0 / alphabet}
     below = None
     for k in range(1, ORDER + 1):
         keys, count, context, shorter = grams[k]
@@ -109,7 +109,7 @@ class LanguageModels:
         own = [models[x] for x in self.languages]
         self.floor = np.array([m["floor"] for m in own])
         self.tables = []
-        for k in range(1, ORDER + 1):
+        for k in range(1, ORDER + 1) if own else ():
             keys = np.unique(np.concatenate([m[k][0] for m in own]))
             p = np.full((len(keys), len(own)), np.nan)
             ctx = np.unique(np.concatenate([m[k][2] for m in own]))
