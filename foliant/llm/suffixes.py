@@ -34,8 +34,6 @@ BLOCK = 1 << 20
 HOT = 50_000
 #: Bytes of pieces that a task sorts at a time; whole anchors stay together.
 SORTED_BYTES = 16 << 20
-#: Pieces to be fetched up to which they are broadcast to the texts; beyond, both are shuffled.
-BROADCAST_ROWS = 400_000
 
 _U = np.uint64
 
@@ -277,8 +275,6 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     # the bytes of one of each of the different pieces that share an anchor
     wanted = F.struct("anchor", "d1", "d2", "offset", "kinds", "start", "size")
     by_text = sought.groupBy("k1", "k2").agg(F.collect_list(wanted).alias("wanted"))
-    if sought.count() <= BROADCAST_ROWS:
-        by_text = F.broadcast(by_text)
     same = keyed["k1"].eqNullSafe(by_text["k1"]) & (keyed["k2"] == by_text["k2"])
     strings = keyed.join(by_text, same).select("text", F.explode("wanted").alias("w"))
     strings = strings.select("w.anchor", "w.d1", "w.d2", "w.offset", F.expr("substring(cast(text as binary), w.start + 1, w.size)").alias("raw"), "w.kinds")
