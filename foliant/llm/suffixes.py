@@ -29,11 +29,11 @@ from foliant.llm.base import annotate, cut, field, table
 LENGTH = 400
 GRAM = 64
 #: Windows of a text that are hashed at a time.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Different pieces of one anchor that one task sorts; beyond, their windows are counted by digest.
 HOT = 50_000
 #: Bytes of pieces that a task sorts at a time; whole anchors stay together.
-SORTED_BYTES = 16 << 20
+SORTED_BYTES = 4 << 20
 
 _U = np.uint64
 
@@ -188,13 +188,10 @@ def repeated_windows(group: np.ndarray, strings: list[bytes], offset: np.ndarray
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     low = reach - offset  # columns: the anchor stands at column `reach` of all strings
     high = low + sizes
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    cells = np.full((len(strings), 2 * reach + gram), -1, np.int16)
-    begin = np.cumsum(sizes) - sizes
-    row = np.repeat(np.arange(len(strings)), sizes)
-    cells[row, np.arange(len(flat)) - np.repeat(begin - low, sizes)] = flat
+    columns = np.full((2 * reach + gram, len(strings)), -1, np.int16)
+    for i, (s, a) in enumerate(zip(strings, low.tolist(), strict=True)):
+        columns[a : a + len(s), i] = np.frombuffer(s, np.uint8)
     out = np.zeros((len(strings), reach + 1), bool)
-    columns = np.ascontiguousarray(cells.T)
     sort = ColumnSort(group)
     for c in range(2 * reach + gram - 1, -1, -1):
         sort.insert(columns[c].astype(np.int64))
