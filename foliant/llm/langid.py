@@ -31,7 +31,7 @@ DISCOUNT = 0.75
 #: Rows of each language that are learned from, whole, at most: those with the least hash of their id.
 TRAIN_ROWS = 400
 #: Words that a worker keeps the scores of; beyond that it starts afresh, which costs time and no result.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 #: Rejected: a cross-entropy (nats a character) this far above the mean of a language's held-back texts, at least.
 SLACK = 1.5
 
@@ -170,7 +170,7 @@ class LanguageModels:
         self.learn({w for c in counts for w in c})
         out = []
         for c in counts:
-            if not c:
+            if not any(any(map(str.isalpha, w)) for w in c):  # signs like ² are in words but are no letters
                 out.append((0, None))
                 continue
             at = np.fromiter(map(self.known.__getitem__, c), np.int64, len(c))
@@ -236,14 +236,15 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     return out
 
 
-def identify(docs: DataFrame, models: LanguageModels, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Add lang_pred, score, entropy and rejected."""
+def identify(docs: DataFrame, models: LanguageModels, text: str = "text", carry: list[str] | None = None, prefix: str = "") -> DataFrame:
+    """Add lang_pred, score, entropy and rejected, with a prefix to their names if given."""
     shared = docs.sparkSession.sparkContext.broadcast(models)  # bounded by TRAIN_ROWS of each language
 
     def make():
         return lambda texts: shared.value.predict(texts)
 
-    fields = [field("lang_pred", "string"), field("score", "double"), field("entropy", "double"), field("rejected", "boolean")]
+    kinds = {"lang_pred": "string", "score": "double", "entropy": "double", "rejected": "boolean"}
+    fields = [field(prefix + name, kind) for name, kind in kinds.items()]
     return annotate(docs, make, fields, text, carry)
 
 

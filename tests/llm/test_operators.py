@@ -159,8 +159,8 @@ def test_languages_are_told_apart(spark):
     rows = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([(t, "en") for t in ENGLISH * 4] + [(t, "de") for t in GERMAN * 4] + [(None, "en"), ("x", None)])]
     models = langid.fit(spark.createDataFrame(rows, DOC))
     assert models.languages == ["de", "en"]
-    got = langid.identify(docs(spark, ["the other thing", "der andere hund", None, "123 !!", ""]), models).collect()
-    assert {r.doc_id: r.lang_pred for r in got} == {0: "en", 1: "de", 2: "und", 3: "und", 4: "und"}
+    got = langid.identify(docs(spark, ["the other thing", "der andere hund", None, "123 !!", "", "½ ² _"]), models).collect()
+    assert {r.doc_id: r.lang_pred for r in got} == {0: "en", 1: "de", 2: "und", 3: "und", 4: "und", 5: "und"}
     assert all(0 <= r.score <= 1 for r in got) and {r.doc_id for r in got if r.rejected} >= {2, 3, 4}
     none = langid.fit(spark.createDataFrame(rows, DOC).where("lang is null"))
     assert {r.lang_pred for r in langid.identify(docs(spark, ["the", None]), none).collect()} == {"und"}
