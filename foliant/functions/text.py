@@ -136,6 +136,21 @@ def pretty() -> Column:
     )
 
 
+def is_type(kind: int, page_type: Column | None = None) -> Column:
+    """Whether a page is of a type: BLANK, ARTICLE, REFS or TOC."""
+    return (F.col("page_type") if page_type is None else page_type) == kind
+
+
+def same_page(a: str, b: str) -> Column:
+    """Whether two excerpts, given as names of struct columns, are of one page: journal, id and number."""
+    each = [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in ("journal_id", "page_id", "page_number")]
+    return each[0] & each[1] & each[2]
+
+
+def same_type(a: str, b: str) -> Column:
+    return F.col(f"{a}.page_type").eqNullSafe(F.col(f"{b}.page_type"))
+
+
 def page_type_of_label(label: Column) -> Column:
     """The type of a page that an annotation with this label makes; null for other labels."""
     return F.when(label.isin(TITLE_LABEL, AUTHORS_LABEL), ARTICLE).when(label == REFS_LABEL, REFS).when(label == TOC_LABEL, TOC)

@@ -19,6 +19,11 @@ def same_categories(tasks: DataFrame, names: list[str] = LABEL_NAMES) -> DataFra
     return tasks.where(have == wanted)
 
 
+def completed(tasks: DataFrame) -> DataFrame:
+    """Tasks whose annotation is finished, by their status."""
+    return tasks.where(F.col("status") == "completed")
+
+
 def images_of(tasks: DataFrame) -> DataFrame:
     """Images with a page number: task, image_id, file_name, page_number; of images of one page the last one counts."""
     rows = tasks.select("task", F.posexplode("images").alias("n", "i")).select("task", "n", F.col("i.id").alias("image_id"), F.col("i.file_name").alias("file_name"))

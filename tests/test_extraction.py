@@ -53,3 +53,20 @@ def test_network_hook(spark):
     net = ex.segmenter(lambda: lambda images: images * 2, [4])
     df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0],)], "image array<float>")
     assert np.allclose(df.select(net(F.col("image")).alias("p")).first().p, [2, 4, 6, 8])
+
+
+def test_pages_as_a_stream(spark, inputs, tmp_path):
+    from foliant.streaming import pages as stream
+    from foliant.streaming.finisher import MESSAGE
+
+    pages, found, words = inputs
+    ground = spark.createDataFrame([(page_id(0), 3), (page_id(1), 1), (page_id(2), 2)], "file_basename string, page_type int")
+    model = page_model.train(ex.training_rows(pages, found, ground))
+    nested = found.groupBy("page_id").agg(F.collect_list(F.struct(*found.columns[1:])).alias("found"))
+    pages.join(nested, "page_id", "left").repartition(4).write.json(str(tmp_path / "in"))
+    query = stream.write_messages(stream.source(spark, str(tmp_path / "in"), 2), words, model, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True)
+    assert query.awaitTermination(120)
+    got = spark.read.schema(MESSAGE).option("recursiveFileLookup", True).json(str(tmp_path / "out")).collect()
+    want = ex.extract(pages, found, words, model).collect()
+    assert sorted((r.page_id, r.page_type, r.title, r.refs, r.toc) for r in got) == sorted((r.page_id, r.page_type, r.title, r.refs, r.toc) for r in want)
+    assert {r.state for r in got} == {"continue"}

@@ -78,3 +78,11 @@ def test_pretty(spark):
     assert [r[0] for r in df.select(tx.pretty()).collect()] == [
         None, 'p: ARTICLE page 3: why\\nnot\n    "T" by "A"', "p: REFS page 3: why\\nnot\n    r\\ns", "p: TOC page 3: why\\nnot\n    c", "p: UNKNOWN(9) page 3: \n    ",
     ]
+
+
+def test_predicates(spark):
+    rows = [(("j", "p", 1, 2), ("j", "p", 1, 3)), (("j", "p", 1, 2), ("j", "p", 2, 2)), ((None, "p", 1, 2), (None, "p", 1, 2))]
+    page = "struct<journal_id:string,page_id:string,page_number:int,page_type:int>"
+    df = spark.createDataFrame(rows, f"a {page}, b {page}")
+    got = df.select(tx.same_page("a", "b"), tx.same_type("a", "b"), tx.is_type(tx.REFS, F.col("a.page_type"))).collect()
+    assert [tuple(r) for r in got] == [(True, False, True), (False, True, True), (True, True, True)]
