@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.base import cut, normal_words, table, word_count
+from foliant.llm.base import count_words, cut, normal_words, table
 
 WINDOW = 13
 SHINGLE = 5
@@ -53,10 +53,10 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
     distinct = cut(whole.select("window", "n_window", "size", "shingles").distinct(), "windows")
     sought = cut(distinct.select("size", F.explode("shingles").alias("shingle")).distinct().withColumn("h", F.xxhash64("shingle")), "shingles")
 
-    base = docs.select(docs[f"`{doc_id}`"].alias("k1"), F.xxhash64(docs[f"`{text}`"]).alias("k2"), normal_words(docs[f"`{text}`"]).alias("normal"))
+    base = docs.select(docs[f"`{doc_id}`"].alias("k1"), F.xxhash64(docs[f"`{text}`"]).alias("k2"), count_words(docs[f"`{text}`"]).alias("n_words"), normal_words(docs[f"`{text}`"]).alias("normal"))
     hits = None
     for (size,) in sorted(distinct.select("size").distinct().collect()):  # at most `shingle` different sizes
-        places = base.select("k1", "k2", word_count(F.col("normal")).alias("n_words"), F.posexplode(shingles(F.col("normal"), size)).alias("pos", "shingle"))
+        places = base.select("k1", "k2", "n_words", F.posexplode(shingles(F.col("normal"), size)).alias("pos", "shingle"))
         part = places.withColumn("h", F.xxhash64("shingle")).join(_small(sought.where(F.col("size") == size)), ["h", "shingle"])
         part = part.select("k1", "k2", "n_words", "pos", "size", "shingle")
         hits = part if hits is None else hits.unionByName(part)
@@ -108,7 +108,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     named = named.groupBy("k1", "k2").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("items"))
     per_doc = cut(hit.join(named, [hit.k1.eqNullSafe(named.k1), hit.k2 == named.k2], "left").select(hit.k1, hit.k2, "n_hit", "n_items", "items"), "contamination")
 
-    base = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.xxhash64(docs[f"`{text}`"]).alias("h"), word_count(normal_words(docs[f"`{text}`"])).alias("n_words"))
+    base = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.xxhash64(docs[f"`{text}`"]).alias("h"), count_words(docs[f"`{text}`"]).alias("n_words"))
     out = base.join(per_doc, base.doc_id.eqNullSafe(per_doc.k1) & (base.h == per_doc.k2), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
