@@ -43,7 +43,8 @@ def _points(docs: DataFrame, doc_id: str, text: str, metadata: tuple[str, ...])
     rows = cut(rows, "points")
     groups = rows.groupBy("g").agg(F.count("*").alias("n"), *[F.min(f"c{i}").alias(f"d{i + 1}") for i in range(len(code))])
     # a text that comes once needs no group: its own metadata serve
-    more = groups.where("n > 1").drop("n")
+    # as a table, so that the join can split the rows of a text that a third of them may have
+    more = cut(groups.where("n > 1").drop("n"), "groups")
     joined = rows.join(more, "g", "left")
     return joined.select("doc_id", "size", "crc", "g", "r", F.col("size").alias("d0"), *[F.coalesce(f"d{i + 1}", f"c{i}").alias(f"d{i + 1}") for i in range(len(code))])
 
