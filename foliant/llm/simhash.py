@@ -194,9 +194,9 @@ def groups(prints: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id") -> D
     named = roots.join(distinct, roots.node == distinct.fingerprint).select("fingerprint", "root", "first_id")
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = named.join(least, "root").select("fingerprint", "component_id")
-    return distinct.select("fingerprint", "first_id").join(linked, "fingerprint", "left").select(
-        "fingerprint", F.coalesce("component_id", "first_id").alias("component_id")
-    )
+    found = distinct.select("fingerprint", "first_id").join(linked, "fingerprint", "left")
+    # as a table, so that a join of all documents with it can split the fingerprint that a third of them may have
+    return cut(found.select("fingerprint", F.coalesce("component_id", "first_id").alias("component_id")), "components")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
