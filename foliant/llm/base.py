@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 #: Rows of an Arrow batch that are worked on at a time, so that long texts do not pile up in a Python worker.
 SLICE_ROWS = 512
+#: Rows of an Arrow batch at most. Spark's own bound of 10,000 lets whole texts fill some hundred MB outside the heap.
+BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +49,13 @@ def drop_cut(df: DataFrame) -> None:
         p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of rows in an Arrow batch to BATCH_ROWS, if it is higher."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def annotate(
     df: DataFrame,
     make: Callable[[], Callable[[list], Sequence]],
@@ -63,7 +72,9 @@ def annotate(
     fields = list(fields)
     new = {f.name.lower() for f in fields}
     carry = [c for c in (df.columns if carry is None else carry) if c.lower() not in new]
-    source = df.select(*[df[f"`{c}`"] for c in carry], df[f"`{text}`"].alias("__text"))
+    again = [] if text in carry else [df[f"`{text}`"].alias("__text")]  # a carried text is not sent twice
+    at = carry.index(text) if text in carry else len(carry)
+    source = df.select(*[df[f"`{c}`"] for c in carry], *again)
     schema = T.StructType([*(df.schema[c] for c in carry), *fields])
     target = pa.schema([_arrow_field(f) for f in fields])
 
@@ -72,11 +83,12 @@ def annotate(
         for whole in batches:
             for i in range(0, whole.num_rows, SLICE_ROWS):
                 batch = whole.slice(i, SLICE_ROWS)
-                got = f(batch.column(len(carry)).to_pylist())
+                got = f(batch.column(at).to_pylist())
                 arrays = [batch.column(k) for k in range(len(carry))]
                 arrays += [pa.array(v, type=t.type) for v, t in zip(got, target, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *target.names])
 
+    bound_batches(df.sparkSession)
     return source.mapInArrow(run, schema)
 
 
@@ -115,11 +127,6 @@ def normal_words(text):
     return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
 
 
-def word_count(normal):
-    """Words in what normal_words() gives."""
-    return F.when(normal == "", F.lit(0)).otherwise(F.length(normal) - F.length(F.replace(normal, F.lit(" "), F.lit(""))) + 1).cast("long")
-
-
 #: A word in a text as it stands, before A-Z is lower-cased.
 WORD = "[0-9A-Za-z\\x80-\\x{10FFFF}]+"
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.base import annotate, cut, field, table
+from foliant.llm.base import annotate, bound_batches, cut, field, table
 
 LENGTH = 400
 GRAM = 64
@@ -258,6 +258,7 @@ def _window_digests(length: int, gram: int):
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """(k1, k2, spans): the stretches of each text to remove, as [{a, b}] in bytes, not yet merged; k1, k2 are id and hash."""
+    bound_batches(docs.sparkSession)
     keyed = docs.select(docs[f"`{doc_id}`"].alias("k1"), F.xxhash64(docs[f"`{text}`"]).alias("k2"), docs[f"`{text}`"].alias("text"))
     kind = keyed.schema["k1"].dataType.simpleString()
     schema = f"k1 {kind}, k2 bigint, anchor bigint, d1 bigint, d2 bigint, size int, offset int, starts array<int>"
