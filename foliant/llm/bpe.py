@@ -20,8 +20,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm.base import annotate, field, table
 
-#: Entries that a worker keeps of each kind of piece; beyond that it starts afresh, which costs time and no result.
-CACHE_ENTRIES = 600_000
+#: Chunks in each of the two generations that a worker keeps the ids of. When one is full, it becomes the old one, and what is
+#: asked for again moves to the new one; the rest is forgotten, which costs time and no result.
+CACHE_ENTRIES = 150_000
 
 #: The last character for which every Unicode version in use agrees about letters, digits and case.
 STABLE = "\u052f"
@@ -63,7 +64,7 @@ class ForcedBoundaryBPE:
         self.beyond = regex.compile(f"[^\\x00-{STABLE}]").search
         self.chars = byte_alphabet()
         self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, str, str]] = {}
 
     def normal(self, text: str) -> str:
         """NFC and lower case, character by character: a final capital sigma has no form of its own here.
@@ -99,18 +100,17 @@ class ForcedBoundaryBPE:
 
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks that are not known yet, all in one go."""
-        if len(self.fragments) > CACHE_ENTRIES:
-            self.fragments.clear()
         pieces = {c: self._pieces(c) for c in chunks if c[0] != " "}
         self.chunks |= {c: (1, str(self.special[c[1:]]), c[1:]) for c in chunks if c[0] == " "}
-        new = {p for ps in pieces.values() for p in ps if p not in self.fragments}
+        new = {p for ps in pieces.values() for p in ps}
+        ids_of: dict[tuple[str, bool], list[int]] = {}
         for last, engine in ((True, self.tail), (False, self.body)):
             texts = [p for p, end in new if end is last]
             for text, got in zip(texts, engine.encode_batch(texts, add_special_tokens=False) if texts else (), strict=True):
-                self.fragments[text, last] = tuple(got.ids)
+                ids_of[text, last] = got.ids
         tokens = self.tokens
         for c, ps in pieces.items():
-            ids = [i for p in ps for i in self.fragments[p]]
+            ids = [i for p in ps for i in ids_of[p]]
             self.chunks[c] = len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
 
     def split(self, texts: list[str | None]) -> list[list[str]]:
@@ -137,10 +137,13 @@ class ForcedBoundaryBPE:
     def encoded(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
         """For each text its chunks as (number of ids, ids as text, tokens as text)."""
         split = self.split(texts)
-        known = self.chunks
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        self.learn({c for chunks in split for c in chunks if c not in known})
+        if len(self.chunks) > CACHE_ENTRIES:
+            self.chunks, self.old = {}, self.chunks
+        known, old = self.chunks, self.old
+        missing = {c for chunks in split for c in chunks if c not in known}
+        again = missing & old.keys()
+        known |= {c: old[c] for c in again}
+        self.learn(missing - again)
         return [[known[c] for c in chunks] for chunks in split]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
