@@ -20,8 +20,8 @@ def _as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; the models are learned from these documents' own lang."""
-    found = langid.identify(docs.select(F.struct("*").alias("row"), F.col("text").alias("text")), langid.fit(docs), carry=["row"])
-    return _as_before(found.where(~F.col("rejected")).select("row.*"), docs)
+    found = langid.identify(docs, langid.fit(docs), prefix="__langid_")
+    return _as_before(found.where(~F.col("__langid_rejected")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
