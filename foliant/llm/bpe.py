@@ -22,7 +22,7 @@ from foliant.llm.base import annotate, field, table
 
 #: Chunks in each of the two generations that a worker keeps the ids of. When one is full, it becomes the old one, and what is
 #: asked for again moves to the new one; the rest is forgotten, which costs time and no result.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 200_000
 
 #: The last character for which every Unicode version in use agrees about letters, digits and case.
 STABLE = "\u052f"
@@ -63,8 +63,10 @@ class ForcedBoundaryBPE:
         self.normalizer, self.splitter = whole.normalizer, Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.beyond = regex.compile(f"[^\\x00-{STABLE}]").search
         self.chars = byte_alphabet()
-        self.chunks: dict[str, tuple[int, str, str]] = {}
-        self.old: dict[str, tuple[int, str, str]] = {}
+        self.written = {str(i): t for i, t in self.tokens.items()}
+        #: Ids of chunks, written with a space between.
+        self.chunks: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def normal(self, text: str) -> str:
         """NFC and lower case, character by character: a final capital sigma has no form of its own here.
@@ -101,17 +103,15 @@ class ForcedBoundaryBPE:
     def learn(self, chunks: set[str]) -> None:
         """Encode the chunks that are not known yet, all in one go."""
         pieces = {c: self._pieces(c) for c in chunks if c[0] != " "}
-        self.chunks |= {c: (1, str(self.special[c[1:]]), c[1:]) for c in chunks if c[0] == " "}
+        self.chunks |= {c: str(self.special[c[1:]]) for c in chunks if c[0] == " "}
         new = {p for ps in pieces.values() for p in ps}
-        ids_of: dict[tuple[str, bool], list[int]] = {}
+        ids_of: dict[tuple[str, bool], str] = {}
         for last, engine in ((True, self.tail), (False, self.body)):
             texts = [p for p, end in new if end is last]
             for text, got in zip(texts, engine.encode_batch(texts, add_special_tokens=False) if texts else (), strict=True):
-                ids_of[text, last] = got.ids
-        tokens = self.tokens
+                ids_of[text, last] = " ".join(map(str, got.ids))
         for c, ps in pieces.items():
-            ids = [i for p in ps for i in ids_of[p]]
-            self.chunks[c] = len(ids), " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
+            self.chunks[c] = " ".join([ids_of[p] for p in ps])
 
     def split(self, texts: list[str | None]) -> list[list[str]]:
         """Each text as chunks between white space; a special token is a chunk of a space and its content."""
@@ -134,8 +134,8 @@ class ForcedBoundaryBPE:
             return [c for c in regex.split(r"[\s--[\x1c-\x1f]]+", text, flags=regex.V1) if c]
         return text.split()
 
-    def encoded(self, texts: list[str | None]) -> list[list[tuple[int, str, str]]]:
-        """For each text its chunks as (number of ids, ids as text, tokens as text)."""
+    def encoded(self, texts: list[str | None]) -> list[str]:
+        """The ids of each text, written with a space between."""
         split = self.split(texts)
         if len(self.chunks) > CACHE_ENTRIES:
             self.chunks, self.old = {}, self.chunks
@@ -144,22 +144,22 @@ class ForcedBoundaryBPE:
         again = missing & old.keys()
         known |= {c: old[c] for c in again}
         self.learn(missing - again)
-        return [[known[c] for c in chunks] for chunks in split]
+        return [" ".join([known[c] for c in chunks]) for chunks in split]
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        return [[int(i) for _, ids, _ in chunks if ids for i in ids.split(" ")] for chunks in self.encoded(texts)]
+        return [list(map(int, ids.split())) for ids in self.encoded(texts)]
 
     def decode(self, ids: list[int]) -> str:
         """The tokens with a space between: the file names no decoder. Special tokens stay; unknown ids are left out."""
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
     def digests(self, texts: list[str | None]) -> tuple[list[int], list[str], list[str]]:
-        n, ids, decoded = [], [], []
-        for chunks in self.encoded(texts):
-            chunks = [c for c in chunks if c[0]]
-            n.append(sum(c[0] for c in chunks))
-            ids.append(hashlib.sha256(" ".join([c[1] for c in chunks]).encode()).hexdigest())
-            decoded.append(hashlib.sha256(" ".join([c[2] for c in chunks]).encode()).hexdigest())
+        n, ids, decoded, digest = [], [], [], lambda t: hashlib.sha256(t.encode()).hexdigest()
+        for written in self.encoded(texts):
+            parts = written.split(" ") if written else []
+            n.append(len(parts))
+            ids.append(digest(written))
+            decoded.append(digest(" ".join([self.written[i] for i in parts])))
         return n, ids, decoded
 
 
