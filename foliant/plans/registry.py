@@ -141,13 +141,13 @@ def one_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.table(spark, sf_dir, "documents").select("doc_id", tx.one_line(F.col("text")).alias("line"))
 
 
-@answers(f"select doc_id, rtrim(regexp_replace(substr(text, 5, 200), {_sql_re(f'[{tx.SPACE}]+')}, ' ', 'g'), ' ') as title from documents")
+@answers(f"select doc_id, rtrim(regexp_replace(text, {_sql_re(f'[{tx.SPACE}]+')}, ' ', 'g'), ' ') as title from documents")
 def title_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fx.table(spark, sf_dir, "documents").select("doc_id", tx.title_line(F.substring("text", 5, 200)).alias("title"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", tx.title_line(F.col("text")).alias("title"))
 
 
-_IDS = f"""select page_id from ({fx.EXCERPTS}) e union all select 'other_' || page_id from ({fx.EXCERPTS}) f where page_number < 3
-union all select page_id || 'x' from ({fx.EXCERPTS}) g where page_number < 2"""
+_IDS = f"""select page_id from ({fx.EXCERPTS}) e union all select 'other_' || page_id from ({fx.EXCERPTS}) f
+union all select page_id || 'x' from ({fx.EXCERPTS}) g"""
 
 
 @answers(f"""select page_id, case when ok then regexp_extract(page_id, '^(sim_[^_]+)_', 1) end as journal_id, case when ok then regexp_extract(page_id, '^(.*)_[^_]*$', 1) end as issue_id,
@@ -311,7 +311,6 @@ def _in_box(words: str, prefix: str) -> str:
   from {prefix} q join {words} w on w.page_key = q.page_key group by all) q group by all)"""
 
 
-_SMALL = "select * from r0 where page_key % 5 = 0"
 _CLEAN = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace({c}, {_sql_re(tx.AFTER_COMMA)}, ', ', 'g'), {_sql_re(tx.NO_AUTHOR_CHAR)}, '', 'g'), ' +', ' ', 'g'), ' ')"
 
 
@@ -369,8 +368,10 @@ def excerpt_score(spark: SparkSession, sf_dir: str) -> DataFrame:
  count(case when gt = 1 then 1 end) as n_article, count(case when gt = 2 then 1 end) as n_refs, count(case when gt = 3 then 1 end) as n_toc, count(case when gt = 0 then 1 end) as n_blank,
  max(case when gt is not null then page_number end) + 1 = count(gt) as w1, max(case when ct is not null then page_number end) + 1 = count(ct) as w2 from scored group by issue_id)
 select issue_id, round(score, 9) as score, n_pages, n_missing, n_article, n_refs, n_toc, n_blank,
- case when n_pages <> n_other then ' differing page count; ' else '' end || case when w1 <> w2 then ' only one file non-contiguous; ' else '' end
- || case when n_missing > 0 then ' ' || cast(n_missing as string) || ' missing counterpart pages' else '' end as explanation from s""")
+ case when n_pages = n_other and coalesce(w1, false) = coalesce(w2, false) and n_missing = 0
+ then cast(n_pages as string) || ' pages;  articles=' || cast(n_article as string) || ' refs=' || cast(n_refs as string) || ' toc=' || cast(n_toc as string) || ' blank=' || cast(n_blank as string)
+ else case when n_pages <> n_other then ' differing page count; ' else '' end || case when coalesce(w1, false) <> coalesce(w2, false) then ' only one file non-contiguous; ' else '' end
+ || case when n_missing > 0 then ' ' || cast(n_missing as string) || ' missing counterpart pages' else '' end end as explanation from s""")
 def issue_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scoring.issue_scores(fx.query(spark, sf_dir, fx.GOLDEN), fx.query(spark, sf_dir, fx.CHECK), ["issue_id"])
     return rows.withColumn("score", F.round("score", 9))
@@ -448,12 +449,12 @@ def catalog_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.by_date(fx.query(spark, sf_dir, fx.CATALOG))
 
 
-@answers(f"""with {_SCAN}, img as (select page_id, '/debug/' || page_id || '__boxes.jpg' as path from e where page_number % 3 = 0)
-select art.issue_id as issue, art.title, art.authors, art.page, '{tx.BASE_URL}/' || art.issue_id || '/page/n' || cast(art.page as string) || '/mode/1up?admin=1' as url, coalesce(img.path, 'NotFound') as image_path
+@answers(f"""with {_SCAN}, img as (select page_id, '/debug/' || page_id || '__boxes.jpg' as path from e where title < 'F')
+select art.issue_id as issue, case when length(art.title) > 150 then substr(art.title, 1, 150) || '...' else art.title end as title, art.authors, art.page, '{tx.BASE_URL}/' || art.issue_id || '/page/n' || cast(art.page as string) || '/mode/1up?admin=1' as url, coalesce(img.path, 'NotFound') as image_path
 from art left join img using (page_id)""")
 def debug_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _excerpts(spark, sf_dir)
-    images = pages.where("page_number % 3 = 0").select("page_id", F.concat(F.lit("/debug/"), "page_id", F.lit("__boxes.jpg")).alias("path"))
+    images = pages.where("title < 'F'").select("page_id", F.concat(F.lit("/debug/"), "page_id", F.lit("__boxes.jpg")).alias("path"))
     found = datasets.with_images(issues.articles(pages), images)
     rows = writers.debug_rows(found.withColumn("page_no", F.col("page")))
     return rows.join(found.select(F.col("issue_id").alias("issue"), "page", "image_path"), ["issue", "page"])
