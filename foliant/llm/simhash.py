@@ -208,12 +208,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     return prints.join(groups(prints, radius), "fingerprint")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """The rows of docs whose id is the least of its component, with the columns of docs.
 
     Of rows that repeat an id one stays; rows without an id all stay, as they cannot be told apart.
     """
-    prints = cut(fingerprints(docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text")), "text", ["doc_id"]), "prints")
+    prints = cut(fingerprints(docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text")), "text", ["doc_id"], shingle), "prints")
     found = prints.join(groups(prints, radius), "fingerprint")
     copies = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "copies")
     left = docs.join(copies, docs[f"`{doc_id}`"] == copies["__id"], "left_anti")

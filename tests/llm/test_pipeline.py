@@ -30,14 +30,14 @@ def test_pipeline(spark):
     rows = {r.doc_id: r.text for r in docs.collect()}
     models = langid.fit(docs)
     left = {i: t for i, t in sorted(rows.items()) if not models.predict([t])[3][0]}
-    prints = {i: simhash.fingerprint(t) for i, t in left.items()}
+    prints = {i: simhash.fingerprint(t, corpus_pipeline.NEAR_WORDS) for i, t in left.items()}
     ids = list(left)
     first = {i: i for i in ids}
     changed = True
     while changed:
         changed = False
         for i in ids:
-            low = min(first[j] for j in ids if (prints[i] ^ prints[j]).bit_count() <= 4)
+            low = min(first[j] for j in ids if (prints[i] ^ prints[j]).bit_count() <= corpus_pipeline.NEAR_BITS)
             if low < first[i]:
                 first[i], changed = low, True
     left = {i: t for i, t in left.items() if first[i] == i}
