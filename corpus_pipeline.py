@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from foliant.llm import bpe, decontaminate, langid, secrets, simhash
 from foliant.llm.base import shared_dir, table
 
+#: Near copies: fingerprints over shingles of so many words that differ in so many bits at most. Texts that share four fifths of
+#: their shingles differ in ten bits on average; unrelated ones differ in eight or fewer once in some billion pairs.
+NEAR_WORDS, NEAR_BITS = 5, 8
+
 
 def _as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*[f"`{c}`" for c in docs.columns])
@@ -26,7 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each group whose fingerprints link."""
-    return simhash.one_of_each(docs)
+    return simhash.one_of_each(docs, NEAR_BITS, shingle=NEAR_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
