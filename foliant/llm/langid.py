@@ -31,7 +31,7 @@ DISCOUNT = 0.75
 #: Rows of each language that are learned from, whole, at most: those with the least hash of their id.
 TRAIN_ROWS = 400
 #: Words that a worker keeps the scores of; beyond that it starts afresh, which costs time and no result.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 #: Rejected: a cross-entropy (nats a character) this far above the mean of a language's held-back texts, at least.
 SLACK = 1.5
 
