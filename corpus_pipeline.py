@@ -10,12 +10,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, decontaminate, langid, secrets, simhash
+from foliant.llm import bpe, decontaminate, langid, secrets, shingles
 from foliant.llm.base import shared_dir, table
 
-#: Near copies: fingerprints over shingles of so many words that differ in so many bits at most. Texts that share four fifths of
-#: their shingles differ in ten bits on average; unrelated ones differ in eight or fewer once in some billion pairs.
-NEAR_WORDS, NEAR_BITS = 5, 8
+#: Near copies: texts whose sets of shingles of so many words have so large a Jaccard similarity at least.
+NEAR_WORDS, NEAR_LEAST = 5, 0.8
+#: The radius of fingerprints that decided before; no stage reads it, the test of the pipeline does.
+NEAR_BITS = 8
 
 
 def _as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -29,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group whose fingerprints link."""
-    return simhash.one_of_each(docs, NEAR_BITS, shingle=NEAR_WORDS)
+    """The document of least doc_id of each group that near copies link."""
+    return shingles.one_of_each(docs, NEAR_LEAST, NEAR_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

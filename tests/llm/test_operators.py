@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from foliant.llm import base, bpe, decontaminate, graph, langid, licenses, quality, secrets, shards, simhash, suffixes, toxicity
+from foliant.llm import base, bpe, decontaminate, graph, langid, licenses, quality, secrets, shards, shingles, simhash, suffixes, toxicity
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "lorem ipsum dolor sit amet " * 8000
@@ -329,6 +329,59 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in got.collect()) == [10, 12, 13] and got.columns == df.columns
 
 
+def plain_similarity(a, b):
+    def parts(text):
+        words = (text or "").lower().split()
+        return {" ".join(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+    x, y = parts(a), parts(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+@pytest.mark.parametrize("tile", [3, shingles.TILE])
+def test_near_copies_by_brute_force(spark, monkeypatch, tile):
+    rng = random.Random(11)
+    texts = ["", None, "short text", "Short  TEXT"]
+    for _ in range(12):
+        text = rng.choices([f"w{i}" for i in range(500)], k=rng.randint(20, 200))
+        for _ in range(6):  # edits one after the other, so that similarities lie on both sides of the limit
+            texts.append(" ".join(text))
+            for _ in range(rng.randint(0, 1 + len(text) // 60)):
+                text[rng.randrange(len(text))] = rng.choice(["new", "other", "x"])
+    n = len(texts)
+    near = [[plain_similarity(a, b) >= 0.8 for b in texts] for a in texts]
+    far = sum((simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() > 8 for i, a in enumerate(texts) for j, b in enumerate(texts[:i]) if near[i][j])
+    assert far > 5  # what fingerprints within eight bits lose
+    first = list(range(n))
+    for _ in range(n):
+        first = [min(first[j] for j in range(n) if near[i][j]) for i in range(n)]
+    links = shingles.near_links
+    monkeypatch.setattr(shingles, "near_links", lambda members, least: links(members, least, tile))
+    got = shingles.one_of_each(docs(spark, texts))
+    assert sorted(r.doc_id for r in got.collect()) == [i for i in range(n) if first[i] == i]
+
+
+def test_like_fingerprints_do_not_make_copies(spark):
+    """Texts whose fingerprints are eight bits apart or fewer, but whose shingles are not alike, all stay."""
+    common = " ".join(f"w{i}" for i in range(60))
+    texts = [f"{common} {' '.join(f'{c}{i}' for i in range(25))}" for c in "abcdefghijklmnopqrstuvwxyz"]
+    prints = [simhash.fingerprint(t, 5) for t in texts]
+    assert any((a ^ b).bit_count() <= 8 for i, a in enumerate(prints) for b in prints[:i])
+    assert max(plain_similarity(a, b) for i, a in enumerate(texts) for b in texts[:i]) < 0.8
+    assert shingles.one_of_each(docs(spark, texts)).count() == len(texts)
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    """Rows that share an id, or have none, are told apart by their texts."""
+    text = " ".join(f"w{i}" for i in range(100))
+    rows = [(1, text), (1, "another text altogether with more words"), (None, text + " more"), (None, "one without an id"), (None, "one without an id"), (2, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = shingles.one_of_each(df)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([rows[0], rows[1], rows[3]]) and got.columns == df.columns
+    odd_ones = odd(spark)
+    assert shingles.one_of_each(odd_ones).columns == odd_ones.columns and shingles.one_of_each(odd_ones).count() == 4
+
+
 # --- 8
 
 
