@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from zlib import crc32
+from hashlib import md5
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -158,15 +158,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None,
     def distinct():
         def run(texts):
             found = [list(terms_of(t)) for t in texts]
-            return [found, [min((crc32(t.encode()) for t in f), default=0) for f in found]]
+            return [found, [md5(" ".join(sorted(f)).encode()).hexdigest() for f in found]]
 
         return run
 
     n = {y: min(sizes.get(y, 0), rows[y]) for y in rows}
     if not n.get(0) or not n.get(1):
         return ExampleIndex({}, [], {0: 1.0, 1: 1.0})
-    # copies share the least hash of a term, mostly, and count once: else a term of one text would look telling
-    different = annotate(sample, distinct, [field("terms", "array<string>"), field("least", "long")], carry=["y"]).dropDuplicates(["y", "least"])
+    # texts of the same terms are copies and count once: else a term of one text would look telling
+    different = annotate(sample, distinct, [field("terms", "array<string>"), field("digest", "string")], carry=["y"]).dropDuplicates(["y", "digest"])
     different = cut(different, "examples")
     alone = {r["y"]: r["count"] for r in different.groupBy("y").count().collect()}
     p = alone[1] / (alone[0] + alone[1])

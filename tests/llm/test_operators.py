@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pytest
@@ -201,6 +202,19 @@ def test_toxic_words_are_learned(spark):
     assert {r.score for r in toxicity.assess(docs(spark, ["vile", None]), blind).collect()} == {0.0}
 
 
+def test_texts_that_share_one_term_are_not_copies(spark):
+    """All texts hold the word of least crc32; each label still learns from all of them, and exact copies count once."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    least = min(("".join(rng.choices("klmnopqrst", k=4)) for _ in range(200_000)), key=lambda w: crc32(w.encode()))
+    bad = ["vile", "grub", "slur", "foul"]
+    texts = [f"{least} " + " ".join(word() for _ in range(20)) + (f" {bad[i // 5 % 4]}" if i % 5 == 0 else "") for i in range(300)]
+    texts += [f"{least} " + " ".join(word() for _ in range(20)) + " copied"] * 20
+    labels = spark.createDataFrame([(i, int(i % 5 == 0 or i >= 300)) for i in range(320)], "doc_id long, toxic int")
+    index = toxicity.fit(docs(spark, texts), labels)
+    assert {"vile", "grub", "slur", "foul"} <= set(index.terms) and "copied" not in index.terms
+
+
 # --- 5
 
 
