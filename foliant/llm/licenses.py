@@ -24,8 +24,13 @@ from foliant.llm.base import count_words, cut, normal_words, table
 #: Phrase -> label, as the contract fixes them.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Every match of a rule holds one of these.
-GATES = ("licen", "spdx", "copyright", "public domain", "creative commons", "cc by", "cc0", "gpl", "wtfpl", "all rights reserved")
+#: Every match of a rule holds one of these, or one of GATE_WORDS as a word.
+GATES = (
+    "licen", "spdx", "copyright", "public domain", "creative commons", "cc by", "cc0", "gpl", "wtfpl", "all rights reserved",
+    "released under", "distributed under", "published under", "available under", "provided under", "covered under", "issued under",
+    "bsd", "cddl", "eupl", "mit no attribution", "mulan",
+)
+GATE_WORDS = ("mpl", "epl")
 
 LIC = "licen[cs]e"
 #: label, keywords of which every match of the name holds one, name in running text, name after "under the", versions.
@@ -35,7 +40,7 @@ FAMILIES = [
     ("agpl", "agpl|affero", f"(?:gnu )?(?:affero general public {LIC}|agpl)", None, ("1.0", "3.0")),
     ("gfdl", "free documentation", f"(?:gnu )?free documentation {LIC}", None, ("1.1", "1.2", "1.3")),
     ("apache", "apache", f"apache(?: software)? {LIC}", f"apache(?: software)?(?: {LIC})?", ("1.0", "1.1", "2.0")),
-    ("mit", "mit", f"(?:mit|expat) {LIC}", f"(?:mit|expat)(?: {LIC})?", ()),
+    ("mit", "mit|expat", f"(?:mit|expat) {LIC}", f"(?:mit|expat)(?: {LIC})?", ()),
     ("mit-0", "no attribution", f"mit no attribution(?: {LIC})?", None, ()),
     ("bsd", "bsd", f"bsd {LIC}", f"bsd(?: {LIC})?", ()),
     ("0bsd", "bsd", f"(?:0bsd|zero clause bsd)(?: {LIC})?", None, ()),
@@ -72,7 +77,7 @@ FAMILIES = [
     ("odc-by", "open data", f"open data commons attribution {LIC}", None, ("1.0",)),
     ("pddl", "public domain dedication", f"public domain dedication and {LIC}", None, ("1.0",)),
     ("postgresql", "postgresql", f"postgresql {LIC}", None, ()),
-    ("psf", "python", f"(?:python software foundation|psf) {LIC}|python {LIC}", None, ("2.0",)),
+    ("psf", "python|psf", f"(?:python software foundation|psf) {LIC}|python {LIC}", None, ("2.0",)),
     ("ruby", "ruby", f"ruby(?: s)? {LIC}", None, ()),
     ("php", "php", f"php {LIC}", None, ("3.0", "3.01")),
     ("openssl", "openssl", f"openssl {LIC}", None, ()),
@@ -109,6 +114,9 @@ UNDER = "(?:licen[cs]ed|released|distributed|published|available|provided|covere
 LATER = "(?: or (?:at your option )?(?:any )?later(?: version)?)?"
 
 
+GATE = "|".join(map(re.escape, GATES)).replace("\\ ", " ") + f"|(?<![^ ])(?:{'|'.join(GATE_WORDS)})(?![^ ])"
+
+
 def _version(v: str) -> str:
     major, minor = v.split(".")
     return f" (?:version |v )?v?{major}" + ("(?: 0)?" if minor == "0" else f" {minor}")
@@ -146,7 +154,7 @@ def detections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own:
     table = F.from_json(F.lit(json.dumps(own)), "array<struct<rule:int,label:string,keywords:array<string>,priority:int,base:boolean,pattern:string>>")
     base = docs.select(docs[f"`{doc_id}`"].alias("k1"), F.xxhash64(docs[f"`{text}`"]).alias("k2"), normal_words(docs[f"`{text}`"]).alias("normal"))
     # one expression, so that the words are made once for it
-    gated = cut(base.where(F.rlike("normal", F.lit("|".join(map(re.escape, GATES)).replace("\\ ", " ")))).distinct(), "gated")
+    gated = cut(base.where(F.rlike("normal", F.lit(GATE))).distinct(), "gated")
     words = F.array(*[F.lit(k) for k in sorted({k for r in own for k in r["keywords"]})])
     gated = gated.withColumn("present", F.filter(words, lambda k: F.contains(F.col("normal"), k)))
     return (

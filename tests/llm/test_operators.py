@@ -479,6 +479,42 @@ def test_rules_are_many_and_gated():
         assert any(k in text for k in rule["keywords"]) and any(g in text for g in licenses.GATES)
 
 
+def one_match(tree, rng):
+    """A random string that a parsed expression matches; looks around are left to the caller."""
+    out = ""
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "IN":
+            op, arg = rng.choice(arg)
+            out += chr(arg if str(op) == "LITERAL" else rng.randint(*arg))
+        elif kind == "BRANCH":
+            out += one_match(rng.choice(arg[1]), rng)
+        elif kind == "SUBPATTERN":
+            out += one_match(arg[3], rng)
+        elif kind == "MAX_REPEAT":
+            out += "".join(one_match(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        else:
+            assert kind == "ASSERT_NOT", kind
+    return out
+
+
+def test_no_match_of_a_rule_lacks_gate_or_keyword():
+    rng = random.Random(9)
+    for rule in licenses.rules():
+        tree = re._parser.parse(rule["pattern"])
+        for text in sorted({one_match(tree, rng) for _ in range(200)}):
+            assert re.search(rule["pattern"], text), (rule, text)
+            assert re.search(licenses.GATE, f"a {text} b") and any(k in text for k in rule["keywords"]), (rule, text)
+
+
+def test_short_names_are_found(spark):
+    texts = {"Released under the MIT.": "mit", "covered by MPL 2.0": "mpl-2.0", "BSD 3-Clause": "bsd-3-clause", "Issued under the Expat.": "mit", "for example, simple": ""}
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, list(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_suppression(spark):
     rows = [("a", 0, 10, 2), ("b", 2, 5, 2), ("c", 2, 5, 1), ("d", 8, 12, 3), ("e", 0, 10, 2), ("f", 9, 11, 2)]
     df = spark.createDataFrame([(1, 1, i, *r) for i, r in enumerate(rows)], "k1 long, k2 long, rule int, label string, start int, end int, priority int")
