@@ -97,8 +97,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", t
     return cut(found, "occurrences"), whole.select("window", "item_id")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, for every row of docs."""
+def _verdicts(docs: DataFrame, benchmark: DataFrame, doc_id: str, text: str, **how) -> DataFrame:
+    """The columns of contamination() and h, the hash of the text, for every row of docs."""
     found, items = occurrences(docs, benchmark, doc_id, text, **how)
     order = Window.partitionBy("k1", "k2").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("k1", "k2", "start", (F.col("start") + F.col("n_window")).alias("end")).distinct()
@@ -118,14 +118,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce("items", F.lit("")).cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        "h",
     )
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, for every row of docs."""
+    return _verdicts(docs, benchmark, doc_id, text, **how).drop("h")
+
+
 def decontaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of docs that are not contaminated, with the columns of docs; rows without an id are judged by their text."""
-    found = contamination(docs, benchmark, doc_id, text, **how)
-    bad = cut(found.where("contaminated").select(F.col("doc_id").alias("__id")).distinct(), "contaminated")
-    return docs.join(bad, docs[f"`{doc_id}`"].eqNullSafe(bad["__id"]), "left_anti")
+    """The rows of docs that are not contaminated, with the columns of docs; rows that share an id, or have none, are judged each by its text."""
+    found = _verdicts(docs, benchmark, doc_id, text, **how)
+    bad = cut(found.where("contaminated").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")).distinct(), "contaminated")
+    same = docs[f"`{doc_id}`"].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[f"`{text}`"]) == bad["__h"])
+    return docs.join(bad, same, "left_anti")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

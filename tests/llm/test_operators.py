@@ -147,6 +147,15 @@ ENGLISH = ["the cat sat on the mat with another thing", "there is nothing that t
 GERMAN = ["der hund sitzt auf dem teppich und schläft", "das wetter ist heute nicht schön und kalt", "ich weiß nicht ob sie daran gedacht haben"]
 
 
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    bad, clean = ITEMS[0][1], "nothing of the kind in here"
+    rows = [(None, bad), (None, clean), (None, None), (7, clean), (7, bad), (8, clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = decontaminate.decontaminated(df, bench)
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter([(None, clean), (None, None), (7, clean), (8, clean)])
+
+
 def test_kneser_ney_sums_to_one():
     words = Counter(" ".join(ENGLISH).split())
     p = langid.train_language(words)
