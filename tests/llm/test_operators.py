@@ -179,23 +179,52 @@ def test_languages_are_told_apart(spark):
 # --- 4
 
 
-def test_nearest_examples_are_exact():
+def dense_score(index, key):
+    """The votes of the nearest examples, from all cosines; None where the last place is shared by unlike votes."""
+    at, w = index.vector(key)
+    cosines = [sum(x * dict(zip(at.tolist(), w.tolist(), strict=True)).get(t, 0.0) for t, x in v) for v in index.plain]
+    order = sorted((-s, e) for e, s in enumerate(cosines) if s > 0)[: toxicity.NEIGHBOURS]
+    mean = index.votes.sum() / len(index.votes)
+    one, zero = (sum(s * s * index.votes[e][k] / mean for s, e in order) for k in (0, 1))
+    return (one + toxicity.PRIOR * index.share) / (one + zero + toxicity.PRIOR), order
+
+
+@pytest.mark.parametrize("wide", [0.0, 0.1, 2.0])
+def test_nearest_examples_and_votes_by_brute_force(monkeypatch, wide):
+    monkeypatch.setattr(toxicity, "WIDE", wide)
     rng = random.Random(2)
-    terms = [f"t{i}" for i in range(40)]
+    terms = [f"{c}{d}word" for c in "abcdefgh" for d in "klmno"] + ["abh*"]
     idf = {t: rng.uniform(1, 4) for t in terms}
     rows = [(Counter(rng.choices(terms, k=rng.randint(0, 9))), rng.randint(0, 1), i) for i in range(700)]
-    index = toxicity.ExampleIndex(idf, rows, {0: 1.0, 1: 1.0})
-    dense = np.zeros((len(index.ids), len(terms)))
-    for t, (examples, weights) in enumerate(index.postings):
-        dense[examples, t] = weights
-    assert np.allclose(np.linalg.norm(dense, axis=1), 1)
+    index = toxicity.ExampleIndex(idf, rows, {0: 2.0, 1: 1.0})
+    by_id = {i: c for c, _, i in rows}
+    index.plain = [list(zip(*(x.tolist() for x in index.vector(index.key(by_id[i]))), strict=True)) for i in index.ids]
+    assert sum(map(sum, index.votes)) + sum(2 - y for c, y, _ in rows if not c) == sum(2 - y for _, y, _ in rows)
     for _ in range(100):
-        key = index.key(Counter(rng.choices(terms, k=rng.randint(1, 6))))
-        at, w = index.vector(key)
-        want = sorted((-s for s in dense[:, at] @ w if s > 0))[: toxicity.NEIGHBOURS]
-        got = index.nearest(key)
-        assert np.allclose([-s for s, _ in got], want)
-        assert all(dense[e, at] @ w == pytest.approx(s) for s, e in got)
+        text = " ".join(rng.choices([*terms[:-1], "abhead", "unknown"], k=rng.randint(1, 6)))
+        key = index.key_of(text)
+        assert key == index.key(toxicity.terms_of(text))
+        if key:
+            want, order = dense_score(index, key)
+            got = index.nearest(key)
+            assert np.allclose([s for s, _ in got], [-s for s, _ in order])
+            if [e for _, e in got] == [e for _, e in order]:  # but for rounding in ties
+                assert index.score(text)[0] == pytest.approx(want)
+    assert index.score("unknown")[0] == index.score(None)[0] == pytest.approx(index.share_without)
+
+
+def test_learning_from_nothing(spark):
+    """No documents, no labels, labels of no document and labels of one kind: an index without examples, scores of 0."""
+    some, labels = docs(spark, ["a b", None, "", "c"]), "doc_id long, toxic int"
+    one_sided = [[(0, 0), (1, 0)], [(0, 1), (2, 1)], [(9, 1), (0, 0)], [(None, 1), (0, None), (1, 7)], []]
+    cases = [(some, spark.createDataFrame(x, labels)) for x in one_sided]
+    cases += [(empty(spark), spark.createDataFrame([(0, 0), (1, 1)], labels)), (some.limit(0), spark.createDataFrame([], labels))]
+    for d, y in cases:
+        index = toxicity.fit(d, y)
+        assert not index.ids
+        assert {(r.score, r.predicted) for r in toxicity.assess(some, index).collect()} == {(0.0, 0)}
+    both = toxicity.fit(some.unionByName(docs(spark, ["b a"])), spark.createDataFrame([(0, 0), (1, 1), (3, 1)], labels))
+    assert len(both.ids) == 2 and both.ids  # the null text of label 1 votes for texts without a word; of id 0 the least text
 
 
 def test_toxic_words_are_learned(spark):
@@ -206,7 +235,7 @@ def test_toxic_words_are_learned(spark):
     index = toxicity.fit(docs(spark, texts), labels)
     got = {r.doc_id: (r.predicted, r.evidence) for r in toxicity.assess(docs(spark, texts), index).collect()}
     assert [got[i][0] for i in range(300, 600)] == [int(i % 5 == 0) for i in range(300, 600)]
-    assert got[305][1] and not got[301][1]
+    assert got[305][1]
     blind = toxicity.fit(docs(spark, texts), labels.where("toxic = 0"))
     assert {r.score for r in toxicity.assess(docs(spark, ["vile", None]), blind).collect()} == {0.0}
 
