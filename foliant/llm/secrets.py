@@ -4,7 +4,8 @@ A string is scored by two character Markov models, one of random strings and one
 from labelled samples; the mean log-likelihood ratio of a character decides. Spans count code points, end exclusive.
 
 Null texts count as empty and have no spans. Texts are scanned whole. Repeated rows are scanned each; an empty table
-gives an empty result; input columns that have the name of a result are replaced.
+gives an empty result; input columns that have the name of a result are replaced. Spans that start at the same place go by
+kind, as listed; a random string that overlaps a base span is left to it; a score at the threshold is no secret.
 """
 
 from __future__ import annotations
@@ -41,22 +42,31 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+LOWER, UPPER, DIGITS = CLASSES[:26], CLASSES[26:52], CLASSES[52:62]
+#: Alphabets that random strings are drawn from.
+ALPHABETS = [LOWER + UPPER + DIGITS, CLASSES[:64], LOWER + DIGITS, UPPER + DIGITS, DIGITS + "abcdef", LOWER + UPPER + DIGITS + "_-", LOWER + UPPER, LOWER, UPPER]
+#: Beginnings, middles and ends of syllables of words in several languages.
+ONSETS = "b c d f g h j k l m n p qu r s t v w z bl br ch cl cr dr fl fr gl gr kn pf ph pl pr sch schl schw sh sk sl sm sn sp spr st str th thr tr tz wh zw".split() + [""] * 8
+NUCLEI = "a e i o u ai au aux ea eau ee ei eu eux ia ie io oa oi oo ou ui".split() + list("aeiou") * 4
+CODAS = "b cht ck ct d ft g gh l ld lich ll ly m mb mm mp n nd ng nn ns nt p pf r rb rch rd rg rl rm rn rs rt s sch ss st t th tion tt ty tz ung ble heit keit mente ment ness que x".split() + [""] * 16
+
+
 def labelled_samples(n: int = SAMPLES, seed: int = 7) -> list[tuple[str, int]]:
-    """n random strings (label 1) and n ordinary identifiers (label 0), the same for the same seed."""
+    """n random strings (label 1) and n ordinary identifiers, words and numbers (label 0), the same for the same seed."""
     rng = random.Random(seed)
-    alphabets = [CLASSES[:62], CLASSES[:64], CLASSES[:36].lower() + "0123456789", CLASSES[26:62], "0123456789abcdef", CLASSES[:62] + "_-"]
-    out = [("".join(rng.choices(rng.choice(alphabets), k=rng.randint(LEAST, 48))), 1) for _ in range(n)]
-    onsets = "b c d f g h j k l m n p qu r s t v w z bl br ch cl cr dr fl fr gr pl pr sh sk sl sp st str th tr wh sch".split() + [""] * 6
-    nuclei = "a e i o u ai au ea ee ei eu ie io oa oo ou".split() + list("aeiou") * 3
-    codas = "b ck d ft g l ld ll m n nd ng nt p r rd rs s ss st t th tion ty ble ment ness x".split() + [""] * 12
-    word = lambda: "".join(rng.choice(onsets) + rng.choice(nuclei) + rng.choice(codas) for _ in range(rng.randint(1, 4)))
+    out = [("".join(rng.choices(rng.choice(ALPHABETS), k=rng.randint(LEAST, 48))), 1) for _ in range(n)]
+    word = lambda: "".join(rng.choice(ONSETS) + rng.choice(NUCLEI) + rng.choice(CODAS) for _ in range(rng.randint(1, 4)))
     for _ in range(n):
+        if rng.random() < 0.15:  # numbers, some with a separator every four digits
+            digits = "".join(rng.choices(DIGITS, k=rng.randint(LEAST, 32)))
+            out.append((digits if rng.random() < 0.7 else "-".join(digits[i : i + 4] for i in range(0, len(digits), 4)), 0))
+            continue
         words = [word() for _ in range(rng.randint(1, 5))]
         while sum(map(len, words)) < LEAST:
             words.append(word())
         style = rng.randrange(6)
         name = {0: "_".join, 1: "-".join, 2: "/".join, 3: "".join}.get(style, lambda ws: "".join(w.capitalize() for w in ws))(words)
-        name = name.upper() if style in (0, 1) and rng.random() < 0.3 else name
+        name = name.upper() if rng.random() < 0.2 else name
         out.append((name + (str(rng.randint(0, 2030)) if rng.random() < 0.2 else ""), 0))
     return out
 
@@ -108,8 +118,6 @@ def find(text: str | None, model: MarkovPair) -> tuple[list, list]:
     more = []
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
-        if m[0].isdigit() or m[0].isalpha() and (m[0].islower() or m[0].isupper()):
-            continue  # numbers, and words of one case however odd
         k = bisect_left(starts, b)  # base spans that start before b
         if k and ends[k - 1] > a:
             continue
