@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -56,16 +58,27 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def release() -> None:
+    """Give what a Python worker has freed back to the system: it may idle beside other work of the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def annotate(
     df: DataFrame,
     make: Callable[[], Callable[[list], Sequence]],
     fields: Iterable[T.StructField],
     text: str = "text",
     carry: Sequence[str] | None = None,
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Append columns that a Python function computes from the text column.
 
-    make() is called once in each task and returns f(list of str or None) -> one list of values for each field.
+    make() is called once in each task and returns f(list of str or None) -> one list of values for each field; done() is
+    called when the task has no more rows, to forget what only it needed.
     carry names the input columns to keep (all by default). A result column replaces an input column of the same
     name, in any case of letters; an empty table gives an empty result.
     """
@@ -87,6 +100,10 @@ def annotate(
                 arrays = [batch.column(k) for k in range(len(carry))]
                 arrays += [pa.array(v, type=t.type) for v, t in zip(got, target, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *target.names])
+        whole = batch = got = arrays = f = None
+        if done:
+            done()
+        release()
 
     bound_batches(df.sparkSession)
     return source.mapInArrow(run, schema)

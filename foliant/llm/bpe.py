@@ -170,6 +170,12 @@ def engine(path: str) -> ForcedBoundaryBPE:
     return _ENGINES[path]
 
 
+def forget(path: str) -> None:
+    """Drop the chunks that the worker's encoder remembers."""
+    if path in _ENGINES:
+        _ENGINES[path].chunks, _ENGINES[path].old = {}, {}
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -178,7 +184,7 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 def encode(docs: DataFrame, path: str, text: str = "text", out: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """Add the ids of every whole text."""
-    return annotate(docs, lambda: lambda texts: [engine(path).encode(texts)], [field(out, "array<int>")], text, carry)
+    return annotate(docs, lambda: lambda texts: [engine(path).encode(texts)], [field(out, "array<int>")], text, carry, lambda: forget(path))
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded", carry: list[str] | None = None) -> DataFrame:
@@ -189,7 +195,7 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded", c
 def digest(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Add n_tokens and the digests of the ids and of their decoding, without moving the ids themselves."""
     fields = [field("n_tokens", "long"), field("ids_sha256", "string"), field("decoded_sha256", "string")]
-    return annotate(docs, lambda: lambda texts: engine(path).digests(texts), fields, text, carry)
+    return annotate(docs, lambda: lambda texts: engine(path).digests(texts), fields, text, carry, lambda: forget(path))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -245,7 +245,7 @@ def identify(docs: DataFrame, models: LanguageModels, text: str = "text", carry:
 
     kinds = {"lang_pred": "string", "score": "double", "entropy": "double", "rejected": "boolean"}
     fields = [field(prefix + name, kind) for name, kind in kinds.items()]
-    return annotate(docs, make, fields, text, carry)
+    return annotate(docs, make, fields, text, carry, lambda: shared.value._forget())
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,16 @@
 """One document of each group of near copies: texts whose sets of word shingles have a Jaccard similarity of LEAST or more.
 
-Texts with the same set are one node. Candidates come from MinHash bands: nodes that share a band meet in a bucket, and a
-pair at the least similarity shares none with a chance of (1 - LEAST ** ROWS) ** BANDS, 3 in a million. Buckets only say
-which nodes may be linked, as components of stars; the sets of each such component are then compared exactly, all pairs
-of its nodes, in tiles of which every two meet as a task of their own. Only verified pairs make the links of a group.
+Texts with the same set are one node. Each has a SimHash fingerprint of its shingles, and fingerprints within the radius,
+which simhash compares exactly in tiles, are candidates. So narrow a radius finds few of the pairs at the least similarity,
+whose fingerprints differ in some ten bits, and a radius that finds them all has no buckets to compare within; candidates of
+the rest come from bands of MinHash values: a pair at the least similarity shares none with a chance of (1 - LEAST ** ROWS)
+** BANDS, 3 in a million. Candidates only say which nodes may be linked, as components of stars; the sets of each such
+component are then compared exactly, in tiles of which every two meet as a task of their own. Only verified pairs make the
+links of a group.
 
 Null and wordless texts have the empty set and are copies of each other. Very long texts are read whole. Of each group the
-row with the least id stays, rows without an id after all others; an empty table gives an empty result.
+row with the least id stays, rows without an id after all others and the least hash of id and text among equals; of rows that
+agree in id and text one stays; an empty table gives an empty result. Input columns keep their names and values.
 """
 
 from __future__ import annotations
@@ -17,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.base import annotate, bound_batches, cut, field
+from foliant.llm import simhash
+from foliant.llm.base import annotate, bound_batches, cut, drop_cut, field, release
 from foliant.llm.graph import components
 
 WORDS = 5
@@ -32,18 +37,7 @@ _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, ROWS * BANDS, np.uin
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted hashes of the text's shingles, each once; a text of fewer words is one shingle."""
-    found = text.encode().lower().split() if text else []  # of bytes, as simhash.fingerprint() reads them
-    if not found:
-        return np.empty(0, np.uint64)
-    line, digest = b" ".join(found), xxhash.xxh64_intdigest
-    n = len(found) - words + 1
-    if n <= 1:
-        return np.array([digest(line, seed=SEED)], np.uint64)
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    ends = np.cumsum(sizes + 1) - 1
-    starts = ends - sizes
-    hashes = [digest(line[a:b], seed=SEED) for a, b in zip(starts[:n].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    return np.unique(np.array(hashes, np.uint64))
+    return np.unique(simhash.shingle_hashes(text, words))
 
 
 def bands(shingles: np.ndarray) -> list[int]:
@@ -115,6 +109,8 @@ def _verify(least: float):
                 sets.append(values[ends[r] : ends[r + 1]].copy())
         if nodes:
             yield links()
+        nodes, sides, sets, batch, lists, values = [], [], [], None, None, None
+        release()
 
     return run
 
@@ -141,20 +137,21 @@ def one_of_each(docs: DataFrame, least: float = LEAST, words: int = WORDS, doc_i
         def run(texts):
             sets = [shingle_set(t, words) for t in texts]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed=SEED) for s in sets], np.uint64).view(np.int64)
-            return [nodes, [bands(s) for s in sets]]
+            prints = np.array([simhash.majority(s) for s in sets], np.uint64).view(np.int64)
+            return [nodes, prints, [bands(s) for s in sets]]
 
         return run
 
     def sets():
         return lambda texts: [[shingle_set(t, words).view(np.int64) for t in texts]]
 
-    signed = cut(annotate(base, signatures, [field("node", "long"), field("bands", "array<long>")], carry=["row", "doc_id"]), "signatures")
+    kinds = [field("node", "long"), field("fingerprint", "long"), field("bands", "array<long>")]
+    signed = cut(annotate(base, signatures, kinds, carry=["row", "doc_id"]), "signatures")
     # structs compare by their first fields, so rows without an id come last
-    first = signed.groupBy("node").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first"))
-    first = cut(first, "nodes")
-    buckets = cut(signed.select("node", F.explode("bands").alias("bucket")).distinct(), "buckets")
-    stars = buckets.groupBy("bucket").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("bucket", "m")
-    candidates = components(buckets.join(stars, "bucket").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v")))
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first")
+    first = cut(signed.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), first), "nodes")
+    links = _like_prints(first).unionByName(_like_bands(signed))
+    candidates = components(links)
     members = cut(candidates.join(first, "node").select("node", "root", F.col("first.row").alias("row")), "members")
     texts = base.select("row", "text").join(members, "row").dropDuplicates(["node"])
     texts = cut(annotate(texts, sets, [field("shingles", "array<long>")], carry=["node", "root"]), "sets")
@@ -164,6 +161,25 @@ def one_of_each(docs: DataFrame, least: float = LEAST, words: int = WORDS, doc_i
     left = docs.withColumn("__row", row).join(kept, "__row", "left_semi")
     # rows that agree in id and text
     again = cut(signed.groupBy("row").count().where("count > 1").select(F.col("row").alias("__row")), "again")
+    for written in (signed, first, members, texts):
+        drop_cut(written)
     if not again.isEmpty():
         left = left.join(again, "__row", "left_anti").unionByName(left.join(again, "__row", "left_semi").dropDuplicates(["__row"]))
     return left.select(*[f"`{c}`" for c in docs.columns])
+
+
+def _like_prints(nodes: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """Links (u, v) of nodes whose fingerprints lie within the radius, directly or by way of others."""
+    leasts = cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("m")), "prints")
+    near = simhash.near_links(leasts.select("fingerprint"), radius)
+    one, other = (leasts.select(F.col("fingerprint").alias(k), F.col("m").alias(n)) for k, n in (("u", "a"), ("v", "b")))
+    across = near.join(one, "u").join(other, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    same = nodes.select("fingerprint", "node").join(leasts, "fingerprint").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+    return across.unionByName(same)
+
+
+def _like_bands(signed: DataFrame) -> DataFrame:
+    """Links (u, v) of nodes that share a band, as a star in each bucket."""
+    buckets = cut(signed.select("node", F.explode("bands").alias("bucket")).distinct(), "buckets")
+    stars = buckets.groupBy("bucket").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("bucket", "m")
+    return buckets.join(stars, "bucket").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))

@@ -4,7 +4,9 @@ Texts that agree share a fingerprint, so only distinct fingerprints are compared
 some blocks of its bits (the pigeonhole principle): fingerprints meet in the buckets of each choice of blocks, and a
 bucket of more than TILE fingerprints is dealt into tiles, of which every two meet as a task of their own. Inside,
 fingerprints are ordered by population count; squares of rows whose counts differ by more than the radius are skipped and
-the rest is compared exactly with numpy's exclusive-or and bit counts. A tile gives a forest of its links, not all pairs.
+the rest is compared exactly with numpy's exclusive-or and bit counts. Buckets of SMALL fingerprints or fewer, which would
+make squares of a few rows each, are laid side by side in one tile, ordered by bucket and count, and compared along its
+diagonals, with the same skip. A tile gives a forest of its links, not all pairs.
 
 Null and wordless texts have the fingerprint zero and are linked like any other. Very long texts are read whole. Rows
 with the same id are one document for component ids; repeated rows come back each. An empty table gives an empty result.
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.base import annotate, cut, field, table
+from foliant.llm.base import annotate, cut, field, release, table
 from foliant.llm.graph import components
 
 SHINGLE = 4
@@ -31,27 +33,38 @@ SEED = 42
 TILE = 4096
 #: Rows and columns of the squares inside a tile.
 SQUARE = 1024
+#: Fingerprints up to which buckets share a tile.
+SMALL = 64
 #: Links kept in a task before they are reduced to a forest.
 REDUCE_AT = 1_000_000
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bit b is set if it is set in over half of the hashes of the text's shingles, repeats included."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the text's shingles in their order; a text of fewer words is one shingle."""
     words = text.encode().lower().split() if text else []  # of bytes: A-Z alone, and the six ASCII separators
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     line, digest = b" ".join(words), xxhash.xxh64_intdigest
     n = len(words) - shingle + 1
     if n <= 1:
-        return digest(line, seed=SEED)
+        return np.array([digest(line, seed=SEED)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    hashes = np.fromiter([digest(line[a:b], seed=SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64, n)
+    return np.fromiter([digest(line[a:b], seed=SEED) for a, b in zip(starts[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64, n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit b is set if it is set in over half of the hashes."""
     bits = np.zeros(64, np.int64)
-    for i in range(0, n, 65536):
+    for i in range(0, len(hashes), 65536):
         bits += np.unpackbits(hashes[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > n, bitorder="little").view(np.uint64)[0])
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """The fingerprint of the hashes of the text's shingles, repeats included; zero without a word."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", carry: list[str] | None = None, shingle: int = SHINGLE) -> DataFrame:
@@ -121,15 +134,19 @@ def _compare(radius: int):
         """Pairs within the radius among rows of the same key; rows are ordered by key."""
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
-        small = np.repeat(sizes <= 64, sizes)
+        small = np.repeat(sizes <= SMALL, sizes)
         k, x = key[small], values[small]
-        for step in range(1, 64):
-            same = np.flatnonzero(k[:-step] == k[step:]) if len(k) > step else ()
-            if not len(same):
+        count = np.bitwise_count(x).astype(np.int64)
+        order = np.lexsort((count, k))
+        k, x, count = k[order], x[order], count[order]
+        for step in range(1, SMALL):
+            # counts rise along a diagonal's distance, so if no pair is left here, none is beyond
+            close = np.flatnonzero((k[:-step] == k[step:]) & (count[step:] - count[:-step] <= radius)) if len(k) > step else ()
+            if not len(close):
                 break
-            hit = same[np.bitwise_count(x[same] ^ x[same + step]) <= radius]
+            hit = close[np.bitwise_count(x[close] ^ x[close + step]) <= radius]
             yield x[hit], x[hit + step]
-        for s, n in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        for s, n in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
             part = values[s : s + n]
             for a, b in tile_links(part, radius):
                 yield part[a], part[b]
@@ -158,6 +175,8 @@ def _compare(radius: int):
                         us, vs, held = [u], [v], len(u)
         u, v = reduced()
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=names)
+        us = vs = u = v = key = values = left_key = left = batch = None
+        release()
 
     return run
 
@@ -208,22 +227,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id
     return prints.join(groups(prints, radius), "fingerprint")
 
 
-def one_of_each(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The rows of docs whose id is the least of its component, with the columns of docs.
-
-    Of rows that repeat an id one stays; rows without an id all stay, as they cannot be told apart.
-    """
-    prints = cut(fingerprints(docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("text")), "text", ["doc_id"], shingle), "prints")
-    found = prints.join(groups(prints, radius), "fingerprint")
-    copies = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "copies")
-    left = docs.join(copies, docs[f"`{doc_id}`"] == copies["__id"], "left_anti")
-    again = cut(prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__id")), "again")
-    if again.isEmpty():
-        return left
-    same = left[f"`{doc_id}`"] == again["__id"]
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([doc_id]))
-
-
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")

@@ -7,6 +7,7 @@ from collections import Counter
 from zlib import crc32
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -318,6 +319,32 @@ def test_equal_texts_share_a_shard(spark):
 # --- 7
 
 
+def test_small_and_large_buckets_give_the_same_links(monkeypatch):
+    """Buckets in one tile or each in squares: the links join the same fingerprints, those of one key alone."""
+    rng = np.random.default_rng(3)
+    keys = np.sort(rng.integers(0, 40, 600))
+    values = rng.integers(0, 1 << 8, 600, np.uint64) << np.uint64(3)
+    values[::7] = (1 << 64) - 1
+    rows = pa.RecordBatch.from_arrays([pa.array(keys), pa.array(values.view(np.int64))], names=["key", "fingerprint"])
+    near = [(a, b) for a in range(600) for b in range(a) if keys[a] == keys[b] and (int(values[a]) ^ int(values[b])).bit_count() <= 2 and values[a] != values[b]]
+    want = plain_classes([(int(values[a]), int(values[b])) for a, b in near])
+    for small in (0, 12, 64):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        monkeypatch.setattr(simhash, "SQUARE", 8)
+        out = list(simhash._compare(2)(iter([rows.slice(0, 100), rows.slice(100)])))
+        pairs = [(u & (1 << 64) - 1, v & (1 << 64) - 1) for b in out for u, v in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert plain_classes(pairs) == want
+
+
+def plain_classes(links):
+    group = {}
+    for a, b in links:
+        one = group.get(a, {a}) | group.get(b, {b})
+        for x in one:
+            group[x] = one
+    return {frozenset(g) for g in group.values()}
+
+
 def plain_fingerprint(text):
     words = (text or "").encode().lower().split()
     runs = [b" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
@@ -375,13 +402,6 @@ def test_components_of_a_long_chain(spark):
     assert {(r.node, r.root) for r in graph.components(links).collect()} == {(i, 0) for i in range(n)}
 
 
-def test_one_of_each_group_stays(spark):
-    text = " ".join(f"w{i}" for i in range(400))
-    df = docs(spark, [text, text + " more", "something else entirely and long", None, "", text], 10)
-    got = simhash.one_of_each(df.unionByName(df.where("doc_id = 12")))
-    assert sorted(r.doc_id for r in got.collect()) == [10, 12, 13] and got.columns == df.columns
-
-
 def plain_similarity(a, b):
     def parts(text):
         words = (text or "").lower().split()
