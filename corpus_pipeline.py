@@ -1,6 +1,8 @@
 """A corpus from raw documents to token digests: five stages, each written as Parquet and read again by the next.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, in their order
+and under their names, whatever these are beside doc_id, text, lang and n_chars. An empty table gives an empty table. Texts
+are read whole. Rows may repeat and may have a null in any column; each stage says what becomes of them.
 """
 
 from __future__ import annotations
@@ -15,8 +17,6 @@ from foliant.llm.base import shared_dir, table
 
 #: Near copies: texts whose sets of shingles of so many words have so large a Jaccard similarity at least.
 NEAR_WORDS, NEAR_LEAST = 5, 0.8
-#: The radius of fingerprints that decided before; no stage reads it, the test of the pipeline does.
-NEAR_BITS = 8
 
 
 def _as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
@@ -24,23 +24,37 @@ def _as_before(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; the models are learned from these documents' own lang."""
+    """Documents whose language is recognised; the models are learned from these documents' own lang.
+
+    Null and empty texts and texts without a letter have no language and go, and so does every text if no row has a lang.
+    Of languages that score alike the first by name counts. Repeated rows are judged each, alike; a null doc_id or lang is kept.
+    """
     found = langid.identify(docs, langid.fit(docs), prefix="__langid_")
     return _as_before(found.where(~F.col("__langid_rejected")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group that near copies link."""
+    """The document of least doc_id of each group that near copies link.
+
+    Null, empty and wordless texts are copies of each other. Rows without a doc_id come after those with one, and of rows
+    that tie the least hash of id and text stays; of rows that repeat an id and a text one stays.
+    """
     return shingles.one_of_each(docs, NEAR_LEAST, NEAR_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
+    """Documents that the benchmark does not contaminate.
+
+    Null and wordless texts stay. Rows that share a doc_id, or have none, are judged each by its text; repeated rows alike.
+    """
     return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with every secret in their texts replaced by a mark; n_chars follows the text."""
+    """All documents, with every secret in their texts replaced by a mark; n_chars, if there, follows the text.
+
+    Null texts and their n_chars stay null; repeated rows are rewritten alike; spans that overlap become one mark.
+    """
     clean = secrets.redacted(docs)
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")))
@@ -48,7 +62,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the digests of the ids and of their decoding."""
+    """doc_id, n_tokens and the digests of the ids and of their decoding, a row for each document.
+
+    Null texts count as empty; repeated rows and null ids come back each.
+    """
     return bpe.digest(docs.select("doc_id", "text"), bpe.vocabulary(), carry=["doc_id"])
 
 
@@ -60,7 +77,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: SQL cannot express the models, the fingerprints' hash or the encoding; tests hold run() against plain Python.
+#: SQL cannot express the models, the hashes of shingles or the encoding; tests hold run() against plain Python.
 ORACLE_SQL = None
 
 
