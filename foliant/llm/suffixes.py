@@ -4,35 +4,42 @@ A passage counts as repeated if LENGTH bytes of it start anywhere else too. Ever
 leftmost of its GRAM-byte strings of least hash. Windows in a row that share an anchor form a piece, and equal windows
 have equal anchors at equal places, so only pieces of the same anchor need comparing, aligned at the anchor.
 
-Pieces that are equal as a whole are found by digest. Where pieces of one anchor differ, they are sorted column by column:
-each round inserts one symbol of every string, from the last column to the first, and updates the order of the suffixes
-that start there and the common prefixes of neighbours. After each round, a suffix that shares LENGTH symbols with a
-neighbour starts a repeated window. Suffixes of different anchors or columns can share no window, so the transform of
+Pieces that are equal as a whole are found by 128-bit digest. Where pieces of one anchor differ, they are sorted column by
+column: each round inserts one symbol of every string, from the last column to the first, and updates the order of the
+suffixes that start there and the common prefixes of neighbours. After each round, a suffix that shares LENGTH symbols with
+a neighbour starts a repeated window. Suffixes of different anchors or columns can share no window, so the transform of
 the collection is held as one column at a time, and a round costs the strings' number and not the text so far.
 
+A task sorts GROUP strings of an anchor at most. Where more share one, as around a passage that many documents hold, the
+columns where a window can start are halved again and again. The strings of a half are grouped by the bytes that all windows
+of that half hold, and those that have become equal count as one, so a passage's inside falls together and its edges part.
+
 Null and empty texts, and texts shorter than LENGTH, lose nothing. Very long texts are read in blocks that overlap by a
-window, whole. Rows may repeat: each is a text, so such rows are copies of each other. An empty table gives an empty
-result. Only the id and the text are read, so other columns cannot clash.
+window, whole. Rows may repeat: each is a text, so such rows are copies of each other. There are no ties to break: every
+one of several equal windows is removed. An empty table gives an empty result. Only the id and the text are read, so other
+columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm.base import annotate, bound_batches, cut, field, table
+from foliant.llm.base import annotate, bound_batches, cut, drop_cut, field, release, table
 
 LENGTH = 400
 GRAM = 64
 #: Windows of a text that are hashed at a time.
 BLOCK = 1 << 18
-#: Different pieces of one anchor that one task sorts; beyond, their windows are counted by digest.
-HOT = 50_000
-#: Bytes of pieces that a task sorts at a time; whole anchors stay together.
+#: Strings of one group that a task sorts at most; a group of more is parted.
+GROUP = 256
+#: Bytes of pieces that a task sorts at a time; whole groups stay together, so there may be GROUP strings more.
 SORTED_BYTES = 4 << 20
 
 _U = np.uint64
@@ -65,13 +72,19 @@ class Hasher:
         return h ^ (h >> _U(29))
 
 
-_HASHERS: list[Hasher] = []
+_HASHER: list[Hasher] = []
+
+
+def hasher() -> Hasher:
+    """The hash that chooses anchors. Strings that it confuses only meet in a group; they are told apart by their bytes."""
+    if not _HASHER:
+        _HASHER.append(Hasher(BLOCK + 4 * LENGTH, 11))
+    return _HASHER[0]
 
 
-def hashers() -> list[Hasher]:
-    if not _HASHERS:
-        _HASHERS.extend(Hasher(BLOCK + 4 * LENGTH, seed) for seed in (11, 23))
-    return _HASHERS
+def digests(strings: list[bytes]) -> np.ndarray:
+    """128-bit digests as two longs each."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, strings)), np.int64).reshape(-1, 2)
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -84,11 +97,11 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def pieces(text: bytes, length: int = LENGTH, gram: int = GRAM):
-    """Arrays (anchor, digest, second digest, start, size, offset of the anchor) of a text's pieces, block by block."""
-    first, second = hashers()
+    """Arrays (anchor, start, size, offset of the anchor) of a text's pieces, block by block."""
+    first = hasher()
     for at in range(0, len(text) - length + 1, BLOCK):
         block = np.frombuffer(text, np.uint8)[at : at + BLOCK + length - 1]
-        sums, more = first.sums(block), second.sums(block)
+        sums = first.sums(block)
         places = np.arange(len(block) - gram + 1)
         grams = first.of(sums, places, places + gram)
         # ordered by the hash's upper bits and then by place, so that the leftmost of equals is least
@@ -97,23 +110,25 @@ def pieces(text: bytes, length: int = LENGTH, gram: int = GRAM):
         start = np.flatnonzero(np.concatenate([[True], anchor_at[1:] != anchor_at[:-1]]))
         end = np.append(start[1:], len(anchor_at)) - 1 + length
         where = anchor_at[start]
-        yield grams[where], first.of(sums, start, end), second.of(more, start, end), start + at, end - start, where - start
+        yield grams[where].view(np.int64), start + at, end - start, where - start
 
 
 def _pieces_of(rows, length: int, gram: int):
-    """Lists of the rows of pieces of several texts: the text's row and a piece of it each, equal ones of a text once."""
+    """Of several texts: the text's row, anchor, digest, size and offset of each piece, equal ones of a text once; and
+    how many of a piece there are, with their starts."""
     out = [[] for _ in range(8)]
     for i, text in enumerate(rows):
         if not text or len(text) * 4 < length or len(raw := text.encode()) < length:
             continue
-        columns = [np.concatenate(c) for c in zip(*pieces(raw, length, gram), strict=True)]
-        _, first, inverse, count = np.unique(columns[0] * _U(0x9E3779B97F4A7C15) ^ columns[1], return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(inverse, kind="stable")
-        out[0].append(np.full(len(first), i))
-        for k, c in enumerate((*columns[:3], columns[4], columns[5])):
-            out[k + 1].append(c[first].astype(np.int64))
-        out[6].append(count)
-        out[7].append(columns[3][order])
+        anchor, start, size, offset = (np.concatenate(c) for c in zip(*pieces(raw, length, gram), strict=True))
+        d = digests([raw[a:b] for a, b in zip(start.tolist(), (start + size).tolist(), strict=True)])
+        order = np.lexsort((d[:, 1], d[:, 0]))  # stable, so starts rise among equals
+        d = d[order]
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]).any(axis=1)]))
+        one = order[first]
+        columns = np.full(len(first), i), anchor[one], d[first, 0], d[first, 1], size[one], offset[one], np.diff(np.append(first, len(d))), start[order]
+        for column, c in zip(out, columns, strict=True):
+            column.append(c)
     return [np.concatenate(c) if c else np.empty(0, np.int64) for c in out]
 
 
@@ -132,6 +147,7 @@ def _cut_texts(length: int, gram: int):
                     [batch.column(0).take(at), batch.column(1).take(at), pa.array(anchor), pa.array(d1), pa.array(d2), pa.array(size.astype(np.int32)), pa.array(offset.astype(np.int32)), listed],
                     names=names,
                 )
+        release()
 
     return run
 
@@ -212,51 +228,98 @@ def _spans(flags: np.ndarray, low: int, length: int) -> list[dict]:
 _SPANS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
-def _sort_pieces(length: int, gram: int):
-    """Pieces ordered by anchor in; each with the spans of it that its anchor's other pieces repeat out."""
+def _sort_strings(length: int, gram: int):
+    """Strings (keys, column of the first byte, bytes) ordered by their group in; spans that others of the group repeat out."""
 
     def done(rows):
-        anchor = np.array([r[0] for r in rows], np.int64)
-        _, group = np.unique(anchor, return_inverse=True)
-        offset = np.array([r[3] for r in rows], np.int64)
-        flags = repeated_windows(group, [r[4] for r in rows], offset, length, gram)
-        spans = [_spans(f, length - gram - int(o), length) for f, o in zip(flags, offset, strict=True)]
-        columns = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(spans, _SPANS)], names=["anchor", "d1", "d2", "spans"])
+        group = np.unique([r[:2] for r in rows], axis=0, return_inverse=True)[1].ravel()
+        low = np.array([r[5] for r in rows], np.int64)
+        flags = repeated_windows(group, [r[6] for r in rows], length - gram - low, length, gram)
+        # spans of the piece that the string is of, from the place in it where the string starts
+        spans = [[{k: v + r[4] for k, v in s.items()} for s in _spans(f, int(r[5]), length)] for f, r in zip(flags, rows, strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3)), pa.array(spans, _SPANS)], names=["d1", "d2", "spans"])
 
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and size > SORTED_BYTES and r[0] != held[-1][0]:
+                if held and size > SORTED_BYTES and r[:2] != held[-1][:2]:
                     yield done(held)
                     held, size = [], 0
                 held.append(r)
-                size += len(r[4])
+                size += len(r[6])
         if held:
             yield done(held)
+        held = batch = r = None
+        release()
 
     return run
 
 
-def _window_digests(length: int, gram: int):
-    """Each window of the pieces in, by its two digests out."""
+def _halve(length: int):
+    """Strings with the range of columns [a, b] where their windows start in; those of the two halves of the range out."""
+    names = [*STRING, "a", "b", "s1", "s2"]
 
     def run(batches):
-        first, second = hashers()
-        names = ["anchor", "d1", "d2", "start", "w1", "w2"]
         for batch in batches:
-            for a, d1, d2, _, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                block = np.frombuffer(raw, np.uint8)
-                start = np.arange(len(block) - length + 1)
-                w = [h.of(h.sums(block), start, start + length).view(np.int64) for h in (first, second)]
-                same = [pa.array(np.full(len(start), x)) for x in (a, d1, d2)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(start.astype(np.int32)), *map(pa.array, w)], names=names)
+            out = []
+            for _, _, d1, d2, shift, low, raw, a, b in zip(*(batch.column(c).to_pylist() for c in [*STRING, "a", "b"]), strict=True):
+                middle = (a + b) // 2
+                for x, y in ((a, middle), (middle + 1, b)):
+                    start, end = max(x, low), min(y, low + len(raw) - length)  # of windows
+                    if start <= end:
+                        part = raw[start - low : end - low + length]
+                        core = raw[y - low : x + length - low]  # in every window that starts from x to y
+                        out.append((core, d1, d2, shift + start - low, start, part, x, y))
+            core, d1, d2, shift, low, part, x, y = zip(*out, strict=True) if out else [()] * 8
+            # a group is a range and its core; the digest of a part includes where it starts
+            g = digests([b"%d %d " % (p, q) + c for p, q, c in zip(x, y, core, strict=True)])
+            s = digests([b"%d " % p + c for p, c in zip(low, part, strict=True)])
+            arrays = [g[:, 0], g[:, 1], d1, d2, shift, low, part, x, y, s[:, 0], s[:, 1]]
+            types = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()] + [pa.int32()] * 2 + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(arrays, types, strict=True)], names=names)
+        release()
 
     return run
 
 
-def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+#: Of a string to sort: its group, the piece that it is of, where it starts there, the column of its first byte, its bytes.
+STRING = ["g1", "g2", "d1", "d2", "shift", "low", "raw"]
+_STRING = "g1 bigint, g2 bigint, d1 bigint, d2 bigint, shift int, low int, raw binary"
+
+
+def _sorted(strings: DataFrame, length: int, gram: int) -> DataFrame:
+    dealt = strings.select(STRING).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    return dealt.mapInArrow(_sort_strings(length, gram), "d1 bigint, d2 bigint, spans array<struct<a:int,b:int>>").where(F.size("spans") > 0)
+
+
+def _partly_repeated(strings: DataFrame, length: int, gram: int, group: int) -> list[DataFrame]:
+    """Tables (d1, d2, spans) of pieces that share windows with others; strings: STRING and kinds, how many share the group."""
+    found = [cut(_sorted(strings.where(F.col("kinds") <= group), length, gram), "spans")]
+    more = strings.where(F.col("kinds") > group).withColumns({"a": F.lit(0), "b": F.lit(length - gram)})
+    written = None
+    while not more.isEmpty():  # a range of one column has equal strings alone, so this ends
+        parts = cut(more.mapInArrow(_halve(length), f"{_STRING}, a int, b int, s1 bigint, s2 bigint"), "parts")
+        alike = ["g1", "g2", "s1", "s2"]
+        distinct = cut(parts.groupBy(alike).agg(F.count("*").alias("n"), F.min(F.struct("d1", "d2")).alias("one")), "distinct")
+        groups = cut(distinct.groupBy("g1", "g2").agg(F.count("*").alias("kinds")).where("kinds > 1"), "groups")
+        # a part that several pieces have is repeated whole in all of them
+        end = (F.col("shift") + F.octet_length("raw")).cast("int")
+        span = F.array(F.struct(F.col("shift").alias("a"), end.alias("b"))).alias("spans")
+        whole = parts.join(distinct.where("n > 1").select(alike), alike).select("d1", "d2", span)
+        # one piece of each such part stands for all of them from here on
+        ones = cut(distinct.join(groups, ["g1", "g2"]).select(*alike, "one.d1", "one.d2", "kinds"), "ones")
+        left = cut(parts.join(ones, [*alike, "d1", "d2"]).select(*STRING, "a", "b", "kinds"), "strings")
+        found.append(cut(whole.unionByName(_sorted(left.where(F.col("kinds") <= group), length, gram)), "spans"))
+        for old in (parts, distinct, groups, ones, *([written] if written else [])):
+            drop_cut(old)
+        written, more = left, left.where(F.col("kinds") > group)
+    if written:
+        drop_cut(written)
+    return found
+
+
+def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(k1, k2, spans): the stretches of each text to remove, as [{a, b}] in bytes, not yet merged; k1, k2 are id and hash."""
     bound_batches(docs.sparkSession)
     keyed = docs.select(docs[f"`{doc_id}`"].alias("k1"), F.xxhash64(docs[f"`{text}`"]).alias("k2"), docs[f"`{text}`"].alias("text"))
@@ -270,29 +333,27 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     mixed = distinct.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     sought = cut(distinct.join(mixed, "anchor").select("anchor", "d1", "d2", "n", "kinds", "one.*"), "sought")
 
-    # the bytes of one of each of the different pieces that share an anchor
+    # the bytes of one of each of the different pieces that share an anchor; the anchor is at column `reach` of all
     wanted = F.struct("anchor", "d1", "d2", "offset", "kinds", "start", "size")
     by_text = sought.groupBy("k1", "k2").agg(F.collect_list(wanted).alias("wanted"))
     same = keyed["k1"].eqNullSafe(by_text["k1"]) & (keyed["k2"] == by_text["k2"])
     strings = keyed.join(by_text, same).select("text", F.explode("wanted").alias("w"))
-    strings = strings.select("w.anchor", "w.d1", "w.d2", "w.offset", F.expr("substring(cast(text as binary), w.start + 1, w.size)").alias("raw"), "w.kinds")
-    strings = cut(strings.dropDuplicates(["anchor", "d1", "d2"]), "strings")
-
-    out = "anchor bigint, d1 bigint, d2 bigint, spans array<struct<a:int,b:int>>"
-    cold = strings.where(F.col("kinds") <= hot).drop("kinds")
-    sorted_spans = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_pieces(length, gram), out)
-    windows = strings.where(F.col("kinds") > hot).drop("kinds").mapInArrow(_window_digests(length, gram), "anchor bigint, d1 bigint, d2 bigint, start int, w1 bigint, w2 bigint")
-    windows = cut(windows, "windows")
-    again = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2")
-    hot_spans = windows.join(again, ["w1", "w2"], "left_semi").groupBy("anchor", "d1", "d2").agg(
-        F.collect_list(F.struct(F.col("start").alias("a"), (F.col("start") + length).cast("int").alias("b"))).alias("spans")
-    )
-    partly = sorted_spans.unionByName(hot_spans)
-    whole = distinct.where("n > 1").select("anchor", "d1", "d2", F.array(F.struct(F.lit(0).alias("a"), F.col("one.size").alias("b"))).alias("spans"))
-    bad = whole.unionByName(partly.join(distinct.where("n = 1").select("anchor", "d1", "d2"), ["anchor", "d1", "d2"], "left_semi").where(F.size("spans") > 0))
-    bad = cut(bad, "bad")
-
-    met = found.join(bad, ["anchor", "d1", "d2"]).select("k1", "k2", F.explode("starts").alias("start"), "spans")
+    raw = F.expr("substring(cast(text as binary), w.start + 1, w.size)").alias("raw")
+    low = (F.lit(length - gram) - F.col("w.offset")).alias("low")
+    strings = strings.select(F.col("w.anchor").alias("g1"), F.lit(0).cast("long").alias("g2"), "w.d1", "w.d2", F.lit(0).alias("shift"), low, raw, "w.kinds")
+    strings = cut(strings.dropDuplicates(["d1", "d2"]), "strings")
+    drop_cut(sought)
+
+    partly = _partly_repeated(strings, length, gram, group)
+    whole = distinct.where("n > 1").select("d1", "d2", F.array(F.struct(F.lit(0).alias("a"), F.col("one.size").alias("b"))).alias("spans"))
+    once = reduce(DataFrame.unionByName, partly).join(distinct.where("n = 1").select("d1", "d2"), ["d1", "d2"], "left_semi")
+    # a span or a few for each round and column range of a piece, so a piece's list is bounded by its length
+    once = once.groupBy("d1", "d2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    bad = cut(whole.unionByName(once), "bad")
+    for written in (strings, *partly, distinct):
+        drop_cut(written)
+
+    met = found.join(bad, ["d1", "d2"]).select("k1", "k2", F.explode("starts").alias("start"), "spans")
     moved = F.transform("spans", lambda s: F.struct((F.col("start") + s["a"]).alias("a"), (F.col("start") + s["b"]).alias("b")))
     # a span for each piece of a text, so a text's list is bounded by its length
     return met.select("k1", "k2", moved.alias("spans")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -309,9 +370,9 @@ def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     return out
 
 
-def removal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, keep_text: bool = False) -> DataFrame:
+def removal(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; and kept, the remaining bytes, if asked for."""
-    spans = repeats(docs, doc_id, text, length, gram, hot)
+    spans = repeats(docs, doc_id, text, length, gram, group)
     keyed = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.xxhash64(docs[f"`{text}`"]).alias("h"), docs[f"`{text}`"].alias("text"))
     joined = keyed.join(spans, keyed["doc_id"].eqNullSafe(spans["k1"]) & (keyed["h"] == spans["k2"]), "left")
     rows = joined.select("doc_id", F.struct("text", "spans").alias("work"))
