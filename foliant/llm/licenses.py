@@ -1,8 +1,8 @@
 """License scans by ordered signature rules, with DataFrame functions alone.
 
 A rule is a regular expression over the words of a text (lower-cased in A-Z, one space between), a label, a priority and
-two keywords. The gate keywords, a few for all rules, choose the texts that any rule can match; a rule's own keyword is
-looked for before its expression is tried. Of overlapping detections, one that lies inside another of the same or a better
+keywords, of which every match holds one, and gates likewise. The gates of all rules choose the texts that any rule can match;
+a rule's keywords are looked for before its expression is tried. Of overlapping detections, one that lies inside another of the same or a better
 priority is suppressed. The rules of BASE are always kept and are counted on their own.
 
 Null and wordless texts have no detections and score 0. Texts are read whole; the work for a text grows with its length,
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,14 +25,6 @@ from foliant.llm.base import count_words, cut, normal_words, table
 #: Phrase -> label, as the contract fixes them.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Every match of a rule holds one of these, or one of GATE_WORDS as a word.
-GATES = (
-    "licen", "spdx", "copyright", "public domain", "creative commons", "cc by", "cc0", "gpl", "wtfpl", "all rights reserved",
-    "released under", "distributed under", "published under", "available under", "provided under", "covered under", "issued under",
-    "bsd", "cddl", "eupl", "mit no attribution", "mulan",
-)
-GATE_WORDS = ("mpl", "epl")
-
 LIC = "licen[cs]e"
 #: label, keywords of which every match of the name holds one, name in running text, name after "under the", versions.
 FAMILIES = [
@@ -97,6 +90,13 @@ FAMILIES = [
     ("mulan", "mulan", f"mulan (?:permissive software|psl)(?: {LIC})?", None, ("1.0", "2.0")),
     ("cecill", "cecill", f"cecill(?: free software)?(?: {LIC})", None, ("1.0", "2.0", "2.1")),
 ]
+#: What a mention of these families holds if it need not hold "licen": short names are looked for as words.
+SHORT = {
+    **dict.fromkeys(("gpl", "lgpl", "agpl"), ("gpl", "licen")), "mit-0": ("mit no attribution",), "mpl": ("(?<![^ ])mpl(?![^ ])", "licen"), "epl": ("(?<![^ ])epl(?![^ ])", "licen"),
+    **dict.fromkeys(("0bsd", "bsd-1-clause", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause"), ("bsd",)), "cddl": ("cddl", "licen"), "eupl": ("eupl", "licen"),
+    "wtfpl": ("wtfpl",), "cc0": ("cc0", "creative commons"), "mulan": ("mulan",),
+    **dict.fromkeys(("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"), ("cc by", "creative commons")),
+}
 #: Rules that belong to no family: label, keyword, expression, priority.
 SINGLE = [
     ("public-domain", "public domain", "(?:released|dedicated|placed|is) (?:in|into|to) the public domain", 1),
@@ -107,28 +107,138 @@ SINGLE = [
     ("licensed", "licen", "licen[cs]ed under", 3),
     ("licensed", "licen", "see (?:the )?licen[cs]e(?: file)?", 3),
 ]
+#: The licenses' own wording, and the notices that they ask for: label, keyword, expression, priority.
+WORDING = [
+    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1),
+    ("mit", "the above copyright notice and this permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 1),
+    ("mit", "deal in the software", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell", 1),
+    ("mit", "authors or copyright holders", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", 2),
+    ("mit", "other dealings in the software", "out of or in connection with the software or the use or other dealings in the software", 2),
+    ("mit-modern", "permission is hereby granted without written", "permission is hereby granted without written agreement and without licen[cs]e or royalty fees", 1),
+    ("x11", "dealings in this software", "shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authori[sz]ation", 1),
+    ("hpnd", "permission to use copy modify", "permission to use copy modify (?:and )?distribute (?:and sell )?this software and its documentation for any purpose(?: and without fee)? is hereby granted", 1),
+    ("hpnd", "appear in supporting documentation", "both that copyright notice and this permission notice appear in supporting documentation", 2),
+    ("isc", "permission to use copy modify", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted", 1),
+    ("isc", "appear in all copies", "provided that the above copyright notice and this permission notice appear in all copies", 1),
+    ("isc", "the author disclaims all warranties", "the software is provided as is and the author disclaims all warranties", 2),
+    ("0bsd", "permission to use copy modify", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted the software is provided", 1),
+    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted(?: provided that the following conditions are met)?", 1),
+    ("bsd", "redistributions of source code", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", 1),
+    ("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer", 1),
+    ("bsd-3-clause", "endorse or promote products", "neither the names? of (?:[0-9a-z]+ ){0,12}nor the names of (?:its|their|any) contributors may be used to endorse or promote products derived from this software", 1),
+    ("bsd-4-clause", "all advertising materials", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 1),
+    ("bsd", "by the copyright holders and contributors", "this software is provided by the copyright holders and contributors as is and any express or implied warranties", 2),
+    ("bsd", "by the regents and contributors", "this software is provided by the regents and contributors as is", 2),
+    ("bsd-2-clause-views", "views and conclusions", "the views and conclusions contained in the software and documentation are those of the authors", 1),
+    ("bsd-3-clause-clear", "no express or implied licen", "no express or implied licen[cs]es to any party s patent rights are granted by this licen[cs]e", 1),
+    ("apache-2.0", "you may not use this file except", "you may not use this file except in compliance with the licen[cs]e", 1),
+    ("apache-2.0", "www apache org", "you may obtain a copy of the licen[cs]e at (?:https? )?www apache org licen[cs]es licen[cs]e 2 0", 1),
+    ("apache-2.0", "without warranties or conditions", "distributed on an as is basis without warranties or conditions of any kind either express or implied", 1),
+    ("apache-2.0", "terms and conditions for use", "terms and conditions for use reproduction and distribution", 2),
+    ("apache-2.0", "each contributor hereby grants", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[cs]e", 1),
+    ("apache-1.1", "apache software foundation", "this product includes software developed by the apache software foundation", 1),
+    ("gpl", "this program is free software", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public licen[cs]e", 1),
+    ("gpl", "this program is distributed in the hope", "this program is distributed in the hope that it will be useful but without any warranty", 1),
+    ("gpl", "copy of the gnu general", "you should have received a copy of the gnu general public licen[cs]e along with this program", 1),
+    ("gpl", "absolutely no warranty", "comes with absolutely no warranty", 3),
+    ("gpl-2.0", "take away your freedom", "the licen[cs]es for most software are designed to take away your freedom to share and change it", 1),
+    ("gpl-3.0", "free copyleft", "the gnu general public licen[cs]e is a free copyleft licen[cs]e for software and other kinds of works", 1),
+    ("gpl-3.0", "take away your freedom", "the licen[cs]es for most software and other practical works are designed to take away your freedom to share and change the works", 1),
+    ("gpl-classpath", "special exception", "as a special exception the copyright holders of this library give you permission to link this library with independent modules", 1),
+    ("gpl-gcc", "gcc runtime library", "gcc runtime library exception", 1),
+    ("lgpl", "this library is free software", "this library is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public licen[cs]e", 1),
+    ("lgpl", "copy of the gnu", "you should have received a copy of the gnu (?:lesser|library) general public licen[cs]e along with this library", 1),
+    ("lgpl-3.0", "terms and conditions of version 3", "incorporates the terms and conditions of version 3 of the gnu general public licen[cs]e", 1),
+    ("agpl-3.0", "interacting with it remotely", "offer all users interacting with it remotely through a computer network", 1),
+    ("agpl", "copy of the gnu affero", "you should have received a copy of the gnu affero general public licen[cs]e", 1),
+    ("gfdl", "invariant sections", "with no invariant sections no front cover texts and no back cover texts", 1),
+    ("gfdl", "permission is granted to copy", "permission is granted to copy distribute and or modify this document under the terms of", 1),
+    ("mpl-2.0", "this source code form", "this source code form is subject to the terms of the mozilla public licen[cs]e(?: v 2 0| version 2 0)?", 1),
+    ("mpl-2.0", "incompatible with secondary", "incompatible with secondary licen[cs]es as defined by the mozilla public licen[cs]e", 1),
+    ("mpl-1.1", "contents of this file are subject", "the contents of this file are subject to the mozilla public licen[cs]e version 1 1", 1),
+    ("npl", "netscape public", "netscape public licen[cs]e(?: version 1 [01])?", 2),
+    ("epl", "accompanying materials", "this program and the accompanying materials are made available under the terms of the eclipse public licen[cs]e", 1),
+    ("cpl-1.0", "accompanying program", "the accompanying program is provided under the terms of this common public licen[cs]e", 1),
+    ("cddl", "contents of this file are subject", "the contents of this file are subject to the terms of the common development and distribution licen[cs]e", 1),
+    ("eupl", "under the eupl", "licen[cs]ed under the eupl", 1),
+    ("zlib", "without any express or implied warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", 1),
+    ("zlib", "must not be misrepresented", "the origin of this software must not be misrepresented", 1),
+    ("zlib", "plainly marked as such", "altered source versions must be plainly marked as such", 1),
+    ("bsl-1.0", "permission is hereby granted", "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation", 1),
+    ("bsl-1.0", "person or organi", "to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation", 1),
+    ("unlicense", "free and unencumbered", "this is free and unencumbered software released into the public domain", 1),
+    ("unlicense", "anyone is free to copy", "anyone is free to copy modify publish use compile sell or distribute this software", 1),
+    ("wtfpl", "what the fuck you want", "do what the fuck you want to(?: public licen[cs]e)?", 1),
+    ("beerware", "beer", "beer ?ware licen[cs]e|you can buy me a beer in return", 1),
+    ("cc0", "dedicated the work", "has dedicated the work to the public domain by waiving all of (?:his|her|their) or? ?(?:her|his|their)? ?rights to the work worldwide under copyright law", 1),
+    ("cc0", "no rights reserved", "no rights reserved", 3),
+    ("cc", "creativecommons org", "creativecommons org licen[cs]es", 2),
+    ("cc-by", "creativecommons org", "creativecommons org licen[cs]es by [1-4] [05]", 1),
+    ("cc-by-sa", "creativecommons org", "creativecommons org licen[cs]es by sa [1-4] [05]", 1),
+    ("cc-by-nc", "creativecommons org", "creativecommons org licen[cs]es by nc [1-4] [05]", 1),
+    ("cc-by-nd", "creativecommons org", "creativecommons org licen[cs]es by nd [1-4] [05]", 1),
+    ("cc-by-nc-sa", "creativecommons org", "creativecommons org licen[cs]es by nc sa [1-4] [05]", 1),
+    ("cc-by-nc-nd", "creativecommons org", "creativecommons org licen[cs]es by nc nd [1-4] [05]", 1),
+    ("cc0", "creativecommons org", "creativecommons org publicdomain zero 1 0", 1),
+    ("public-domain", "creativecommons org", "creativecommons org publicdomain mark 1 0", 1),
+    ("cc-by", "you must give appropriate credit", "you must give appropriate credit provide a link to the licen[cs]e and indicate if changes were made", 1),
+    ("cc-by-sa", "distribute your contributions", "you must distribute your contributions under the same licen[cs]e as the original", 1),
+    ("cc-by-nc", "the material for commercial purposes", "you may not use the material for commercial purposes", 1),
+    ("cc-by-nd", "distribute the modified material", "if you remix transform or build upon the material you may not distribute the modified material", 1),
+    ("ofl", "reserved font name", "with reserved font names?", 1),
+    ("ofl", "this font software", "this font software is licen[cs]ed under the sil open font licen[cs]e", 1),
+    ("artistic-2.0", "everyone is permitted to copy", "everyone is permitted to copy and distribute verbatim copies of this licen[cs]e document but changing it is not allowed", 3),
+    ("artistic-1.0", "artistic control", "semblance of artistic control over the development of the package", 1),
+    ("perl", "same terms as perl", "(?:under|on) the same terms as perl(?: itself)?", 1),
+    ("psf", "python software foundation", "this licen[cs]e agreement is between the python software foundation psf and the individual or organi[sz]ation", 1),
+    ("php", "php software", "this product includes php software freely available from", 1),
+    ("openssl", "openssl toolkit", "this product includes software developed by the openssl project for use in the openssl toolkit", 1),
+    ("ssleay", "eric young", "this product includes cryptographic software written by eric young", 1),
+    ("sspl-1.0", "as a service", "making the functionality of the program or modified version available to third parties as a service|offering the program as a service", 1),
+    ("elastic-2.0", "hosted or managed service", "you may not provide the software to third parties as a hosted or managed service", 1),
+    ("busl-1.1", "change date", "effective on the change date or the fourth anniversary of the first publicly available distribution", 1),
+    ("commons-clause", "commons clause", "commons clause licen[cs]e condition", 1),
+    ("json", "good not evil", "the software shall be used for good not evil", 1),
+    ("ms-pl", "if you use the software", "if you use the software you accept this licen[cs]e if you do not accept the licen[cs]e do not use the software", 1),
+    ("odbl", "open database", "made available under the open database licen[cs]e", 1),
+    ("pddl", "public domain dedication and", "made available under the public domain dedication and licen[cs]e", 1),
+    ("lppl", "latex project", "this work may be distributed and or modified under the conditions of the latex project public licen[cs]e", 1),
+    ("vim", "charityware", "vim is charityware", 1),
+    ("postgresql", "without a written agreement", "for any purpose without fee and without a written agreement is hereby granted", 1),
+    ("ncsa", "deal with the software", "to deal with the software without restriction", 1),
+    ("curl", "to use copy modify and distribute this software for any purpose with or without fee", "to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice", 2),
+    ("icu", "data files and any associated documentation", "obtaining a copy of the unicode data files and any associated documentation", 1),
+    ("proprietary", "confidential and proprietary", "(?:company )?confidential and proprietary", 2),
+    ("proprietary", "unauthori", "unauthori[sz]ed (?:copying|reproduction|use|distribution)(?: (?:copying|reproduction|use|or|and|distribution))*(?: of this (?:file|document|material|work))? (?:via any medium )?is strictly prohibited", 1),
+    ("proprietary", "without the prior written", "may not be (?:reproduced|copied|published|distributed)(?: [0-9a-z]+){0,9} without the prior written (?:permission|consent)", 2),
+    ("proprietary", "end user", "end user licen[cs]e agreement", 2),
+    ("permissive", "free to use", "free to use (?:for any purpose|without restriction|and modify)", 3),
+    ("royalty-free", "royalty free", "royalty free (?:licen[cs]e|use)", 3),
+    ("non-commercial", "for non", "for non ?commercial (?:use|purposes?)(?: only)?", 2),
+    ("research-only", "research purposes only", "for research purposes only", 2),
+    ("attribution", "with attribution", "(?:may be )?(?:used|reproduced|shared|reused|republished) (?:freely )?with attribution", 3),
+]
 #: How sure a detection of each priority is.
 CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.4}
 
-UNDER = "(?:licen[cs]ed|released|distributed|published|available|provided|covered|issued) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:version [0-9]+ of (?:the )?)?"
+VERBS = ("licensed", "licenced", "released", "distributed", "published", "available", "provided", "covered", "issued")
+UNDER = f"(?:{'|'.join(VERBS)}) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:version [0-9]+ of (?:the )?)?"
 LATER = "(?: or (?:at your option )?(?:any )?later(?: version)?)?"
 
 
-GATE = "|".join(map(re.escape, GATES)).replace("\\ ", " ") + f"|(?<![^ ])(?:{'|'.join(GATE_WORDS)})(?![^ ])"
-
-
 def _version(v: str) -> str:
     major, minor = v.split(".")
     return f" (?:version |v )?v?{major}" + ("(?: 0)?" if minor == "0" else f" {minor}")
 
 
 def rules() -> list[dict]:
-    """All rules in order: of each family and version a notice, a mention and an identifier, then the single ones."""
+    """All rules in order: of each family and version a notice, a mention and an identifier, then single ones and the licenses' wording."""
     out = []
 
-    def add(label: str, keyword: str, pattern: str, priority: int, base: bool = False) -> None:
+    def add(label: str, keyword: str, pattern: str, priority: int, base: bool = False, gates: Sequence[str] = ()) -> None:
         # a match is whole words: between spaces or ends
-        out.append({"rule": len(out), "label": label, "keywords": keyword.split("|"), "priority": priority, "base": base, "pattern": f"(?<![^ ])(?:{pattern})(?![^ ])"})
+        keywords = keyword.split("|")
+        out.append({"rule": len(out), "label": label, "keywords": keywords, "gates": list(gates or keywords), "priority": priority, "base": base, "pattern": f"(?<![^ ])(?:{pattern})(?![^ ])"})
 
     for phrase, label in BASE.items():
         add(label, phrase, re.escape(phrase).replace("\\ ", " "), 2, True)
@@ -136,14 +246,21 @@ def rules() -> list[dict]:
         for v in ("", *versions):
             full = label + (f"-{v}" if v else "")
             tail = _version(v) + LATER if v else ""
-            add(full, keyword, f"{UNDER}(?:{short or name}){tail}", 1)
-            add(full, keyword, f"(?:{name}){tail}", 2)
+            add(full, keyword, f"{UNDER}(?:{short or name}){tail}", 1, gates=[f"{v} under" for v in VERBS])
+            add(full, keyword, f"(?:{name}){tail}", 2, gates=SHORT.get(label, ("licen",)))
             add(full, "spdx", "spdx licen[cs]e identifier " + re.sub("[^a-z0-9]+", " ", full) + ("(?: only| or later)?" if "gpl" in label else ""), 1)
-    for label, keyword, pattern, priority in SINGLE:
+    for label, keyword, pattern, priority in (*SINGLE, *WORDING):
         add(label, keyword, pattern, priority)
     return out
 
 
+def gate(own: list[dict]) -> str:
+    """The expression of the texts that any rule can match: any of the rules' gates."""
+    words = {g for r in own for g in r["gates"]}
+    # a gate that holds another adds nothing
+    return "|".join(sorted(w for w in words if not any(o != w and o in w for o in words)))
+
+
 def _spaces(c):
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
@@ -151,12 +268,10 @@ def _spaces(c):
 def detections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own: list[dict] | None = None) -> DataFrame:
     """(k1, k2, rule, label, priority, base, start, end) of every match; words from 0, end exclusive; k1 and k2 are id and hash."""
     own = rules() if own is None else own
-    table = F.from_json(F.lit(json.dumps(own)), "array<struct<rule:int,label:string,keywords:array<string>,priority:int,base:boolean,pattern:string>>")
+    table = F.from_json(F.lit(json.dumps([{k: v for k, v in r.items() if k != "gates"} for r in own])), "array<struct<rule:int,label:string,keywords:array<string>,priority:int,base:boolean,pattern:string>>")
     base = docs.select(docs[f"`{doc_id}`"].alias("k1"), F.xxhash64(docs[f"`{text}`"]).alias("k2"), normal_words(docs[f"`{text}`"]).alias("normal"))
-    # one expression, so that the words are made once for it
-    gated = cut(base.where(F.rlike("normal", F.lit(GATE))).distinct(), "gated")
     words = F.array(*[F.lit(k) for k in sorted({k for r in own for k in r["keywords"]})])
-    gated = gated.withColumn("present", F.filter(words, lambda k: F.contains(F.col("normal"), k)))
+    gated = base.where(F.rlike("normal", F.lit(gate(own)))).withColumn("present", F.filter(words, lambda k: F.contains(F.col("normal"), k)))
     return (
         gated.select("k1", "k2", "normal", F.explode(F.filter(table, lambda r: F.arrays_overlap(r["keywords"], F.col("present")))).alias("r"))
         .where(F.rlike("normal", F.col("r.pattern")))
@@ -167,6 +282,7 @@ def detections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own:
         )
         .select("k1", "k2", "r", "inside", F.posexplode(_starts()).alias("i", "start"))
         .select("k1", "k2", "r.rule", "r.label", "r.priority", "r.base", "start", (F.col("start") + F.get("inside", F.col("i")) + 1).alias("end"))
+        .distinct()  # of rows that repeat an id and a text
     )
 
 

@@ -533,13 +533,19 @@ def test_licenses(spark):
     assert got[7].n_base == 2 and got[8].n_base == 0 and got[9].n_base == 1
 
 
-def test_rules_are_many_and_gated():
-    own = licenses.rules()
-    assert len(own) > 300
-    samples = {"gpl-3.0": "released under the terms of the gnu general public license version 3", "mpl-2.0": "mozilla public license v2 0", "cc-by-sa-4.0": "creative commons attribution sharealike license 4 0"}
-    for label, text in samples.items():
-        rule = next(r for r in own if r["label"] == label and re.search(r["pattern"], text))
-        assert any(k in text for k in rule["keywords"]) and any(g in text for g in licenses.GATES)
+def plain_base(text):
+    """The base columns of the contract, word by word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    at = [(i, label) for phrase, label in licenses.BASE.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    return len(words), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(sorted({x for _, x in at}))
+
+
+def test_base_columns_by_brute_force(spark):
+    rng = random.Random(23)
+    parts = ["GNU", "general", "Public", "license", "apache", "Apache License", "cc", "by", "CC-BY", "mit", "MIT License", "gnu general public license", "É", "é", "x", "\n", "licence", None]
+    texts = [" ".join(str(p) for p in rng.choices(parts, k=rng.randint(0, 14))) for _ in range(400)] + [None, ""]
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in licenses.scan(docs(spark, texts)).collect()}
+    assert got == {i: plain_base(t) for i, t in enumerate(texts)}
 
 
 def one_match(tree, rng):
@@ -563,13 +569,52 @@ def one_match(tree, rng):
     return out
 
 
+def plain_detections(text, own):
+    for rule in own:
+        for m in re.finditer(rule["pattern"], text):
+            start = text[: m.start()].count(" ")
+            yield rule["rule"], start, start + m[0].count(" ") + 1
+
+
 def test_no_match_of_a_rule_lacks_gate_or_keyword():
     rng = random.Random(9)
-    for rule in licenses.rules():
+    own = licenses.rules()
+    every = licenses.gate(own)
+    assert len(own) > 500
+    for rule in own:
         tree = re._parser.parse(rule["pattern"])
-        for text in sorted({one_match(tree, rng) for _ in range(200)}):
+        for text in sorted({one_match(tree, rng) for _ in range(60)}):
             assert re.search(rule["pattern"], text), (rule, text)
-            assert re.search(licenses.GATE, f"a {text} b") and any(k in text for k in rule["keywords"]), (rule, text)
+            assert any(re.search(g, f"a {text} b") for g in rule["gates"]) and any(k in text for k in rule["keywords"]), (rule, text)
+            assert re.search(every, f"a {text} b")
+
+
+def test_every_rule_finds_its_own_sample(spark):
+    """A text for each rule through the operator: detections as plain Python finds them, the rule's own among them."""
+    rng, own, texts = random.Random(10), licenses.rules(), []
+    for rule in own:
+        tree = re._parser.parse(rule["pattern"])
+        texts.append("before " + " ".join(one_match(tree, rng).split()) + " after")
+    found = {}
+    for r in licenses.detections(docs(spark, texts)).collect():
+        found.setdefault(r.k1, set()).add((r.rule, r.start, r.end))
+    for rule, text in zip(own, texts, strict=True):
+        assert found[rule["rule"]] == set(plain_detections(text, own)), (rule, text)
+        assert rule["rule"] in {x for x, _, _ in found[rule["rule"]]}
+    labels = {r.doc_id: r.labels.split(",") for r in licenses.scan(docs(spark, texts)).collect()}
+    assert all(labels[i] != [""] for i in range(len(own)))
+
+
+def test_wording_of_licenses_is_found(spark):
+    texts = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction": "mit",
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:": "bsd",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License": "gpl",
+        "you may not use this file except in compliance with the License.": "apache-2.0",
+        "they were permitted to come with a disc": "",
+    }
+    got = {r.doc_id: r.labels for r in licenses.scan(docs(spark, list(texts))).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
 
 
 def test_short_names_are_found(spark):
