@@ -29,6 +29,8 @@ WORDS = 5
 LEAST = 0.8
 ROWS, BANDS = 5, 32
 SEED = 42
+#: Bits of the filter that keeps texts that are no candidates from moving: 4 MB.
+FILTER_BITS = 1 << 25
 #: Sets of a component that one task compares with each other or with as many more.
 TILE = 1024
 
@@ -150,10 +152,13 @@ def one_of_each(docs: DataFrame, least: float = LEAST, words: int = WORDS, doc_i
     # structs compare by their first fields, so rows without an id come last
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "row")).alias("first")
     first = cut(signed.groupBy("node").agg(F.min("fingerprint").alias("fingerprint"), first), "nodes")
-    links = _like_prints(first).unionByName(_like_bands(signed))
-    candidates = components(links)
+    prints = cut(first.groupBy("fingerprint").agg(F.min("node").alias("m")), "prints")
+    buckets = cut(signed.select("node", F.explode("bands").alias("bucket")).distinct(), "buckets")
+    candidates = components(_like_prints(first, prints).unionByName(_like_bands(buckets)))
     members = cut(candidates.join(first, "node").select("node", "root", F.col("first.row").alias("row")), "members")
-    texts = base.select("row", "text").join(members, "row").dropDuplicates(["node"])
+    for written in (prints, buckets):
+        drop_cut(written)
+    texts = _likely(base.select("row", "text"), members).join(members, "row").dropDuplicates(["node"])
     texts = cut(annotate(texts, sets, [field("shingles", "array<long>")], carry=["node", "root"]), "sets")
     linked = components(near_links(texts, least))
     groups = first.join(linked, "node", "left").groupBy(F.coalesce("root", "node").alias("group")).agg(F.min("first").alias("first"))
@@ -168,9 +173,8 @@ def one_of_each(docs: DataFrame, least: float = LEAST, words: int = WORDS, doc_i
     return left.select(*[f"`{c}`" for c in docs.columns])
 
 
-def _like_prints(nodes: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
-    """Links (u, v) of nodes whose fingerprints lie within the radius, directly or by way of others."""
-    leasts = cut(nodes.groupBy("fingerprint").agg(F.min("node").alias("m")), "prints")
+def _like_prints(nodes: DataFrame, leasts: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
+    """Links (u, v) of nodes whose fingerprints lie within the radius, directly or by way of others; leasts: a node m of each."""
     near = simhash.near_links(leasts.select("fingerprint"), radius)
     one, other = (leasts.select(F.col("fingerprint").alias(k), F.col("m").alias(n)) for k, n in (("u", "a"), ("v", "b")))
     across = near.join(one, "u").join(other, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -178,8 +182,20 @@ def _like_prints(nodes: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
     return across.unionByName(same)
 
 
-def _like_bands(signed: DataFrame) -> DataFrame:
+def _like_bands(buckets: DataFrame) -> DataFrame:
     """Links (u, v) of nodes that share a band, as a star in each bucket."""
-    buckets = cut(signed.select("node", F.explode("bands").alias("bucket")).distinct(), "buckets")
     stars = buckets.groupBy("bucket").agg(F.min("node").alias("m"), F.max("node").alias("x")).where("m <> x").select("bucket", "m")
     return buckets.join(stars, "bucket").where("node <> m").select(F.col("node").alias("u"), F.col("m").alias("v"))
+
+
+def _likely(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows that may be among the members: all of these and few others, so that other texts need not move for a join.
+
+    A set of FILTER_BITS bits of the members' hashes is broadcast, in 4096 bytes a row: its size does not grow with them.
+    """
+    bit = F.pmod(F.xxhash64("row", F.lit("bit")), F.lit(FILTER_BITS))
+    bits = members.select(F.bitmap_bucket_number(bit).alias("__bucket"), F.bitmap_bit_position(bit).alias("__at"))
+    bits = bits.groupBy("__bucket").agg(F.bitmap_construct_agg("__at").alias("__bits"))
+    there = rows.withColumns({"__bucket": F.bitmap_bucket_number(bit), "__at": F.bitmap_bit_position(bit)}).join(F.broadcast(bits), "__bucket")
+    byte = F.expr("cast(conv(hex(substring(__bits, cast(__at div 8 as int) + 1, 1)), 16, 10) as int)")
+    return there.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(__at % 8 as int))")) != 0).select(rows.columns)

@@ -434,6 +434,16 @@ def test_near_copies_by_brute_force(spark, monkeypatch, tile):
     assert sorted(r.doc_id for r in got.collect()) == [i for i in range(n) if first[i] == i]
 
 
+def test_filter_loses_no_member(spark, monkeypatch):
+    rows = spark.range(5000).select(F.xxhash64("id").alias("row"), F.col("id").cast("string").alias("text"))
+    members = rows.where("cast(text as long) % 50 = 0").select("row")
+    for bits, most in ((1 << 25, 130), (1 << 16, 200), (8, 5000)):
+        monkeypatch.setattr(shingles, "FILTER_BITS", bits)
+        got = {r.text for r in shingles._likely(rows, members).collect()}
+        assert {str(i) for i in range(0, 5000, 50)} <= got and len(got) <= most
+    assert shingles._likely(rows, members.limit(0)).count() == 0
+
+
 def test_like_fingerprints_do_not_make_copies(spark):
     """Texts whose fingerprints are eight bits apart or fewer, but whose shingles are not alike, all stay."""
     common = " ".join(f"w{i}" for i in range(60))
