@@ -92,8 +92,8 @@ FAMILIES = [
 ]
 #: What a mention of these families holds if it need not hold "licen": short names are looked for as words.
 SHORT = {
-    **dict.fromkeys(("gpl", "lgpl", "agpl"), ("gpl", "licen")), "mit-0": ("mit no attribution",), "mpl": ("(?<![^ ])mpl(?![^ ])", "licen"), "epl": ("(?<![^ ])epl(?![^ ])", "licen"),
-    **dict.fromkeys(("0bsd", "bsd-1-clause", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause"), ("bsd",)), "cddl": ("cddl", "licen"), "eupl": ("eupl", "licen"),
+    **dict.fromkeys(("gpl", "lgpl", "agpl"), ("gpl", "lgpl", "agpl", "gnu", "general public licen", "lesser general", "library general", "affero general")), "mit-0": ("mit no attribution",), "mpl": ("[em]pl(?![^ ])", "licen"), "epl": ("[em]pl(?![^ ])", "licen"),
+    **dict.fromkeys(("0bsd", "bsd-1-clause", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause"), ("bsd", "0bsd", "zero clause bsd", "[1-4] clause bsd", "(?:one|two|three|four) clause bsd", "(?:simplified|freebsd|new|modified|revised|original|old) bsd")), "cddl": ("cddl", "licen"), "eupl": ("eupl", "licen"),
     "wtfpl": ("wtfpl",), "cc0": ("cc0", "creative commons"), "mulan": ("mulan",),
     **dict.fromkeys(("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"), ("cc by", "creative commons")),
 }
@@ -111,7 +111,7 @@ SINGLE = [
 WORDING = [
     ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 1),
     ("mit", "the above copyright notice and this permission", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", 1),
-    ("mit", "deal in the software", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell", 1),
+    ("mit", "deal in the software", "deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell", 1),
     ("mit", "authors or copyright holders", "in no event shall the authors or copyright holders be liable for any claim damages or other liability", 2),
     ("mit", "other dealings in the software", "out of or in connection with the software or the use or other dealings in the software", 2),
     ("mit-modern", "permission is hereby granted without written", "permission is hereby granted without written agreement and without licen[cs]e or royalty fees", 1),
@@ -218,6 +218,8 @@ WORDING = [
     ("research-only", "research purposes only", "for research purposes only", 2),
     ("attribution", "with attribution", "(?:may be )?(?:used|reproduced|shared|reused|republished) (?:freely )?with attribution", 3),
 ]
+#: Words of which most wording holds one, as gates for it: few gates are quicker to look for than many.
+COMMON = ("licen", "software", "copyright", "warrant", "creativecommons", "public domain")
 #: How sure a detection of each priority is.
 CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.4}
 
@@ -247,18 +249,20 @@ def rules() -> list[dict]:
             full = label + (f"-{v}" if v else "")
             tail = _version(v) + LATER if v else ""
             add(full, keyword, f"{UNDER}(?:{short or name}){tail}", 1, gates=[f"{v} under" for v in VERBS])
-            add(full, keyword, f"(?:{name}){tail}", 2, gates=SHORT.get(label, ("licen",)))
+            add(full, keyword, f"(?:{name}){tail}", 2, gates=SHORT.get(label, ("licen", "unlicen")))
             add(full, "spdx", "spdx licen[cs]e identifier " + re.sub("[^a-z0-9]+", " ", full) + ("(?: only| or later)?" if "gpl" in label else ""), 1)
     for label, keyword, pattern, priority in (*SINGLE, *WORDING):
-        add(label, keyword, pattern, priority)
+        certain = re.sub(r"\(\?:[^()]*\)(?:[?*]|\{0)", "", pattern)  # without what a match may lack
+        common = [c for c in COMMON if re.search(f"(?:^| ){c}", certain) and "|" not in certain]
+        add(label, keyword, pattern, priority, gates=common[:1])
     return out
 
 
 def gate(own: list[dict]) -> str:
-    """The expression of the texts that any rule can match: any of the rules' gates."""
+    """The expression of the texts that any rule can match: any of the rules' gates, at the start of a word."""
     words = {g for r in own for g in r["gates"]}
-    # a gate that holds another adds nothing
-    return "|".join(sorted(w for w in words if not any(o != w and o in w for o in words)))
+    # a gate that starts with another adds nothing
+    return "(?:^| )(?:" + "|".join(sorted(w for w in words if not any(o != w and w.startswith(o) for o in words))) + ")"
 
 
 def _spaces(c):
@@ -271,9 +275,12 @@ def detections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own:
     table = F.from_json(F.lit(json.dumps([{k: v for k, v in r.items() if k != "gates"} for r in own])), "array<struct<rule:int,label:string,keywords:array<string>,priority:int,base:boolean,pattern:string>>")
     base = docs.select(docs[f"`{doc_id}`"].alias("k1"), F.xxhash64(docs[f"`{text}`"]).alias("k2"), normal_words(docs[f"`{text}`"]).alias("normal"))
     words = F.array(*[F.lit(k) for k in sorted({k for r in own for k in r["keywords"]})])
-    gated = base.where(F.rlike("normal", F.lit(gate(own)))).withColumn("present", F.filter(words, lambda k: F.contains(F.col("normal"), k)))
+    gated = base.where(F.rlike("normal", F.lit(gate(own))))
+    # the keywords that a text holds are named in a lambda, so that they are looked for once and not for each rule
+    present = F.array(F.filter(words, lambda k: F.contains(F.col("normal"), k)))
+    own_rules = F.get(F.transform(present, lambda p: F.filter(table, lambda r: F.arrays_overlap(r["keywords"], p))), F.lit(0))
     return (
-        gated.select("k1", "k2", "normal", F.explode(F.filter(table, lambda r: F.arrays_overlap(r["keywords"], F.col("present")))).alias("r"))
+        gated.select("k1", "k2", "normal", F.explode(own_rules).alias("r"))
         .where(F.rlike("normal", F.col("r.pattern")))
         .select(
             "k1", "k2", "r",
