@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -56,3 +56,8 @@ def page_score(mine: str, other: str) -> Column:
         .when(kind == TOC, compared("toc", TOC))
         .otherwise(unknown)
     )
+
+
+def register(spark: SparkSession) -> None:
+    """Make indel_ratio(a, b) a function of the session's SQL."""
+    spark.udf.register("indel_ratio", indel_ratio)

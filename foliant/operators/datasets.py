@@ -42,9 +42,13 @@ def missing_ground(names: DataFrame, ground: DataFrame, exact: bool = True) -> D
     return names.join(ground, F.contains(ground["file_basename"], names["file_basename"]), "left_anti")
 
 
-def with_ground(rows: DataFrame, ground: DataFrame, name: str = "file_basename") -> DataFrame:
-    """rows with page_type; 0 where the ground truth has none; of repeated names the largest type counts."""
-    known = ground.groupBy("file_basename").agg(F.max("page_type").alias("page_type"))
+def with_ground(rows: DataFrame, ground: DataFrame, name: str = "file_basename", order: str = "seq") -> DataFrame:
+    """rows with page_type; 0 where the ground truth has none.
+
+    Of repeated names the last in the given order counts; without such a column, which has no last one, the largest type.
+    """
+    last = F.max_by("page_type", order) if order in ground.columns else F.max("page_type")
+    known = ground.groupBy("file_basename").agg(last.alias("page_type"))
     return rows.join(known, rows[name] == known["file_basename"], "left").select(*[rows[c] for c in rows.columns], F.coalesce("page_type", F.lit(0)).alias("page_type"))
 
 

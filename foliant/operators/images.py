@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from foliant.functions.text import LABEL_COLOURS
 from foliant.operators.regions import LEAST_PIXELS, MAX_REGIONS
@@ -80,27 +81,40 @@ def boxes(mask: np.ndarray, least_area: float = LEAST_AREA, most: int = MAX_REGI
     return sorted(large, key=lambda b: (-area(b), b))[:most]
 
 
+def upscaled(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
+    """pixels (by row and column first) at another size, each new pixel from the old one that lies at its place."""
+    rows = np.arange(height) * pixels.shape[0] // height
+    columns = np.arange(width) * pixels.shape[1] // width
+    return pixels[rows[:, None], columns]
+
+
 def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pages in batches:
         out = []
         for p in pages.itertuples(index=False):
             probs = np.frombuffer(p.probs, np.float32).reshape(p.height, p.width, -1)
+            high, wide = (s if pd.isna(n) else int(n) for n, s in zip((p.page_height, p.page_width), probs.shape, strict=False))
             count = np.bincount(probs.argmax(axis=2).ravel(), minlength=probs.shape[2])
             for label in range(1, probs.shape[2]):
                 if count[label] < LEAST_PIXELS:
                     continue
-                own = probs[:, :, label]
-                for ith, (a, b, c, d) in enumerate(boxes(binary_mask(own))):
+                own = upscaled(probs[:, :, label], high, wide)
+                for ith, (a, b, c, d) in enumerate(boxes(upscaled(binary_mask(probs[:, :, label]), high, wide))):
                     total, area = float(own[b : d + 1, a : c + 1].sum()), (c - a) * (d - b)
                     if area:
-                        out.append((p.page_id, p.page_number, label, ith, total / area, a, b, c, d, p.width, p.height))
+                        out.append((p.page_id, p.page_number, label, ith, total / area, a, b, c, d, wide, high))
         yield pd.DataFrame(out, columns=["page_id", "page_number", "label", "ith", "confidence", "x0", "y0", "x1", "y1", "width", "height"])
 
 
 def regions_from_probs(pages: DataFrame) -> DataFrame:
-    """Regions of each page of label probabilities: page_id, page_number, height, width and probs (float32, by row, column, label)."""
+    """Regions of each page of label probabilities: page_id, page_number, height, width and probs (float32, by row, column, label).
+
+    height and width are the network's; with columns page_height and page_width, boxes, confidence and fractions are those of
+    the page at that size (nulls: as it is). Masks are made, and labels' pixels counted, at the network's size.
+    """
     schema = "page_id string, page_number int, label int, ith int, confidence double, x0 int, y0 int, x1 int, y1 int, width int, height int"
-    return pages.select("page_id", "page_number", "height", "width", "probs").mapInPandas(_regions, schema)
+    size = [F.col(c) if c in pages.columns else F.lit(None).cast("int").alias(c) for c in ("page_height", "page_width")]
+    return pages.select("page_id", "page_number", "height", "width", "probs", *size).mapInPandas(_regions, schema)
 
 
 def png(pixels: np.ndarray) -> bytes:

@@ -35,6 +35,20 @@ def located(pages: DataFrame) -> DataFrame:
     return pages.withColumn("p", page_id_parts(F.col("page_id"))).select(*[c for c in pages.columns if c not in ("journal_id", *PAGE)], "p.*").where("page_number is not null")
 
 
+def quarantined(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """page_id and reason of the pages that extraction cannot use whole, for each reason once.
+
+    bad id: it tells no journal, issue and number, and the page is left out. bad place: a region's label or place does not fit
+    the vector, and the region is left out. bad box: a region lacks a corner or has no area on its page; its ratios count as 0.
+    """
+    ids = pages.select("page_id").where(page_id_parts(F.col("page_id"))["page_number"].isNull()).withColumn("reason", F.lit("bad id"))
+    _, misplaced = regions.checked(found)
+    sized = (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0")) & (F.col("width") > 0) & (F.col("height") > 0)
+    flat = found.where(~F.coalesce(sized, F.lit(False)))
+    named = [d.select("page_id", F.lit(r).alias("reason")) for d, r in ((misplaced, "bad place"), (flat, "bad box"))]
+    return ids.unionByName(named[0]).unionByName(named[1]).distinct()
+
+
 def measured(found: DataFrame) -> DataFrame:
     """Regions (corners and the page's width and height) with their features."""
     g = geometry(*[F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1", "width", "height")])
@@ -58,7 +72,9 @@ def extract(pages: DataFrame, found: DataFrame, words: DataFrame, model: Decisio
     measures = measured(found)
     typed = page_model.predict(model, vectors(located(pages), measures)).drop("vec")
     keyed = measures.join(typed.select("page_id", *PAGE), "page_id").select(*PAGE, "label", "ith", *rules.REGION_FIELDS)
-    text = ocr.nested_lines(words.withColumnRenamed("page", "page_number"), PAGE)
+    # words of other pages are not nested: both sides are dealt by the page, as the nesting is
+    own = words.withColumnRenamed("page", "page_number").join(typed.select(*PAGE), PAGE, "left_semi")
+    text = ocr.nested_lines(own, PAGE)
     return rules.excerpts(typed, keyed, text, PAGE).drop("model_type")
 
 

@@ -528,3 +528,6 @@ def finisher_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.where("part = 1").drop("part").withColumn("state", F.lit("tick")).write.mode("append").json(f"{where}/in")
     run()
     return spark.read.parquet(f"{where}/out").groupBy("issue_id", "reason").agg(F.count("*").alias("n_pages"))
+
+
+from foliant.plans import files  # noqa: E402, F401 (it registers further queries)

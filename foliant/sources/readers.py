@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import re
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -25,8 +26,11 @@ WORD = "issue_id string, page int, line_no int, word_no int, text string, x0 int
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """Paths of a folder's .jpg and .png files; order by path for the order of pages. Contents are not read."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,png}").load(path).select("path")
+    """Paths of a folder's .jpg and .png files in the order of their names. Contents are not read; a folder without any is an error."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.{jpg,png}").load(path).select("path")
+    if found.isEmpty():
+        raise ValueError(f"no images in {path}")
+    return found.orderBy("path")
 
 
 def excerpts(spark: SparkSession, path: str) -> DataFrame:
@@ -41,8 +45,17 @@ def excerpts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ground(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """file_basename and page_type from one or many CSV files, headers dropped."""
-    return spark.read.schema(GROUND).option("header", True).csv(path)
+    """file_basename, page_type and seq from one or many CSV files, headers dropped.
+
+    seq orders the rows: by the place of their path in the list (a file below a folder by its own path), then as they stand
+    in the file. Row ids grow within a block of a file, and blocks are ordered by where they start.
+    """
+    def read(i: int, one: str) -> DataFrame:
+        rows = spark.read.schema(GROUND).option("header", True).csv(one)
+        at = F.struct(F.lit(i).alias("list"), "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+        return rows.select("file_basename", "page_type", at.alias("seq"))
+
+    return reduce(DataFrame.unionAll, [read(i, p) for i, p in enumerate([path] if isinstance(path, str) else path)])
 
 
 def stats(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -170,6 +183,11 @@ def hocr_files(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("issue_id").agg(F.max_by("path", F.struct(~F.endswith("path", F.lit(".gz")), "path")).alias("path"))
 
 
+def count_issues(spark: SparkSession, path: str) -> int:
+    """Issues below a folder that have an OCR file, plain or packed, each counted once."""
+    return hocr_files(spark, path).count()
+
+
 def hocr(spark: SparkSession, path: str) -> DataFrame:
     """Words of all issues below a folder, as WORD; nested_lines() takes them. A file is parsed in one piece."""
     chosen = hocr_files(spark, path)

@@ -14,10 +14,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from foliant.operators.issues import results
 
+#: States of messages; "tick" does nothing but wake an issue up.
+STATES = ("start", "continue", "finish", "close", "tick")
+#: Reasons of messages that closed_pages() reports beside the pages.
+UNUSED = ("late", "unknown")
 #: Seconds after a finish message that pages may still come.
 CLOSE_LATENCY = 25.0
 #: Seconds that a closed issue is remembered, to drop what comes late.
@@ -29,23 +34,26 @@ OUTPUT = "journal_id string, issue_id string, reason string, page_id string, pag
 STATE = "pages string, target int, finish double, done boolean"
 
 
-def _step(latency: float):
+def _step(latency: float, report: bool = False):
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pages, target, finish, done = state.get if state.exists else ("{}", -1, 0.0, False)
         if state.hasTimedOut and done:
             state.remove()
             return
-        held, reason = json.loads(pages), "timeout" if state.hasTimedOut else None
+        held, reason, unused = json.loads(pages), "timeout" if state.hasTimedOut else None, []
         for rows in batches if not state.hasTimedOut else ():
             for m in rows.sort_values("seq").itertuples(index=False):
                 if done or reason:
-                    continue  # late
+                    unused += [("late", m)] if m.state != "tick" else []
+                    continue
                 if m.state == "continue" and not pd.isna(m.page_number):
                     held[str(int(m.page_number))] = [None if pd.isna(v := getattr(m, c)) else int(v) if c in ("page_number", "page_type") else v for c in PAGE]
                 elif m.state == "finish":
                     target, finish = -1 if pd.isna(m.page_count) else int(m.page_count), time.time()
                 elif m.state == "close":
                     reason = "close"
+                elif m.state not in STATES:
+                    unused.append(("unknown", m))
                 if len(held) == target:
                     reason = "count"
         if not done and not reason and finish and time.time() > finish + latency:
@@ -57,6 +65,8 @@ def _step(latency: float):
             out.insert(0, "issue_id", key[1])
             out.insert(0, "journal_id", key[0])
             yield out
+        if report and unused:
+            yield pd.DataFrame([(*key, why, *(getattr(m, c) for c in PAGE)) for why, m in unused], columns=["journal_id", "issue_id", "reason", *PAGE]).astype({"page_number": "Int32", "page_type": "Int32"})
         state.update(("{}" if done else json.dumps(held), target, finish, done))
         if done:
             state.setTimeoutDuration(int(REMEMBER * 1000))
@@ -66,18 +76,26 @@ def _step(latency: float):
     return step
 
 
-def closed_pages(messages: DataFrame, latency: float = CLOSE_LATENCY) -> DataFrame:
-    """A stream of the pages of issues as they close, from a stream of MESSAGE rows. An issue's pages come in one batch."""
-    return messages.groupBy("journal_id", "issue_id").applyInPandasWithState(_step(latency), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+def closed_pages(messages: DataFrame, latency: float = CLOSE_LATENCY, report: bool = False) -> DataFrame:
+    """A stream of the pages of issues as they close, from a stream of MESSAGE rows. An issue's pages come in one batch.
+
+    With report, messages that come late or have an unknown state come out too, with that as their reason.
+    """
+    return messages.groupBy("journal_id", "issue_id").applyInPandasWithState(_step(latency, report), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def write_results(messages: DataFrame, path: str, checkpoint: str, latency: float = CLOSE_LATENCY, **trigger):
-    """Start a query that appends each closed issue's result and its pages below path, with the batch roll-up's own code."""
+    """Start a query that appends each closed issue's result and its pages below path, with the batch roll-up's own code.
+
+    Messages that come late or have an unknown state are written below path/unused.
+    """
 
-    def write(pages: DataFrame, epoch: int) -> None:
-        pages = pages.persist()
+    def write(rows: DataFrame, epoch: int) -> None:
+        rows = rows.persist()
+        rows.where(F.col("reason").isin(*UNUSED)).write.mode("overwrite").parquet(f"{path}/unused/epoch={epoch}")
+        pages = rows.where(~F.col("reason").isin(*UNUSED))
         pages.write.mode("overwrite").parquet(f"{path}/pages/epoch={epoch}")
         results(pages.drop("reason")).write.mode("overwrite").parquet(f"{path}/results/epoch={epoch}")
-        pages.unpersist()
+        rows.unpersist()
 
-    return closed_pages(messages, latency).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "1 second"}).start()
+    return closed_pages(messages, latency, True).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "1 second"}).start()

@@ -6,7 +6,7 @@ from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.plans.extraction import extract
+from foliant.plans.extraction import extract, quarantined
 
 #: A page and its regions, as the source of the stream holds them.
 PAGE = "page_id string, found array<struct<label:int,ith:int,confidence:double,x0:int,y0:int,x1:int,y1:int,width:int,height:int>>"
@@ -25,14 +25,19 @@ def continued(excerpts: DataFrame, seq: int) -> DataFrame:
     return excerpts.select("journal_id", "issue_id", F.lit("continue").alias("state"), F.lit(-1).alias("page_count"), F.lit(seq).cast("long").alias("seq"), *page)
 
 
-def write_messages(pages: DataFrame, words: DataFrame, model: DecisionTreeClassificationModel, path: str, checkpoint: str, **trigger):
-    """Start a query that writes a message for each page below path. Progress counts pages and regions, as `pages`."""
+def write_messages(pages: DataFrame, words: DataFrame, model: DecisionTreeClassificationModel, path: str, checkpoint: str, rejects: str | None = None, **trigger):
+    """Start a query that writes a message for each page below path. Progress counts pages and regions, as `pages`.
+
+    Pages that cannot be used whole are named with the reason below rejects, if given.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         found = batch.select("page_id", F.explode("found").alias("r")).select("page_id", "r.*")
         out = continued(extract(batch.select("page_id"), found, words, model), epoch)
         out.write.mode("overwrite").json(f"{path}/epoch={epoch}")
+        if rejects:
+            quarantined(batch, found).write.mode("overwrite").json(f"{rejects}/epoch={epoch}")
         batch.unpersist()
 
     counted = pages.observe("pages", F.count("*").alias("n"), F.sum(F.size("found")).alias("n_regions"))

@@ -70,3 +70,13 @@ def test_pages_as_a_stream(spark, inputs, tmp_path):
     want = ex.extract(pages, found, words, model).collect()
     assert sorted((r.page_id, r.page_type, r.title, r.refs, r.toc) for r in got) == sorted((r.page_id, r.page_type, r.title, r.refs, r.toc) for r in want)
     assert {r.state for r in got} == {"continue"}
+
+
+def test_quarantine(spark):
+    from foliant.plans.extraction import quarantined
+
+    pages = spark.createDataFrame([("sim_j_1_0001",), ("cover",)], "page_id string")
+    box = "page_id string, label int, ith int, x0 int, y0 int, x1 int, y1 int, width int, height int"
+    found = spark.createDataFrame([("sim_j_1_0001", 1, 0, 0, 0, 5, 5, 9, 9), ("sim_j_1_0001", 9, 0, 0, 0, 5, 5, 9, 9), ("sim_j_1_0001", 1, 1, 0, 0, 5, 5, None, 9), ("cover", 1, 0, 3, 0, 3, 5, 9, 9)], box)
+    got = sorted(tuple(r) for r in quarantined(pages, found).collect())
+    assert got == [("cover", "bad box"), ("cover", "bad id"), ("sim_j_1_0001", "bad box"), ("sim_j_1_0001", "bad place")]

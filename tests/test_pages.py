@@ -116,6 +116,10 @@ def test_regions_from_probs(spark):
     r = images.regions_from_probs(df).first()
     assert (r.label, r.ith, r.x0, r.y0, r.x1, r.y1) == (2, 0, 20, 10, 49, 39)
     assert r.confidence == pytest.approx(0.9 * 900 / 841, rel=1e-4)
+    r = images.regions_from_probs(df.selectExpr("*", "100 as page_height", "180 as page_width")).first()
+    assert (r.label, r.ith, r.x0, r.y0, r.x1, r.y1, r.width, r.height) == (2, 0, 60, 20, 149, 79, 180, 100)
+    assert r.confidence == pytest.approx(0.9 * 90 * 60 / (89 * 59), rel=1e-4)
+    assert images.upscaled(np.array([[1, 2, 3]]), 1, 2).tolist() == [[1, 2]]
 
 
 def test_golden(spark):

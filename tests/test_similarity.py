@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
-from foliant.functions.similarity import ratio
+from foliant.functions.similarity import ratio, register
 from foliant.operators.scoring import issue_scores, page_scores
 
 PAGE = "issue_id string, page_id string, page_number int, page_type int, title string, authors string, refs string, toc string"
@@ -52,3 +52,8 @@ def test_unknown_type_is_an_error(spark):
     odd = spark.createDataFrame([page(0, 7)], PAGE)
     with pytest.raises(Exception, match="unknown page type"):
         page_scores(odd, odd, ["issue_id"]).collect()
+
+
+def test_sql(spark):
+    register(spark)
+    assert spark.sql("select indel_ratio('abc', 'abd')").first()[0] == ratio("abc", "abd")

@@ -1,7 +1,7 @@
 import time
 
 from foliant.operators.issues import results
-from foliant.streaming.finisher import MESSAGE, closed_pages, write_results
+from foliant.streaming.finisher import MESSAGE, write_results
 
 
 def message(issue, state, seq, page=None, count=None, kind=0):
@@ -50,4 +50,5 @@ def test_issues_close_once_for_each_reason(spark, tmp_path):
     streamed = {r.issue_id: r.articles for r in spark.read.parquet(f"{where}/out/results").collect()}
     batch = {r.issue_id: r.articles for r in results(pages.drop("reason", "epoch")).collect()}
     assert streamed == batch and [a.refs for a in streamed["a"]] == ["r1"]
-    assert callable(closed_pages)
+    unused = sorted((r.issue_id, r.reason, r.page_number) for r in spark.read.parquet(f"{where}/out/unused").collect())
+    assert unused == [("a", "late", 7), ("c", "late", 7), ("c", "unknown", None)]
