@@ -6,6 +6,7 @@ from foliant.llm.bpe import op1_bpe
 from foliant.llm.decontaminate import op2_decontamination
 from foliant.llm.langid import op3_language_id
 from foliant.llm.licenses import op9_license_scans
+from foliant.llm.pairs import op11_co_bucketed_pair
 from foliant.llm.quality import op5_quality_rules
 from foliant.llm.secrets import op10_secret_scans
 from foliant.llm.shards import op6_sharding
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_license_scans": op9_license_scans,
     "op10_secret_scans": op10_secret_scans,
+    "op11_co_bucketed_pair": op11_co_bucketed_pair,
 }
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
