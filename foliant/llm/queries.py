@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from foliant.llm.bpe import op1_bpe
 from foliant.llm.decontaminate import op2_decontamination
+from foliant.llm.divergence import op12_source_divergence
 from foliant.llm.langid import op3_language_id
 from foliant.llm.licenses import op9_license_scans
+from foliant.llm.mixing import op13_source_mixing
 from foliant.llm.pairs import op11_co_bucketed_pair
 from foliant.llm.quality import op5_quality_rules
 from foliant.llm.secrets import op10_secret_scans
@@ -26,6 +28,8 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_secret_scans": op10_secret_scans,
     "op11_co_bucketed_pair": op11_co_bucketed_pair,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -71,5 +75,27 @@ b as (select *, cast(n_words < 20 as bigint) + 2 * cast(100 * n_repeat_words > 3
              + 32 * cast(word_chars > 20 * n_words as bigint) as failed_rules from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (failed_rules & 3) <> 0 as base_failed, failed_rules = 0 as kept, n_lines, failed_rules from b
+""",
+    "op12_source_divergence": r"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ws from documents),
+g as (select distinct lang, source from d),
+t as (select r, lang, source, unnest(ws) as term from d),
+c as (select lang, source, term, count(*) as n from t group by all),
+k as (select lang, term, count(*) as n from t group by lang, term having count(distinct r) >= 10),
+v as (select g.lang, (select count(*) from k where k.lang = g.lang) as v, (select coalesce(sum(n), 0) from k where k.lang = g.lang) as n from (select distinct lang from g) g),
+gn as (select g.lang, g.source, coalesce(sum(c.n), 0) as n from g left join (select c.* from c join k using (lang, term)) c using (lang, source) group by all),
+p as (select gn.lang, gn.source, k.term, coalesce(c.n, 0) as n,
+             1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // (gn.n + 2 * v.v) as p,
+             1 + (1000000000::hugeint * (k.n + 2)) // (v.n + 2 * v.v) as q
+      from gn join k using (lang) join v using (lang) left join c on c.lang = gn.lang and c.source = gn.source and c.term = k.term),
+f as (select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) as value
+      from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+pairs as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value
+          from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source),
+terms as (select lang, source, 'term' as part, term as item, cast((p - q) * (p - q) // (p + q) as bigint) as value from p where n > 0 and p > q),
+r as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+      from (select * from pairs union all select * from terms))
+select * from r where part = 'pair' or rank <= 10
 """,
 }
