@@ -2,7 +2,7 @@
 
 A row becomes one byte string that compares as the row sorts, behind the number of the run it goes to. An RDD partitioner
 on that number and repartitionAndSortWithinPartitions sort rows in the shuffle; each task then streams its sorted rows into
-one Parquet writer after the other. A bucket (or starting file) of more than RUN_ROWS rows is cut into runs at sampled rows, so
+one Parquet writer after the other. A bucket (or starting file) of more rows than a run is cut into runs at sampled rows, so
 that a hot key or a hot group of equal rows is sorted by many tasks; one task streams the runs into the file, which has to be whole.
 
 The second table is matched while it is written: rows of a bucket and the first table's file of that bucket have the same
@@ -31,6 +31,7 @@ import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliant.llm.base import release, shared_dir, table
 
@@ -289,7 +290,12 @@ def _blocks(rows: DataFrame, codec: RowCodec, first: dict[int, int], cuts: dict[
                 yield pa.RecordBatch.from_arrays([pa.array([_pack(out, ends)], pa.binary())], names=["block"])
         release()
 
-    return rows.mapInArrow(run, "block binary")
+    return rows.toDF(*_places(len(rows.columns))).mapInArrow(run, "block binary")
+
+
+def _places(n: int) -> list[str]:
+    """Names for columns by their place, since a table's own may clash with any other."""
+    return [f"c{i}" for i in range(n)]
 
 
 @dataclass
@@ -297,10 +303,16 @@ class _Layout:
     columns: list[str]
     kinds: list[str]
     key: int
+    struct: T.StructType
 
     @staticmethod
     def of(df: DataFrame, key: str) -> _Layout:
-        return _Layout(df.columns, [t for _, t in df.dtypes], [c.lower() for c in df.columns].index(key.lower()))
+        return _Layout(df.columns, [t for _, t in df.dtypes], [c.lower() for c in df.columns].index(key.lower()), df.schema)
+
+    def select(self, df: DataFrame, place: Column, tag: Column) -> DataFrame:
+        """The table's columns, the place that a row goes to, and its tag."""
+        own = [F.col("`" + c.replace("`", "``") + "`") for c in self.columns]
+        return df.select(*own, place.cast("int").alias("__place"), tag.cast("int").alias("__tag"))
 
     @property
     def schema(self) -> pa.Schema:
@@ -325,7 +337,8 @@ def sorted_files(
     place_of = [p for p in sorted(runs) for _ in range(runs[p])]
     cuts = {}
     if large := [p for p in runs if runs[p] > 1]:
-        place = F.col(f"`{rows.columns[-2]}`")
+        rows = rows.toDF(*_places(len(rows.columns)))
+        place = F.col(rows.columns[-2])
         share = F.element_at(F.create_map(*[F.lit(x) for p in large for x in (p, min(1.0, runs[p] * SAMPLES / counts[p]))]), place)
         found: dict[int, list[bytes]] = {p: [] for p in large}
         some = _blocks(rows.where(place.isin(large)).where(F.rand(7) < share), codec, {p: p for p in large}, {})
@@ -431,17 +444,14 @@ def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
 
 def _start(df: DataFrame, layout: _Layout, bucket: Column, number: Column, folder: str) -> list[Written]:
     """The table's starting files: rows by number, each tagged with its bucket."""
-    rows = df.select(*[F.col(f"`{c}`") for c in layout.columns], number.cast("int").alias("__place"), bucket.cast("int").alias("__tag"))
     counts = {p: n for p, n in df.groupBy(number.cast("int")).count().collect()}
-    return sorted_files(rows, layout, counts, folder, "start")[0]
+    return sorted_files(layout.select(df, number, bucket), layout, counts, folder, "start")[0]
 
 
 def _again(spark: SparkSession, files: list[Written], layout: _Layout, place: Column) -> DataFrame:
     """Rows of starting files with their place and the number of their file as tag."""
-    kinds = [f"`{c}` {k}" for c, k in zip(layout.columns, layout.kinds, strict=True)]
-    rows = spark.read.schema(", ".join(kinds)).parquet(*[w.path for w in files])
-    tag = F.regexp_extract(F.input_file_name(), r"start-(\d+)\.parquet$", 1).cast("int")
-    return rows.select(*[F.col(f"`{c}`") for c in layout.columns], place.alias("__place"), tag.alias("__tag"))
+    rows = spark.read.schema(layout.struct).parquet(*[w.path for w in files])
+    return layout.select(rows, place, F.regexp_extract(F.input_file_name(), r"start-(\d+)\.parquet$", 1))
 
 
 def _tally(files: list[Written]) -> tuple[dict[tuple[int, int], int], dict[int, int]]:
@@ -507,9 +517,7 @@ def _strays(spark: SparkSession, strays: list[Written], layout: _Layout, folder:
     for w in strays:
         for t, n in w.tags.items():
             tags[t] = tags.get(t, 0) + n
-    kinds = [f"`{c}` {k}" for c, k in zip(layout.columns, layout.kinds, strict=True)]
-    rows = spark.read.schema(", ".join(kinds)).parquet(*[w.path for w in strays])
-    rows = rows.select(*[F.col(f"`{c}`") for c in layout.columns], F.lit(BUCKETS).alias("__place"), F.lit(0).alias("__tag"))
+    rows = layout.select(spark.read.schema(layout.struct).parquet(*[w.path for w in strays]), F.lit(BUCKETS), F.lit(0))
     done = sorted_files(rows, layout, {BUCKETS: sum(w.rows for w in strays)}, folder, "bucket")[0]
     for w in done:
         w.tags = tags
