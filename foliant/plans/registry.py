@@ -530,4 +530,4 @@ def finisher_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{where}/out").groupBy("issue_id", "reason").agg(F.count("*").alias("n_pages"))
 
 
-from foliant.plans import files  # noqa: E402, F401 (it registers further queries)
+from foliant.plans import files, scans  # noqa: E402, F401 (they register further queries)

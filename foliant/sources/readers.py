@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import gzip
-import re
-from collections.abc import Iterator
 from functools import reduce
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.text import image_page_id, ocr_issue_id
+from foliant.sources import hocr as hocr_source
 
 _S = lambda name: T.StructField(name, T.StringType())
 EXCERPT = T.StructType([_S("journal_id"), _S("page_id"), T.StructField("page_number", T.IntegerType()), T.StructField("page_type", T.IntegerType()), *map(_S, ("title", "authors", "refs", "toc", "explanation"))])
@@ -22,7 +18,6 @@ COCO = (
     "images array<struct<id:bigint,width:int,height:int,file_name:string>>, "
     "annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>>>, categories array<struct<id:bigint,name:string>>"
 )
-WORD = "issue_id string, page int, line_no int, word_no int, text string, x0 int, y0 int, x1 int, y1 int"
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
@@ -117,65 +112,6 @@ def issue_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"articles array<{article}>, toc_ocr string, issue_id string, journal_id string").option("recursiveFileLookup", True).option("pathGlobFilter", "*.extract.json").json(path)
 
 
-class _Words(HTMLParser):
-    """Lines and words of hOCR, page by page."""
-
-    BOX = re.compile(r"bbox\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)\s+(-?\d+)")
-
-    def __init__(self):
-        super().__init__()
-        self.rows: list[tuple] = []
-        self.page = self.line = -1
-        self.word = 0
-        self.open: list | None = None
-        self.depth = 0
-
-    def _close_line(self) -> None:
-        if self.line >= 0 and self.word == 0 and self.page >= 0:
-            self.rows.append((self.page, self.line, None, None, None, None, None, None))
-
-    def handle_starttag(self, tag, attrs):
-        at = dict(attrs)
-        kinds = (at.get("class") or "").split()
-        if self.open is not None:
-            self.depth += tag not in ("br", "img", "wbr")
-        if "ocr_page" in kinds:
-            self._close_line()
-            self.page, self.line, self.word = self.page + 1, -1, 0
-        elif "ocr_line" in kinds or {"ocr_header", "ocr_caption", "ocr_textfloat"} & set(kinds):
-            self._close_line()
-            self.line, self.word = self.line + 1, 0
-        elif "ocrx_word" in kinds and (m := self.BOX.search(at.get("title") or "")):
-            self.open, self.depth = [[], tuple(map(int, m.groups()))], 1
-
-    def handle_data(self, data):
-        if self.open is not None:
-            self.open[0].append(data)
-
-    def handle_endtag(self, tag):
-        if self.open is None:
-            return
-        self.depth -= 1
-        if self.depth <= 0:
-            text, box = "".join(self.open[0]).strip(), self.open[1]
-            self.rows.append((self.page, max(self.line, 0), self.word, text, *box))
-            self.word, self.open = self.word + 1, None
-
-    def close(self):
-        super().close()
-        self._close_line()
-
-
-def parse_hocr(content: bytes) -> list[tuple]:
-    """(page, line_no, word_no, text, x0, y0, x1, y1) of each word; a line without words has nulls. Pages count from 0."""
-    if content[:2] == b"\x1f\x8b":
-        content = gzip.decompress(content)
-    p = _Words()
-    p.feed(content.decode("utf-8", "replace"))
-    p.close()
-    return p.rows
-
-
 def hocr_files(spark: SparkSession, path: str) -> DataFrame:
     """issue_id and path of the OCR file of each issue below a folder; a plain file is taken before a packed one."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*hocr.html{,.gz}").load(path)
@@ -189,15 +125,6 @@ def count_issues(spark: SparkSession, path: str) -> int:
 
 
 def hocr(spark: SparkSession, path: str) -> DataFrame:
-    """Words of all issues below a folder, as WORD; nested_lines() takes them. A file is parsed in one piece."""
-    chosen = hocr_files(spark, path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*hocr.html{,.gz}").load(path)
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for files in batches:
-            for issue, content in zip(files["issue_id"], files["content"], strict=True):
-                out = pd.DataFrame(parse_hocr(content), columns=["page", "line_no", "word_no", "text", "x0", "y0", "x1", "y1"]).astype({c: "Int32" for c in ("page", "line_no", "word_no", "x0", "y0", "x1", "y1")})
-                out.insert(0, "issue_id", issue)
-                yield out
-
-    return chosen.join(files.select("path", "content"), "path").select("issue_id", "content").mapInPandas(parse, WORD)
+    """Words of all issues below a folder, as hocr.WORD; nested_lines() takes them. Filters on issue_id and page choose what is read."""
+    hocr_source.register(spark)
+    return spark.read.format("hocr").load(path)
