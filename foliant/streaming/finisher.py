@@ -4,18 +4,21 @@ A message has journal_id, issue_id, state and, by state, a page: "start" opens a
 how many pages to expect; "close" ends it at once. An issue is closed when it has as many pages as expected, or some time
 after its finish message, or on close, and gives all its pages then, once. What comes later for it is dropped. There is no
 limit to the issues that are open at a time: each is state of its own.
+
+A page is an entry of the issue's state, so a batch writes the pages it brings and no others. A timer ends an issue after its
+finish message, and that an issue was closed is forgotten after REMEMBER seconds by the state's time to live. State is
+kept by RocksDB, which the session is set to.
 """
 
 from __future__ import annotations
 
-import json
 import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from foliant.operators.issues import results
 
@@ -31,49 +34,81 @@ REMEMBER = 24 * 3600.0
 PAGE = ["page_id", "page_number", "page_type", "title", "authors", "refs", "toc"]
 MESSAGE = "journal_id string, issue_id string, state string, page_count int, seq bigint, page_id string, page_number int, page_type int, title string, authors string, refs string, toc string"
 OUTPUT = "journal_id string, issue_id string, reason string, page_id string, page_number int, page_type int, title string, authors string, refs string, toc string"
-STATE = "pages string, target int, finish double, done boolean"
-
-
-def _step(latency: float, report: bool = False):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pages, target, finish, done = state.get if state.exists else ("{}", -1, 0.0, False)
-        if state.hasTimedOut and done:
-            state.remove()
-            return
-        held, reason, unused = json.loads(pages), "timeout" if state.hasTimedOut else None, []
-        for rows in batches if not state.hasTimedOut else ():
-            for m in rows.sort_values("seq").itertuples(index=False):
+#: State of an open issue beside its pages: pages it has and is to have, and when its finish message came (0: not yet).
+HEAD = "n int, target int, finish double"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _plain(value, whole: bool = False):
+    """A value of a message as Python's own, null as None."""
+    return None if pd.isna(value) else int(value) if whole else str(value)
+
+
+class IssueSession(StatefulProcessor):
+    """One issue: its head, its pages by number, and whether it has been closed."""
+
+    def __init__(self, latency: float, report: bool):
+        self.latency, self.report = latency, report
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.head = handle.getValueState("head", HEAD)
+        self.pages = handle.getMapState("pages", "page_number int", "page_id string, page_type int, title string, authors string, refs string, toc string")
+        self.closed = handle.getValueState("closed", "reason string", ttlDurationMs=int(REMEMBER * 1000))
+
+    def _close(self, key: tuple, reason: str) -> pd.DataFrame:
+        rows = [(*key, reason, v[0], k[0], *v[1:]) for k, v in self.pages.iterator()]
+        rows.sort(key=lambda r: r[4])
+        self.pages.clear()
+        self.head.clear()
+        self.closed.update((reason,))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        return _frame(rows)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        done = self.closed.exists()
+        n, target, finish = self.head.get() if not done and self.head.exists() else (0, -1, 0.0)
+        reason, unused = None, []
+        for some in rows:
+            for m in some.sort_values("seq").itertuples(index=False):
                 if done or reason:
                     unused += [("late", m)] if m.state != "tick" else []
                     continue
                 if m.state == "continue" and not pd.isna(m.page_number):
-                    held[str(int(m.page_number))] = [None if pd.isna(v := getattr(m, c)) else int(v) if c in ("page_number", "page_type") else v for c in PAGE]
+                    at = (int(m.page_number),)
+                    n += not self.pages.containsKey(at)
+                    self.pages.updateValue(at, (_plain(m.page_id), _plain(m.page_type, True), *(_plain(getattr(m, c)) for c in ("title", "authors", "refs", "toc"))))
                 elif m.state == "finish":
                     target, finish = -1 if pd.isna(m.page_count) else int(m.page_count), time.time()
+                    self.handle.registerTimer(int((finish + self.latency) * 1000))
                 elif m.state == "close":
                     reason = "close"
                 elif m.state not in STATES:
                     unused.append(("unknown", m))
-                if len(held) == target:
+                if n == target:
                     reason = "count"
-        if not done and not reason and finish and time.time() > finish + latency:
+        if not done and not reason and finish and time.time() > finish + self.latency:
             reason = "timeout"
         if reason:
-            done = True
-            out = pd.DataFrame(sorted(held.values(), key=lambda p: p[1]), columns=PAGE, dtype=object).astype({"page_number": "Int32", "page_type": "Int32"})
-            out.insert(0, "reason", reason)
-            out.insert(0, "issue_id", key[1])
-            out.insert(0, "journal_id", key[0])
-            yield out
-        if report and unused:
-            yield pd.DataFrame([(*key, why, *(getattr(m, c) for c in PAGE)) for why, m in unused], columns=["journal_id", "issue_id", "reason", *PAGE]).astype({"page_number": "Int32", "page_type": "Int32"})
-        state.update(("{}" if done else json.dumps(held), target, finish, done))
-        if done:
-            state.setTimeoutDuration(int(REMEMBER * 1000))
-        elif finish:
-            state.setTimeoutDuration(max(1, int((finish + latency - time.time()) * 1000)))
-
-    return step
+            yield self._close(key, reason)
+        elif not done:
+            self.head.update((n, target, finish))
+        if self.report and unused:
+            yield _frame([(*key, why, *(_plain(getattr(m, c), c in ("page_number", "page_type")) for c in PAGE)) for why, m in unused])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # a second finish message sets a later time; only the last one's timer ends the issue
+        if not self.closed.exists() and self.head.exists() and time.time() >= self.head.get()[2] + self.latency:
+            yield self._close(key, "timeout")
+
+    def close(self) -> None:
+        pass
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["journal_id", "issue_id", "reason", *PAGE], dtype=object)
+    return out.astype({"page_number": "Int32", "page_type": "Int32"})
 
 
 def closed_pages(messages: DataFrame, latency: float = CLOSE_LATENCY, report: bool = False) -> DataFrame:
@@ -81,7 +116,8 @@ def closed_pages(messages: DataFrame, latency: float = CLOSE_LATENCY, report: bo
 
     With report, messages that come late or have an unknown state come out too, with that as their reason.
     """
-    return messages.groupBy("journal_id", "issue_id").applyInPandasWithState(_step(latency, report), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return messages.groupBy("journal_id", "issue_id").transformWithStateInPandas(IssueSession(latency, report), OUTPUT, "append", "processingTime")
 
 
 def write_results(messages: DataFrame, path: str, checkpoint: str, latency: float = CLOSE_LATENCY, **trigger):
