@@ -36,8 +36,9 @@ from pyspark.sql import types as T
 from foliant.llm.base import release, shared_dir, table
 
 BUCKETS = 150
-#: Rows of a run: what a task sorts of one bucket. A bucket has so many runs at most; their cuts come from so many samples each.
-RUN_ROWS, RUNS, SAMPLES = 250_000, 64, 20
+#: Rows of a run: what a task sorts of one bucket, at least and at most; between them twice the mean bucket. A bucket has so
+#: many runs at most; their cuts come from so many samples each.
+LEAST_RUN, RUN_ROWS, RUNS, SAMPLES = 20_000, 250_000, 64, 20
 #: Rows that are decoded together, and rows of a Parquet row group.
 BLOCK_ROWS, GROUP_ROWS = 8192, 65_536
 
@@ -330,7 +331,8 @@ def sorted_files(
     if not counts:
         return [], []
     spark, codec = rows.sparkSession, RowCodec(layout.kinds, layout.key)
-    runs = {p: min(RUNS, -(-n // RUN_ROWS)) for p, n in counts.items()}
+    length = min(RUN_ROWS, max(LEAST_RUN, 2 * sum(counts.values()) // len(counts)))
+    runs = {p: min(RUNS, -(-n // length)) for p, n in counts.items()}
     first, number = {}, 0
     for p in sorted(runs):
         first[p], number = number, number + runs[p]
