@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import LABEL_NAMES
@@ -32,14 +32,49 @@ def split_stats(stats: DataFrame, splits: DataFrame, issue: str = "issue_id") ->
     return rows.unionByName(both).groupBy("split").agg(names.alias("task_names"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in COUNTS])
 
 
-def missing_ground(names: DataFrame, ground: DataFrame, exact: bool = True) -> DataFrame:
-    """Names that the ground truth lacks. exact=False: that no line of it contains, as a search by text would find.
+#: Letters of the pieces by which names are looked for in lines.
+GRAM = 8
 
-    The inexact form compares every name with every line and is for one data set's names.
-    """
+
+def missing_ground(names: DataFrame, ground: DataFrame, exact: bool = True) -> DataFrame:
+    """Names that the ground truth lacks. exact=False: that no line of it contains, as a search by text would find."""
     if exact:
         return names.join(ground, names["file_basename"] == ground["file_basename"], "left_anti")
-    return names.join(ground, F.contains(ground["file_basename"], names["file_basename"]), "left_anti")
+    found = contained(names.select("file_basename"), ground.select("file_basename"))
+    return names.join(found, "file_basename", "left_anti")
+
+
+def _pieces(text: Column, size) -> Column:
+    """All different pieces of so many letters; none of a shorter text."""
+    last = F.length(text) - size + 1
+    every = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))
+    return F.when(last > 0, F.array_distinct(every))
+
+
+def contained(names: DataFrame, lines: DataFrame, gram: int = GRAM) -> DataFrame:
+    """The different names that lie in some line. Both have one column of text; nulls lie in nothing and hold nothing.
+
+    Lines are indexed by their pieces of some letters, and only by those that names have. A name is looked up by the piece that
+    the fewest lines hold, and then compared with those lines. Names of fewer letters are pieces themselves, looked up
+    whole; the empty name lies in every line.
+    """
+    name, line = names.columns[0], lines.columns[0]
+    names = names.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").alias("name")).distinct()
+    lines = lines.where(F.col(f"`{line}`").isNotNull()).select(F.col(f"`{line}`").alias("line")).distinct()
+    size = F.length("name")
+    long = names.where(size >= gram).select("name", F.explode(_pieces(F.col("name"), gram)).alias("piece"))
+    held = lines.select("line", F.explode(_pieces(F.col("line"), gram)).alias("piece"))
+    wanted = held.join(long.select("piece").distinct(), "piece", "left_semi")
+    held_by = wanted.groupBy("piece").agg(F.count("*").alias("n"))
+    rarest = long.join(held_by, "piece").groupBy("name").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
+    # a name with a piece that no line has may still be looked up by another one; comparing tells
+    by_piece = wanted.join(rarest, "piece").where(F.contains("line", "name")).select("name")
+    short = names.where((size > 0) & (size < gram))
+    lengths = F.array(*[F.lit(k) for k in range(1, gram)])
+    pieces = F.flatten(F.transform(lengths, lambda k: F.coalesce(_pieces(F.col("line"), k), F.array().cast("array<string>"))))
+    whole = short.join(lines.select(F.explode(pieces).alias("name")).distinct(), "name", "left_semi")
+    empty = names.where(size == 0).join(lines.limit(1).select(F.lit("").alias("name")), "name", "left_semi")
+    return by_piece.unionByName(whole).unionByName(empty).distinct().select(F.col("name").alias(name))
 
 
 def with_ground(rows: DataFrame, ground: DataFrame, name: str = "file_basename", order: str = "seq") -> DataFrame:

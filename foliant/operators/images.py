@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import LABEL_COLOURS
+from foliant.operators import isolation
 from foliant.operators.regions import LEAST_PIXELS, MAX_REGIONS
 
 #: Part of a page that a box needs, and the side of the square that cleans a mask.
@@ -88,33 +88,40 @@ def upscaled(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
     return pixels[rows[:, None], columns]
 
 
-def _regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pages in batches:
-        out = []
-        for p in pages.itertuples(index=False):
-            probs = np.frombuffer(p.probs, np.float32).reshape(p.height, p.width, -1)
-            high, wide = (s if pd.isna(n) else int(n) for n, s in zip((p.page_height, p.page_width), probs.shape, strict=False))
-            count = np.bincount(probs.argmax(axis=2).ravel(), minlength=probs.shape[2])
-            for label in range(1, probs.shape[2]):
-                if count[label] < LEAST_PIXELS:
-                    continue
-                own = upscaled(probs[:, :, label], high, wide)
-                for ith, (a, b, c, d) in enumerate(boxes(upscaled(binary_mask(probs[:, :, label]), high, wide))):
-                    total, area = float(own[b : d + 1, a : c + 1].sum()), (c - a) * (d - b)
-                    if area:
-                        out.append((p.page_id, p.page_number, label, ith, total / area, a, b, c, d, wide, high))
-        yield pd.DataFrame(out, columns=["page_id", "page_number", "label", "ith", "confidence", "x0", "y0", "x1", "y1", "width", "height"])
+REGION = "page_id string, page_number int, label int, ith int, confidence double, x0 int, y0 int, x1 int, y1 int, width int, height int"
 
 
-def regions_from_probs(pages: DataFrame) -> DataFrame:
-    """Regions of each page of label probabilities: page_id, page_number, height, width and probs (float32, by row, column, label).
+def page_regions(p) -> list[tuple]:
+    """Regions of one page of label probabilities, as REGION."""
+    out = []
+    probs = np.frombuffer(p.probs, np.float32).reshape(int(p.height), int(p.width), -1)
+    high, wide = (s if pd.isna(n) else int(n) for n, s in zip((p.page_height, p.page_width), probs.shape, strict=False))
+    count = np.bincount(probs.argmax(axis=2).ravel(), minlength=probs.shape[2])
+    for label in range(1, probs.shape[2]):
+        if count[label] < LEAST_PIXELS:
+            continue
+        own = upscaled(probs[:, :, label], high, wide)
+        for ith, (a, b, c, d) in enumerate(boxes(upscaled(binary_mask(probs[:, :, label]), high, wide))):
+            total, area = float(own[b : d + 1, a : c + 1].sum()), (c - a) * (d - b)
+            if area:
+                out.append((p.page_id, p.page_number, label, ith, total / area, a, b, c, d, wide, high))
+    return out
+
 
-    height and width are the network's; with columns page_height and page_width, boxes, confidence and fractions are those of
-    the page at that size (nulls: as it is). Masks are made, and labels' pixels counted, at the network's size.
+def regions_or_errors(pages: DataFrame) -> DataFrame:
+    """Regions of each page of label probabilities, with error; a page that cannot be used is one row with its error.
+
+    pages: page_id, page_number, height, width and probs (float32, by row, column, label). height and width are the network's; with
+    columns page_height and page_width, boxes, confidence and fractions are those of the page at that size (nulls: as it
+    is). Masks are made, and labels' pixels counted, at the network's size.
     """
-    schema = "page_id string, page_number int, label int, ith int, confidence double, x0 int, y0 int, x1 int, y1 int, width int, height int"
     size = [F.col(c) if c in pages.columns else F.lit(None).cast("int").alias(c) for c in ("page_height", "page_width")]
-    return pages.select("page_id", "page_number", "height", "width", "probs", *size).mapInPandas(_regions, schema)
+    return isolation.each(pages.select("page_id", "page_number", "height", "width", "probs", *size), page_regions, REGION, ["page_id", "page_number"])
+
+
+def regions_from_probs(pages: DataFrame) -> DataFrame:
+    """Regions of the pages that can be used; isolation.parted(regions_or_errors(...)) tells the others too."""
+    return regions_or_errors(pages).where("error is null").drop("error")
 
 
 def png(pixels: np.ndarray) -> bytes:
@@ -139,15 +146,62 @@ def mixed_mask(masks: list[tuple[tuple[int, int, int], np.ndarray]]) -> np.ndarr
     return np.asarray(total).astype(np.int64).astype(np.uint8)
 
 
-def _masks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pages in batches:
-        out = []
-        for p in pages.itertuples(index=False):
-            strokes = [(s["label"], (s["x"], s["y"], s["w"], s["h"])) for s in (p.strokes if p.strokes is not None else ())]
-            out.append((p.file_name, png(painted_mask(p.width, p.height, strokes))))
-        yield pd.DataFrame(out, columns=["file_name", "content"])
+def png_pixels(content: bytes) -> np.ndarray:
+    """The pixels of a PNG of 8-bit red, green and blue that png() made, or of one with the same kind of lines."""
+    if content[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("no PNG")
+    at, data, size = 8, b"", None
+    while at < len(content):
+        (n,) = struct.unpack(">I", content[at : at + 4])
+        kind, part = content[at + 4 : at + 8], content[at + 8 : at + 8 + n]
+        if zlib.crc32(kind + part) != struct.unpack(">I", content[at + 8 + n : at + 12 + n])[0]:
+            raise ValueError("a part of the PNG is damaged")
+        size = struct.unpack(">IIBBBBB", part) if kind == b"IHDR" else size
+        data += part if kind == b"IDAT" else b""
+        at += 12 + n
+    if not size or size[2:4] != (8, 2) or size[6]:
+        raise ValueError("not 8-bit colours without interlace")
+    lines = np.frombuffer(zlib.decompress(data), np.uint8).reshape(size[1], 1 + 3 * size[0])
+    if lines[:, 0].any():
+        raise ValueError("lines are filtered")
+    return lines[:, 1:].reshape(size[1], size[0], 3)
+
+
+def _strokes(p) -> list[tuple]:
+    return [(s["label"], (s["x"], s["y"], s["w"], s["h"])) for s in (p.strokes if p.strokes is not None else ())]
 
 
 def mask_files(pages: DataFrame) -> DataFrame:
-    """A PNG mask for each page: file_name, width, height and strokes, an ordered array of struct(label, x, y, w, h) or null."""
-    return pages.select("file_name", "width", "height", "strokes").mapInPandas(_masks, "file_name string, content binary")
+    """A PNG mask for each page: file_name, content and error. pages: file_name, width, height and strokes, an ordered array of
+    struct(label, x, y, w, h) or null. Later strokes lie over earlier ones; a page without strokes is black."""
+    work = lambda p: [(p.file_name, png(painted_mask(int(p.width), int(p.height), _strokes(p))))]
+    return isolation.each(pages.select("file_name", "width", "height", "strokes"), work, "file_name string, content binary", ["file_name"])
+
+
+def composite_mask(width: int, height: int, strokes: list[tuple[int, tuple[int, int, int, int]]]) -> np.ndarray:
+    """Masks of each label in white, and their colours summed where they are: labels that overlap mix, and wrap beyond 255."""
+    grey: dict[int, np.ndarray] = {}
+    for label, (x, y, w, h) in strokes:
+        grey.setdefault(label, np.zeros((height, width), np.uint8))[max(y, 0) : max(y + h, 0), max(x, 0) : max(x + w, 0)] = 255
+    return mixed_mask([(LABEL_COLOURS[k], m) for k, m in grey.items()]) if grey else np.zeros((height, width, 3), np.uint8)
+
+
+def composite_files(pages: DataFrame) -> DataFrame:
+    """A PNG of mixed colours for each page, as mask_files() takes and gives them; a page without strokes is black."""
+    work = lambda p: [(p.file_name, png(composite_mask(int(p.width), int(p.height), _strokes(p))))]
+    return isolation.each(pages.select("file_name", "width", "height", "strokes"), work, "file_name string, content binary", ["file_name"])
+
+
+def mask_colours(files: DataFrame) -> DataFrame:
+    """Colours of mask files (file_name, content): file_name, width, height, red, green, blue, n pixels and the sum of their places,
+    counted line by line from 0; with error, as isolation.each() gives it."""
+
+    def work(p) -> list[tuple]:
+        pixels = png_pixels(bytes(p.content))
+        code = (pixels.astype(np.int64) * (65536, 256, 1)).sum(axis=2).ravel()
+        found, at, n = np.unique(code, return_inverse=True, return_counts=True)
+        places = np.bincount(at, np.arange(code.size)).astype(np.int64)
+        high, wide, _ = pixels.shape
+        return [(p.file_name, wide, high, c >> 16, c >> 8 & 255, c & 255, k, s) for c, k, s in zip(found.tolist(), n.tolist(), places.tolist(), strict=True)]
+
+    return isolation.each(files.select("file_name", "content"), work, "file_name string, width int, height int, red int, green int, blue int, n long, places long", ["file_name"])

@@ -490,12 +490,12 @@ def post_model_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming
 
 
-@answers("""with p as (select user_id, count(*) as n from events group by user_id)
-select 'sim_u_' || cast(user_id as string) as issue_id, case when user_id % 10 = 0 and user_id % 70 <> 0 then 'timeout' else 'count' end as reason,
- n + case when user_id % 70 = 0 then 1 else 0 end as n_pages from p""")
-def finisher_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages as a stream of files: pages, then finish messages, then late pages, then a last look after the latency."""
-    from foliant.streaming.finisher import MESSAGE, closed_pages
+def _finished(spark: SparkSession, sf_dir: str, start, each=None) -> str:
+    """Messages as a stream of files: pages, then finish messages, then late pages, then a last look after the latency.
+
+    start(stream, where) starts the query of a round; each(query) is called when it has ended. Gives the folder of all.
+    """
+    from foliant.streaming.finisher import MESSAGE
 
     shared = spark.conf.get("spark.checkpoint.dir", "") or "file:///tmp/foliant-checkpoints"
     where = f"{shared.rstrip('/')}/finisher-{uuid.uuid4().hex}"
@@ -508,18 +508,18 @@ def finisher_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
     def run() -> None:
-        stream = spark.readStream.schema(MESSAGE).json(f"{where}/in")
-        out = closed_pages(stream, latency=1.0).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint")
         idle = "spark.sql.streaming.noDataMicroBatches.enabled"  # a timeout asks for batches without end, also when there is nothing to read
         before = spark.conf.get(idle)
         spark.conf.set(idle, "false")
-        query = out.trigger(availableNow=True).start()
+        query = start(spark.readStream.schema(MESSAGE).json(f"{where}/in"), where)
         try:
             if not query.awaitTermination(300):
                 raise TimeoutError("the stream did not end")
         finally:
             query.stop()
             spark.conf.set(idle, before)
+        if each:
+            each(query)
 
     for part in (0, 1, 2):
         rows.where(F.col("part") == part).drop("part").write.mode("append").json(f"{where}/in")
@@ -527,7 +527,39 @@ def finisher_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     time.sleep(1.5)
     rows.where("part = 1").drop("part").withColumn("state", F.lit("tick")).write.mode("append").json(f"{where}/in")
     run()
+    return where
+
+
+@answers("""with p as (select user_id, count(*) as n from events group by user_id)
+select 'sim_u_' || cast(user_id as string) as issue_id, case when user_id % 10 = 0 and user_id % 70 <> 0 then 'timeout' else 'count' end as reason,
+ n + case when user_id % 70 = 0 then 1 else 0 end as n_pages from p""")
+def finisher_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of each issue and why it was closed, over four starts from one checkpoint."""
+    from foliant.streaming.finisher import closed_pages
+
+    def start(stream: DataFrame, where: str):
+        out = closed_pages(stream, latency=1.0).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/checkpoint")
+        return out.trigger(availableNow=True).start()
+
+    where = _finished(spark, sf_dir, start)
     return spark.read.parquet(f"{where}/out").groupBy("issue_id", "reason").agg(F.count("*").alias("n_pages"))
 
 
+@answers("""with p as (select user_id, count(*) as n from events group by user_id)
+select count(*) as n_issues, cast(sum(n + case when user_id % 70 = 0 then 1 else 0 end) as bigint) as n_pages,
+ cast(sum(case when user_id % 7 = 0 and user_id % 10 <> 0 then 1 else 0 end) as bigint) as n_unused from p""")
+def stream_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues, pages and late messages as a listener counts them while issues are closed and written."""
+    from foliant.streaming.finisher import write_results
+    from foliant.streaming.progress import Progress
+
+    progress = Progress.of(spark)
+    try:
+        _finished(spark, sf_dir, lambda stream, where: write_results(stream, f"{where}/out", f"{where}/checkpoint", 1.0, availableNow=True), progress.wait)
+    finally:
+        spark.streams.removeListener(progress)
+    got = progress.totals()
+    return spark.createDataFrame([tuple(int(got.get(f"issues.{c}", 0)) for c in ("n_issues", "n_pages", "n_unused"))], "n_issues long, n_pages long, n_unused long")
+
+
 from foliant.plans import files, scans  # noqa: E402, F401 (they register further queries)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions import text as tx
+from foliant.operators import datasets, images, isolation, page_model
 from foliant.plans import fixtures as fx
 from foliant.plans.files import folder
 from foliant.plans.registry import answers
-from foliant.sources import named_files, readers
+from foliant.sources import named_files, readers, writers
 
 # --- hOCR: an issue of up to 500 pages, a page for each order, a line for each of its rows; every seventh line has no words
 
@@ -41,3 +43,108 @@ def hocr_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     where = folder(spark, "hocr")
     _hocr(spark, sf_dir, where)
     return readers.hocr(spark, where).na.fill(-1, ["word_no", "x0", "y0", "x1", "y1"]).na.fill("", ["text"])
+
+
+# --- masks: a page of 16 by 12 for each supplier, painted with a box for each of its lines
+
+_WIDE, _HIGH = 16, 12
+_STROKES = """
+select l_suppkey, cast(row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) as int) as n,
+       cast(1 + l_partkey % 4 as int) as label, cast(l_partkey % 20 - 3 as int) as x, cast(l_orderkey % 15 - 2 as int) as y,
+       cast(1 + l_linenumber % 4 as int) as w, cast(1 + l_quantity % 3 as int) as h from lineitem
+"""
+_CELLS = f"""cells as (select x, y from (select unnest(range({_WIDE})) as x), (select unnest(range({_HIGH})) as y)),
+strokes as ({_STROKES}), covered as (select l_suppkey, c.x, c.y, n, label from strokes s join cells c on c.x >= s.x and c.x < s.x + w and c.y >= s.y and c.y < s.y + h)"""
+_COLOURS = f"(values {', '.join(f'({i}, {r}, {g}, {b})' for i, (r, g, b) in enumerate(tx.LABEL_COLOURS))}) as k(label, red, green, blue)"
+
+
+def _pages_of_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stroke = F.struct("n", "label", "x", "y", "w", "h")
+    pages = fx.query(spark, sf_dir, _STROKES).groupBy("l_suppkey").agg(F.array_sort(F.collect_list(stroke)).alias("strokes"))
+    pages = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey")).join(pages, "l_suppkey", "left")
+    return pages.select(F.format_string("page_%d.png", "l_suppkey").alias("file_name"), F.lit(_WIDE).alias("width"), F.lit(_HIGH).alias("height"), "strokes")
+
+
+def _read_back(spark: SparkSession, where: str) -> DataFrame:
+    return images.mask_colours(readers.masks(spark, where)).select("file_name", "red", "green", "blue", "n", "places")
+
+
+def _counted(pixels: str) -> str:
+    return f"""select 'page_' || cast(s_suppkey as string) || '.png' as file_name, red, green, blue, count(*) as n, cast(sum(y * {_WIDE} + x) as bigint) as places from {pixels} group by all"""
+
+
+@answers(f"""with {_CELLS}, last as (select l_suppkey, x, y, arg_max(label, n) as label from covered group by all),
+p as (select s_suppkey, c.x, c.y, coalesce(label, 0) as label from supplier cross join cells c left join last l on l.l_suppkey = s_suppkey and l.x = c.x and l.y = c.y)
+{_counted(f"(select s_suppkey, x, y, red, green, blue from p join {_COLOURS} using (label))")}""")
+def mask_png_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks painted in order, written as PNG files all at once, read back and counted by colour."""
+    where = folder(spark, "masks")
+    writers.masks(images.mask_files(_pages_of_strokes(spark, sf_dir)), where)
+    return _read_back(spark, where)
+
+
+@answers(f"""with {_CELLS}, s as (select l_suppkey, x, y, sum(red) % 256 as red, sum(green) % 256 as green, sum(blue) % 256 as blue
+ from (select distinct l_suppkey, x, y, label from covered) c join {_COLOURS} using (label) group by all),
+p as (select s_suppkey, c.x, c.y, cast(coalesce(red, 0) as int) as red, cast(coalesce(green, 0) as int) as green, cast(coalesce(blue, 0) as int) as blue
+      from supplier cross join cells c left join s on s.l_suppkey = s_suppkey and s.x = c.x and s.y = c.y)
+{_counted("p")}""")
+def composite_png_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masks of each label mixed by colour, where sums beyond 255 wrap."""
+    where = folder(spark, "composites")
+    writers.masks(images.composite_files(_pages_of_strokes(spark, sf_dir)), where)
+    return _read_back(spark, where)
+
+
+# --- pages that fail in a worker: label probabilities of 28 by 28 for each customer, every tenth one cut short
+
+_SIDE, _LABELS = 28, 5
+
+
+def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block of one label on each page, as a network would give it."""
+    import numpy as np
+
+    key = F.col("c_custkey")
+    rows = fx.table(spark, sf_dir, "customer").select(key.alias("page_number"), (1 + key % 4).alias("label"), (19 + key % 3).alias("high"))
+
+    def work(p) -> list[tuple]:
+        probs = np.zeros((_SIDE, _SIDE, _LABELS), np.float32)
+        probs[:, :, 0] = 1
+        probs[: p.high, :, 0], probs[: p.high, :, p.label] = 0.25, 0.75
+        content = probs.tobytes()
+        return [(f"page_{p.page_number}", p.page_number, _SIDE, _SIDE, content[:-3] if p.page_number % 10 == 0 else content)]
+
+    return isolation.each(rows, work, "page_id string, page_number int, height int, width int, probs binary", ["page_number"]).drop("error")
+
+
+@answers("""with p as (select c_custkey as k, cast(1 + c_custkey % 4 as int) as label, 19 + c_custkey % 3 as h from customer)
+select 'page_' || cast(k as string) as page_id, label, 28 * h * 0.75 / (27 * (h - 1)) as confidence, cast(h - 1 as int) as y1, '' as error from p where k % 10 <> 0
+union all select 'page_' || cast(k as string), 0, 0.0, 0, 'ValueError' from p where k % 10 = 0""")
+def page_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions of good pages and dead letters of the others, from tables that one pass has written."""
+    good, dead = isolation.parted(images.regions_or_errors(_probabilities(spark, sf_dir)), folder(spark, "regions"))
+    failed = dead.select("page_id", F.lit(0).alias("label"), F.lit(0.0).alias("confidence"), F.lit(0).alias("y1"), F.substring_index("error", ":", 1).alias("error"))
+    return good.select("page_id", "label", "confidence", "y1", F.lit("").alias("error")).unionByName(failed)
+
+
+# --- folds, and names looked for in lines
+
+_TYPED = "select event_id, case event_type when 'click' then 1 when 'view' then 2 when 'purchase' then 3 else 0 end as page_type from events"
+
+
+@answers(f"""select event_id, page_type, cast((row_number() over (partition by page_type order by event_id) - 1) * 5 // count(*) over (partition by page_type) as int) as fold from ({_TYPED}) t""")
+def post_model_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five contiguous folds in each page type."""
+    return page_model.folds(fx.query(spark, sf_dir, _TYPED), "event_id")
+
+
+#: Names of pages, and lines that hold some of them: in a path, glued to more digits, or not at all.
+_SOUGHT = "select 'sim_' || source || '_' || cast(doc_id as string) as file_basename from documents"
+_HELD = """select case doc_id % 3 when 0 then 'train/sim_' || source || '_' || cast(doc_id as string) || '.jpg,1'
+ when 1 then 'x' || cast(doc_id as string) || ',0' else 'sim_' || source || '_' || cast(doc_id * 10 + 7 as string) || ',2' end as file_basename from documents"""
+
+
+@answers(f"""select n.file_basename from ({_SOUGHT}) n where not exists (select 1 from ({_HELD}) g where contains(g.file_basename, n.file_basename))""")
+def ground_missing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that no line of the ground truth contains."""
+    return datasets.missing_ground(fx.query(spark, sf_dir, _SOUGHT), fx.query(spark, sf_dir, _HELD), exact=False)

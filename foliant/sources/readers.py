@@ -106,6 +106,12 @@ def debug_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("path", r"([^/]*)__boxes\.jpg$", 1).alias("page_id"), "path")
 
 
+def masks(spark: SparkSession, path: str) -> DataFrame:
+    """file_name (below the folder) and content of the .png files of a folder, for images.mask_colours()."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.png").load(path)
+    return rows.select(F.substring_index("path", "/", -1).alias("file_name"), "content")
+
+
 def issue_results(spark: SparkSession, path: str) -> DataFrame:
     """Result documents of issues below a folder."""
     article = "struct<title:string,authors:string,page:int,page_id:string,refs:string>"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import LABEL_NAMES, issue_url, page_url, pretty, short_title
 from foliant.operators.issues import contents_lines, result_json
 from foliant.operators.regions import training_line
+from foliant.sources import named_files
 from foliant.sources.readers import EXCERPT
 
 PER_ISSUE = ["journal_id", "issue_id"]
@@ -80,3 +81,9 @@ def debug_page(articles: DataFrame) -> DataFrame:
     head = F.concat(F.lit("<h2>"), link(issue_url(F.col("issue_id")), F.col("issue_id")), F.lit("</h2>\n<table>\n<tr><th>Title</th><th>Authors</th><th>Page</th><th>Bbox</th></tr>\n"))
     rows = articles.groupBy("issue_id").agg(F.array_sort(F.collect_list(F.struct("page", row.alias("row")))).alias("rows"))
     return rows.select("issue_id", F.concat(head, F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("\n</table>\n")).alias("html"))
+
+
+def masks(files: DataFrame, path: str) -> None:
+    """Mask files (file_name, content) below a folder, all or none; a mask that could not be made fails the write."""
+    made = F.when(F.col("error").isNull(), F.col("content")).otherwise(F.raise_error(F.concat(F.lit("no mask for "), "file_name", F.lit(": "), "error")).cast("binary"))
+    named_files.write(files.select("file_name", made.alias("content")) if "error" in files.columns else files, path, "file_name")

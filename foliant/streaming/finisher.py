@@ -58,7 +58,7 @@ class IssueSession(StatefulProcessor):
 
     def _close(self, key: tuple, reason: str) -> pd.DataFrame:
         rows = [(*key, reason, v[0], k[0], *v[1:]) for k, v in self.pages.iterator()]
-        rows.sort(key=lambda r: r[4])
+        rows = [(*r, i == 0) for i, r in enumerate(sorted(rows, key=lambda r: r[4]))]
         self.pages.clear()
         self.head.clear()
         self.closed.update((reason,))
@@ -95,7 +95,7 @@ class IssueSession(StatefulProcessor):
         elif not done:
             self.head.update((n, target, finish))
         if self.report and unused:
-            yield _frame([(*key, why, *(_plain(getattr(m, c), c in ("page_number", "page_type")) for c in PAGE)) for why, m in unused])
+            yield _frame([(*key, why, *(_plain(getattr(m, c), c in ("page_number", "page_type")) for c in PAGE), False) for why, m in unused])
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         # a second finish message sets a later time; only the last one's timer ends the issue
@@ -107,8 +107,14 @@ class IssueSession(StatefulProcessor):
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["journal_id", "issue_id", "reason", *PAGE], dtype=object)
-    return out.astype({"page_number": "Int32", "page_type": "Int32"})
+    out = pd.DataFrame(rows, columns=["journal_id", "issue_id", "reason", *PAGE, "first"], dtype=object)
+    return out.astype({"page_number": "Int32", "page_type": "Int32", "first": bool})
+
+
+def closed(messages: DataFrame, latency: float = CLOSE_LATENCY, report: bool = False) -> DataFrame:
+    """closed_pages() with first, true for one page of each issue that closes."""
+    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return messages.groupBy("journal_id", "issue_id").transformWithStateInPandas(IssueSession(latency, report), f"{OUTPUT}, first boolean", "append", "processingTime")
 
 
 def closed_pages(messages: DataFrame, latency: float = CLOSE_LATENCY, report: bool = False) -> DataFrame:
@@ -116,14 +122,13 @@ def closed_pages(messages: DataFrame, latency: float = CLOSE_LATENCY, report: bo
 
     With report, messages that come late or have an unknown state come out too, with that as their reason.
     """
-    messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return messages.groupBy("journal_id", "issue_id").transformWithStateInPandas(IssueSession(latency, report), OUTPUT, "append", "processingTime")
+    return closed(messages, latency, report).drop("first")
 
 
 def write_results(messages: DataFrame, path: str, checkpoint: str, latency: float = CLOSE_LATENCY, **trigger):
     """Start a query that appends each closed issue's result and its pages below path, with the batch roll-up's own code.
 
-    Messages that come late or have an unknown state are written below path/unused.
+    Messages that come late or have an unknown state are written below path/unused. Progress counts issues, as `issues`.
     """
 
     def write(rows: DataFrame, epoch: int) -> None:
@@ -134,4 +139,7 @@ def write_results(messages: DataFrame, path: str, checkpoint: str, latency: floa
         results(pages.drop("reason")).write.mode("overwrite").parquet(f"{path}/results/epoch={epoch}")
         rows.unpersist()
 
-    return closed_pages(messages, latency, True).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "1 second"}).start()
+    used = ~F.col("reason").isin(*UNUSED)
+    # an issue without any page gives no row and is not counted
+    counted = closed(messages, latency, True).observe("issues", F.count_if(used).alias("n_pages"), F.count_if(used & F.col("first")).alias("n_issues"), F.count_if(~used).alias("n_unused"))
+    return counted.drop("first").writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**trigger or {"processingTime": "1 second"}).start()

@@ -6,6 +6,7 @@ from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foliant.functions.text import page_id_parts
 from foliant.plans.extraction import extract, quarantined
 
 #: A page and its regions, as the source of the stream holds them.
@@ -25,16 +26,48 @@ def continued(excerpts: DataFrame, seq: int) -> DataFrame:
     return excerpts.select("journal_id", "issue_id", F.lit("continue").alias("state"), F.lit(-1).alias("page_count"), F.lit(seq).cast("long").alias("seq"), *page)
 
 
-def write_messages(pages: DataFrame, words: DataFrame, model: DecisionTreeClassificationModel, path: str, checkpoint: str, rejects: str | None = None, **trigger):
+#: Folders over which words are laid out by their issue.
+WORD_PARTS = 1024
+
+
+class WordStore:
+    """Words of issues on disk, laid out so that a batch reads only the folders of its own issues.
+
+    Words lie in folders by the hash of their issue, sorted by issue and page in each, so that within a folder Parquet's own
+    statistics leave out most of what other issues have.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, parts: int = WORD_PARTS):
+        self.spark, self.path, self.parts = spark, path, parts
+
+    def _part(self):
+        return F.pmod(F.xxhash64("issue_id"), F.lit(self.parts)).cast("int")
+
+    def write(self, words: DataFrame) -> None:
+        """Lay out words (as the hocr source gives them); what was there goes."""
+        dealt = words.withColumn("part", self._part()).repartition("part").sortWithinPartitions("part", "issue_id", "page", "line_no")
+        dealt.write.mode("overwrite").partitionBy("part").parquet(self.path)
+
+    def of(self, pages: DataFrame) -> DataFrame:
+        """Words of the issues that pages (page_id) belong to. The driver sees numbers of folders, as many as there are at most."""
+        issues = pages.select(page_id_parts(F.col("page_id"))["issue_id"].alias("issue_id")).where("issue_id is not null")
+        parts = [r[0] for r in issues.select(self._part().alias("part")).distinct().collect()]
+        words = self.spark.read.parquet(self.path)
+        return words.where(F.col("part").isin(parts)).drop("part").join(issues.distinct(), "issue_id", "left_semi")
+
+
+def write_messages(pages: DataFrame, words: DataFrame | WordStore, model: DecisionTreeClassificationModel, path: str, checkpoint: str, rejects: str | None = None, **trigger):
     """Start a query that writes a message for each page below path. Progress counts pages and regions, as `pages`.
 
-    Pages that cannot be used whole are named with the reason below rejects, if given.
+    words: a small table, or a store, of which each batch reads its own issues. Pages that cannot be used whole are named
+    with the reason below rejects, if given.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
         found = batch.select("page_id", F.explode("found").alias("r")).select("page_id", "r.*")
-        out = continued(extract(batch.select("page_id"), found, words, model), epoch)
+        own = words.of(batch) if isinstance(words, WordStore) else words
+        out = continued(extract(batch.select("page_id"), found, own, model), epoch)
         out.write.mode("overwrite").json(f"{path}/epoch={epoch}")
         if rejects:
             quarantined(batch, found).write.mode("overwrite").json(f"{rejects}/epoch={epoch}")

@@ -23,7 +23,7 @@ def test_hocr(spark, tmp_path):
     got = sorted((r.page, r.line_no, -1 if r.word_no is None else r.word_no, r.text or "", r.x0 or 0) for r in rows.collect())
     assert got == [(0, 0, 0, "ab", 0), (0, 0, 1, "c", 10), (0, 1, -1, "", 0), (2, 0, 0, "d", 1)]
     lines = ocr.nested_lines(rows, ["issue_id", "page"]).where("page = 0").first().lines
-    assert [len(x) if x else 0 for x in lines] == [2, 0]
+    assert [len(x.words) for x in lines] == [2, 0] and (lines[0].y0, lines[0].y1, lines[1].y0) == (0, 8, None)
 
 
 def excerpt(n, kind):
