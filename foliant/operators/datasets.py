@@ -56,7 +56,7 @@ def contained(names: DataFrame, lines: DataFrame, gram: int = GRAM) -> DataFrame
 
     Lines are indexed by their pieces of some letters, and only by those that names have. A name is looked up by the piece that
     the fewest lines hold, and then compared with those lines. Names of fewer letters are pieces themselves, looked up
-    whole; the empty name lies in every line.
+    whole, the empty one too.
     """
     name, line = names.columns[0], lines.columns[0]
     names = names.where(F.col(f"`{name}`").isNotNull()).select(F.col(f"`{name}`").alias("name")).distinct()
@@ -69,12 +69,12 @@ def contained(names: DataFrame, lines: DataFrame, gram: int = GRAM) -> DataFrame
     rarest = long.join(held_by, "piece").groupBy("name").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     # a name with a piece that no line has may still be looked up by another one; comparing tells
     by_piece = wanted.join(rarest, "piece").where(F.contains("line", "name")).select("name")
-    short = names.where((size > 0) & (size < gram))
+    short = names.where(size < gram)
     lengths = F.array(*[F.lit(k) for k in range(1, gram)])
     pieces = F.flatten(F.transform(lengths, lambda k: F.coalesce(_pieces(F.col("line"), k), F.array().cast("array<string>"))))
+    pieces = F.concat(F.array(F.lit("")), pieces)
     whole = short.join(lines.select(F.explode(pieces).alias("name")).distinct(), "name", "left_semi")
-    empty = names.where(size == 0).join(lines.limit(1).select(F.lit("").alias("name")), "name", "left_semi")
-    return by_piece.unionByName(whole).unionByName(empty).distinct().select(F.col("name").alias(name))
+    return by_piece.unionByName(whole).distinct().select(F.col("name").alias(name))
 
 
 def with_ground(rows: DataFrame, ground: DataFrame, name: str = "file_basename", order: str = "seq") -> DataFrame:

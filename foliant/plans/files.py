@@ -82,7 +82,7 @@ select cast(floor(doc_id / 50) as int) as task_no, doc_id as image_id, cast(doc_
 """
 
 
-def _tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tasks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     image = F.struct(F.col("image_id").alias("id"), F.lit(100).alias("width"), F.lit(200).alias("height"), "file_name")
     rows = fx.query(spark, sf_dir, _EXPORT).groupBy("task_no").agg(F.array_sort(F.collect_list(image)).alias("images"))
     names = F.array(*[F.struct(F.lit(i).cast("long").alias("id"), F.lit(n).alias("name")) for i, n in enumerate(tx.LABEL_NAMES, 1)])
@@ -97,13 +97,13 @@ select 't' || cast(task_no as string) as task, image_id, file_name, page_number
 def export_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of images of one page the last one counts, if its name is an image's."""
     # a name with another suffix tells no page number, so it takes no page from another image
-    return golden.images_of(_tasks(spark, sf_dir)).select("task", "image_id", "file_name", "page_number")
+    return golden.images_of(tasks_of(spark, sf_dir)).select("task", "image_id", "file_name", "page_number")
 
 
 @answers(f"select distinct 't' || cast(task_no as string) as task from ({_EXPORT}) e where task_no % 3 <> 0 and task_no % 5 <> 0")
 def export_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tasks that are completed and have the expected categories."""
-    return golden.same_categories(golden.completed(_tasks(spark, sf_dir))).select("task")
+    return golden.same_categories(golden.completed(tasks_of(spark, sf_dir))).select("task")
 
 
 @answers(f"select n.file_basename from ({fx.NAMES}) n where n.file_basename not in (select file_basename from ({_AGAIN}) a)")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
-from foliant.operators import datasets, images, isolation, page_model
+from foliant.operators import datasets, golden, images, isolation, page_model
 from foliant.plans import fixtures as fx
 from foliant.plans.files import folder
 from foliant.plans.registry import answers
@@ -148,3 +148,29 @@ _HELD = """select case doc_id % 3 when 0 then 'train/sim_' || source || '_' || c
 def ground_missing_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that no line of the ground truth contains."""
     return datasets.missing_ground(fx.query(spark, sf_dir, _SOUGHT), fx.query(spark, sf_dir, _HELD), exact=False)
+
+
+# --- annotation exports: a file for each task of 50 images; an annotation for each label row, every ninth of an unknown image
+
+_NOTES = """select cast(floor(doc_id / 50) as int) as task_no, case when doc_id % 9 = 0 then 900000000 + doc_id else doc_id end as image_id, doc_id as id,
+ cast(1 + quality + 2 * toxic as int) as label, cast(doc_id % 50 as double) as x, cast(doc_id % 31 as double) as y, cast(3 + doc_id % 5 as double) as w, cast(2.5 as double) as h from labels"""
+
+
+@answers(f"""with n as (select *, row_number() over (partition by task_no order by id) - 1 as n from ({_NOTES}) a), i as (select doc_id as image_id from documents)
+select 't' || cast(task_no as string) as task, n, n.image_id, label, cast(x * 2 as bigint) as x0, cast((y + round_even(h, 0)) * 2 as bigint) as y1, i.image_id is null as orphan from n left join i using (image_id)""")
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations of exports that are written as files and read back a piece at a time, and whether their image is there."""
+    from foliant.plans.files import tasks_of
+
+    where = folder(spark, "exports")
+    box = F.struct(F.col("id"), F.struct("id", "image_id", F.col("label").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox")).alias("a"))
+    notes = fx.query(spark, sf_dir, _NOTES).groupBy(F.concat(F.lit("t"), F.col("task_no").cast("string")).alias("task")).agg(F.array_sort(F.collect_list(box)).alias("notes"))
+    tasks = tasks_of(spark, sf_dir).join(notes, "task", "left")
+    doc = F.struct(F.struct(F.lit("made up").alias("description")).alias("info"), "images", F.coalesce(F.transform("notes", lambda x: x["a"]), F.array()).alias("annotations"), "categories")
+    named_files.write(tasks.select(F.concat("task", F.lit(".json")).alias("name"), F.to_json(doc).alias("content")), where)
+    read = readers.coco(spark, where)
+    notes = golden.annotations_of(read)
+    images_ = read.select("task", F.explode("images.id").alias("image_id"))
+    lost = golden.orphans(notes, images_).select("task", F.col("n").alias("lost"))
+    rows = notes.alias("a").join(lost.alias("b"), (F.col("a.task") == F.col("b.task")) & (F.col("a.n") == F.col("b.lost")), "left")
+    return rows.select("a.task", F.col("a.n").cast("long").alias("n"), "a.image_id", "a.label", "a.box.x0", "a.box.y1", F.col("lost").isNotNull().alias("orphan"))

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliant.functions.text import image_page_id, ocr_issue_id
+from foliant.sources import exports
 from foliant.sources import hocr as hocr_source
 
 _S = lambda name: T.StructField(name, T.StringType())
 EXCERPT = T.StructType([_S("journal_id"), _S("page_id"), T.StructField("page_number", T.IntegerType()), T.StructField("page_type", T.IntegerType()), *map(_S, ("title", "authors", "refs", "toc", "explanation"))])
 GROUND = "file_basename string, page_type int"
-COCO = (
-    "images array<struct<id:bigint,width:int,height:int,file_name:string>>, "
-    "annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>>>, categories array<struct<id:bigint,name:string>>"
-)
+#: Lists of an annotation export and their items.
+COCO = {
+    "images": "struct<id:bigint,width:int,height:int,file_name:string>",
+    "annotations": "struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>>",
+    "categories": "struct<id:bigint,name:string>",
+}
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
@@ -78,10 +81,20 @@ def label_names(spark: SparkSession, path: str) -> DataFrame:
     return lines.select((F.col("n") + 1).alias("label"), "name")
 
 
+def coco_items(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """task (the file's name without suffix), n and the items of one list of annotation exports, read a piece at a time."""
+    exports.register(spark)
+    rows = spark.read.format("json_items").load(path).where(F.col("list") == kind)
+    return rows.select(image_page_id(F.col("file")).alias("task"), "n", F.from_json("item", COCO[kind], {"mode": "FAILFAST"}).alias("item"))
+
+
 def coco(spark: SparkSession, path: str) -> DataFrame:
-    """task (the file's name without suffix), images, annotations and categories of annotation exports."""
-    rows = spark.read.schema(COCO).option("multiLine", True).json(path)
-    return rows.select(image_page_id(F.col("_metadata.file_path")).alias("task"), "images", "annotations", "categories")
+    """task, images, annotations and categories of annotation exports; a task that lacks a list has an empty one."""
+    exports.register(spark)
+    rows = spark.read.format("json_items").load(path).where(F.col("list").isin(*COCO))
+    parsed = [F.when(F.col("list") == k, F.struct("n", F.from_json("item", t, {"mode": "FAILFAST"}).alias("x"))).alias(k) for k, t in COCO.items()]
+    lists = rows.select(image_page_id(F.col("file")).alias("task"), *parsed).groupBy("task").agg(*[F.array_sort(F.collect_list(k)).alias(k) for k in COCO])
+    return lists.select("task", *[F.transform(k, lambda v: v["x"]).alias(k) for k in COCO])
 
 
 def outline_project(spark: SparkSession, path: str) -> DataFrame:
