@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.text import page_id_parts
 from foliant.plans.extraction import extract, quarantined
+from foliant.sources.hocr import WORD
 
 #: A page and its regions, as the source of the stream holds them.
 PAGE = "page_id string, found array<struct<label:int,ith:int,confidence:double,x0:int,y0:int,x1:int,y1:int,width:int,height:int>>"
@@ -38,22 +39,25 @@ class WordStore:
     """
 
     def __init__(self, spark: SparkSession, path: str, parts: int = WORD_PARTS):
-        self.spark, self.path, self.parts = spark, path, parts
+        self.spark, self.path, self.parts, self.table = spark, path, parts, None
 
     def _part(self):
         return F.pmod(F.xxhash64("issue_id"), F.lit(self.parts)).cast("int")
 
     def write(self, words: DataFrame) -> None:
         """Lay out words (as the hocr source gives them); what was there goes."""
-        dealt = words.withColumn("part", self._part()).repartition("part").sortWithinPartitions("part", "issue_id", "page", "line_no")
+        own = [c.split()[0] for c in WORD.split(", ")]
+        dealt = words.select(*own, self._part().alias("part")).repartition("part").sortWithinPartitions("part", "issue_id", "page", "line_no")
         dealt.write.mode("overwrite").partitionBy("part").parquet(self.path)
+        self.table = None
 
     def of(self, pages: DataFrame) -> DataFrame:
         """Words of the issues that pages (page_id) belong to. The driver sees numbers of folders, as many as there are at most."""
         issues = pages.select(page_id_parts(F.col("page_id"))["issue_id"].alias("issue_id")).where("issue_id is not null")
         parts = [r[0] for r in issues.select(self._part().alias("part")).distinct().collect()]
-        words = self.spark.read.parquet(self.path)
-        return words.where(F.col("part").isin(parts)).drop("part").join(issues.distinct(), "issue_id", "left_semi")
+        if self.table is None:  # folders are listed once, not in each batch
+            self.table = self.spark.read.schema(f"{WORD}, part int").parquet(self.path)
+        return self.table.where(F.col("part").isin(parts)).drop("part").join(issues.distinct(), "issue_id", "left_semi")
 
 
 def write_messages(pages: DataFrame, words: DataFrame | WordStore, model: DecisionTreeClassificationModel, path: str, checkpoint: str, rejects: str | None = None, **trigger):

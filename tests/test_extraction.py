@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -80,3 +82,45 @@ def test_quarantine(spark):
     found = spark.createDataFrame([("sim_j_1_0001", 1, 0, 0, 0, 5, 5, 9, 9), ("sim_j_1_0001", 9, 0, 0, 0, 5, 5, 9, 9), ("sim_j_1_0001", 1, 1, 0, 0, 5, 5, None, 9), ("cover", 1, 0, 3, 0, 3, 5, 9, 9)], box)
     got = sorted(tuple(r) for r in quarantined(pages, found).collect())
     assert got == [("cover", "bad box"), ("cover", "bad id"), ("sim_j_1_0001", "bad box"), ("sim_j_1_0001", "bad place")]
+
+
+def test_a_batch_reads_only_its_issues_words(spark, tmp_path):
+    """Folders of other issues are spoiled after the words are laid out: a batch that opened one would fail."""
+    from foliant.streaming.pages import WordStore
+
+    words = spark.createDataFrame([(f"sim_j_{i}_1", p, 0, 0, f"w{i}", 0, 0, 8, 8) for i in range(60) for p in range(3)], WORD)
+    store = WordStore(spark, str(tmp_path / "words"), parts=32)
+    store.write(words)
+    batch = spark.createDataFrame([("sim_j_7_1_0001",), ("sim_j_8_1_0002",), ("odd",)], "page_id string")
+    got = store.of(batch)
+    folders = {str(r.part) for r in words.where("issue_id in ('sim_j_7_1', 'sim_j_8_1')").select(store._part().alias("part")).distinct().collect()}
+    assert len(folders) <= 2 < len({f.parent.name for f in (tmp_path / "words").rglob("*.parquet")})
+    assert re.search(r"PartitionFilters: \[[^\]]*part", got._jdf.queryExecution().executedPlan().toString())
+    for f in (tmp_path / "words").rglob("*.parquet"):
+        if f.parent.name.split("=")[1] not in folders:
+            f.write_bytes(b"spoiled")
+    assert sorted((r.issue_id, r.page, r.text) for r in got.collect()) == [(f"sim_j_{i}_1", p, f"w{i}") for i in (7, 8) for p in range(3)]
+    assert store.of(batch.limit(0)).count() == 0
+
+
+def test_the_page_stream_with_a_word_store(spark, inputs, tmp_path):
+    from foliant.streaming import pages as stream
+    from foliant.streaming.finisher import MESSAGE
+    from foliant.streaming.progress import Progress
+
+    pages, found, words = inputs
+    ground = spark.createDataFrame([(page_id(0), 3), (page_id(1), 1), (page_id(2), 2)], "file_basename string, page_type int")
+    model = page_model.train(ex.training_rows(pages, found, ground))
+    nested = found.groupBy("page_id").agg(F.collect_list(F.struct(*found.columns[1:])).alias("found"))
+    pages.join(nested, "page_id", "left").repartition(3).write.json(str(tmp_path / "in"))
+    store = stream.WordStore(spark, str(tmp_path / "words"))
+    store.write(words.unionByName(words.withColumn("issue_id", F.lit("sim_other_1"))))
+    progress = Progress.of(spark)
+    query = stream.write_messages(stream.source(spark, str(tmp_path / "in"), 1), store, model, str(tmp_path / "out"), str(tmp_path / "cp"), availableNow=True)
+    assert query.awaitTermination(120)
+    progress.wait(query)
+    spark.streams.removeListener(progress)
+    got = spark.read.schema(MESSAGE).option("recursiveFileLookup", True).json(str(tmp_path / "out")).collect()
+    want = ex.extract(pages, found, words, model).collect()
+    assert sorted((r.page_id, r.page_type, r.title, r.refs, r.toc) for r in got) == sorted((r.page_id, r.page_type, r.title, r.refs, r.toc) for r in want)
+    assert (progress.totals()["pages.n"], progress.totals()["pages.n_regions"]) == (5, found.count())

@@ -2,6 +2,7 @@ import time
 
 from foliant.operators.issues import results
 from foliant.streaming.finisher import MESSAGE, write_results
+from foliant.streaming.progress import Progress
 
 
 def message(issue, state, seq, page=None, count=None, kind=0):
@@ -52,3 +53,36 @@ def test_issues_close_once_for_each_reason(spark, tmp_path):
     assert streamed == batch and [a.refs for a in streamed["a"]] == ["r1"]
     unused = sorted((r.issue_id, r.reason, r.page_number) for r in spark.read.parquet(f"{where}/out/unused").collect())
     assert unused == [("a", "late", 7), ("c", "late", 7), ("c", "unknown", None)]
+
+
+def start_once(stream, where, latency):
+    return write_results(stream, f"{where}/out", f"{where}/cp", latency, availableNow=True)
+
+
+def test_a_session_goes_on_after_a_restart(spark, tmp_path):
+    """Each round is a start of its own from the same checkpoint: pages, timers and closed issues are remembered."""
+    progress = Progress.of(spark)
+    where = str(tmp_path)
+    rounds = [
+        [message("a", "continue", 0, 0, kind=1), message("b", "continue", 1, 5), message("b", "continue", 2, 5, kind=2)],  # a page that comes again counts once
+        [message("a", "continue", 3, 1), message("b", "finish", 4, count=3), message("a", "finish", 5, count=2)],
+        [message("a", "continue", 6, 2), message("b", "continue", 7, 1)],
+        [message("b", "tick", 8)],
+    ]
+    try:
+        for k, rows in enumerate(rounds):
+            if k == 3:
+                time.sleep(3.2)
+            spark.createDataFrame(rows, MESSAGE).coalesce(1).write.mode("append").json(f"{where}/in")
+            spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+            query = start_once(spark.readStream.schema(MESSAGE).json(f"{where}/in"), where, 3.0)
+            assert query.awaitTermination(120)
+            progress.wait(query)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+        spark.streams.removeListener(progress)
+    pages = sorted((r.issue_id, r.reason, r.page_number, r.page_type) for r in spark.read.parquet(f"{where}/out/pages").collect())
+    assert pages == [("a", "count", 0, 1), ("a", "count", 1, 0), ("b", "timeout", 1, 0), ("b", "timeout", 5, 2)]
+    got = progress.totals()
+    assert (got["issues.n_issues"], got["issues.n_pages"], got["issues.n_unused"], got["batches"]) == (2, 4, 1, 4)
+    assert got["seconds"] > 3 and not progress.failed
