@@ -1,8 +1,10 @@
 """License scans by ordered signature rules, with DataFrame functions alone.
 
 A rule is a regular expression over the words of a text (lower-cased in A-Z, one space between), a label, a priority and
-keywords, of which every match holds one, and gates likewise. The gates of all rules choose the texts that any rule can match;
-a rule's keywords are looked for before its expression is tried. Of overlapping detections, one that lies inside another of the same or a better
+keywords, of which every match holds one, and gates likewise. The gates of all rules are looked for in one pass, so that
+few texts are left for the rules. Rules lie in groups with an expression that all their
+matches hold; a rule's own is tried where its group's fits. Names in parentheses, such as (MIT), are found in the text itself,
+for which a letter of Unicode's private use marks them. Of overlapping detections, one that lies inside another of the same or a better
 priority is suppressed. The rules of BASE are always kept and are counted on their own.
 
 Null and wordless texts have no detections and score 0. Texts are read whole; the work for a text grows with its length,
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm.base import count_words, cut, normal_words, table
+from foliant.llm.base import ascii_lower, cut, normal_words, table
 
 #: Phrase -> label, as the contract fixes them.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -92,7 +94,7 @@ FAMILIES = [
 ]
 #: What a mention of these families holds if it need not hold "licen": short names are looked for as words.
 SHORT = {
-    **dict.fromkeys(("gpl", "lgpl", "agpl"), ("gpl", "lgpl", "agpl", "gnu", "general public licen", "lesser general", "library general", "affero general")), "mit-0": ("mit no attribution",), "mpl": ("[em]pl(?![^ ])", "licen"), "epl": ("[em]pl(?![^ ])", "licen"),
+    **dict.fromkeys(("gpl", "lgpl", "agpl"), ("gpl", "lgpl", "agpl", "gnu", "general public licen", "lesser general", "library general", "affero general")), "mit-0": ("mit no attribution",), "mpl": ("mpl(?![^ ])", "licen"), "epl": ("epl(?![^ ])", "licen"),
     **dict.fromkeys(("0bsd", "bsd-1-clause", "bsd-2-clause", "bsd-3-clause", "bsd-4-clause"), ("bsd", "0bsd", "zero clause bsd", "[1-4] clause bsd", "(?:one|two|three|four) clause bsd", "(?:simplified|freebsd|new|modified|revised|original|old) bsd")), "cddl": ("cddl", "licen"), "eupl": ("eupl", "licen"),
     "wtfpl": ("wtfpl",), "cc0": ("cc0", "creative commons"), "mulan": ("mulan",),
     **dict.fromkeys(("cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd", "cc-by-nc-sa", "cc-by-nc-nd"), ("cc by", "creative commons")),
@@ -226,31 +228,52 @@ CONFIDENCE = {1: 1.0, 2: 0.8, 3: 0.4}
 VERBS = ("licensed", "licenced", "released", "distributed", "published", "available", "provided", "covered", "issued")
 UNDER = f"(?:{'|'.join(VERBS)}) under (?:the )?(?:terms (?:and conditions )?of (?:the )?)?(?:version [0-9]+ of (?:the )?)?"
 LATER = "(?: or (?:at your option )?(?:any )?later(?: version)?)?"
+#: Between "license" and an identifier: "SPDX-License-Identifier: MIT", "License: MIT", "the license is MIT".
+NAMED = "(?:spdx )?licen[cs]es?(?: (?:identifier|expression|type|name|id|is))*"
+#: Families whose short names carry a version, glued on or not: GPLv3, LGPLv2.1, Apache-2.0.
+GLUED = ("gpl", "lgpl", "agpl", "gfdl", "apache", "mpl", "epl", "cddl", "eupl", "ofl", "odbl", "osl", "afl", "lppl", "cecill")
+#: Words that are no license by themselves but are one in parentheses.
+PARENTHESES = {"mit": "mit", "isc": "isc", "bsd": "bsd", "x11": "x11", "zlib": "zlib", "apache": "apache", "unlicense": "unlicense", "expat": "mit"}
+MARK = "\ue000"
 
 
-def _version(v: str) -> str:
+def _version(v: str, space: str = " ") -> str:
     major, minor = v.split(".")
-    return f" (?:version |v )?v?{major}" + ("(?: 0)?" if minor == "0" else f" {minor}")
+    return f"{space}(?:version |v )?v?{major}" + ("(?: 0)?" if minor == "0" else f" {minor}")
+
+
+def _whole(pattern: str) -> str:
+    """A match is whole words: between spaces or ends."""
+    return f"(?<![^ ])(?:{pattern})(?![^ ])"
 
 
 def rules() -> list[dict]:
-    """All rules in order: of each family and version a notice, a mention and an identifier, then single ones and the licenses' wording."""
+    """All rules in order: of each family and version a notice, a mention, identifiers and short forms, then single ones and the
+    licenses' wording. A rule names its group; groups() tells what the matches of a group hold."""
     out = []
 
-    def add(label: str, keyword: str, pattern: str, priority: int, base: bool = False, gates: Sequence[str] = ()) -> None:
-        # a match is whole words: between spaces or ends
+    def add(label: str, keyword: str, pattern: str, priority: int, base: bool = False, gates: Sequence[str] = (), group: str = "") -> None:
         keywords = keyword.split("|")
-        out.append({"rule": len(out), "label": label, "keywords": keywords, "gates": list(gates or keywords), "priority": priority, "base": base, "pattern": f"(?<![^ ])(?:{pattern})(?![^ ])"})
+        out.append({"rule": len(out), "label": label, "keywords": keywords, "gates": list(gates or keywords), "priority": priority, "base": base, "group": group or f"{label} {len(out)}", "pattern": _whole(pattern)})
 
     for phrase, label in BASE.items():
         add(label, phrase, re.escape(phrase).replace("\\ ", " "), 2, True)
     for label, keyword, name, short, versions in FAMILIES:
+        words = re.sub("[^a-z0-9]+", " ", label)
+        begin = [k if len(k) > 3 else f"{k}(?![^ ])" for k in keyword.split("|")]
         for v in ("", *versions):
             full = label + (f"-{v}" if v else "")
             tail = _version(v) + LATER if v else ""
-            add(full, keyword, f"{UNDER}(?:{short or name}){tail}", 1, gates=[f"{v} under" for v in VERBS])
-            add(full, keyword, f"(?:{name}){tail}", 2, gates=SHORT.get(label, ("licen", "unlicen")))
-            add(full, "spdx", "spdx licen[cs]e identifier " + re.sub("[^a-z0-9]+", " ", full) + ("(?: only| or later)?" if "gpl" in label else ""), 1)
+            only = "(?: only| or later)?" if "gpl" in label else ""
+            own = words + (_version(v, " ?") if v else "")
+            add(full, keyword, f"{UNDER}(?:{short or name}){tail}", 1, gates=SHORT.get(label, (*(begin if short else ()), "licen", "unlicen")), group=label)
+            add(full, keyword, f"(?:{name}){tail}", 2, gates=SHORT.get(label, ("licen", "unlicen")), group=label)
+            add(full, words, f"{NAMED} {own}{only}", 1, gates=("licen", "spdx"), group=label)
+            add(full, words, f"{own} licen[cs]ed", 2, gates=("licen",), group=label)
+            if v and label in GLUED:
+                add(full, words, f"(?:gnu )?{own}(?:{only}|{LATER})", 2 if "gpl" in label else 3, gates=(f"{words} ?(?:version |v )?v?[0-9]",), group=label)
+    add("bsd", "bsd style|bsd like|bsd type", f"bsd (?:style|like|type)(?: {LIC})?", 2, gates=("bsd",))
+    add("mit", "mit style|mit like|mit type", f"mit (?:style|like|type) {LIC}", 2, gates=("licen",))
     for label, keyword, pattern, priority in (*SINGLE, *WORDING):
         certain = re.sub(r"\(\?:[^()]*\)(?:[?*]|\{0)", "", pattern)  # without what a match may lack
         common = [c for c in COMMON if re.search(f"(?:^| ){c}", certain) and "|" not in certain]
@@ -258,55 +281,106 @@ def rules() -> list[dict]:
     return out
 
 
+def groups(own: list[dict]) -> dict[str, str]:
+    """For each group an expression that some part of every match of its rules fits: a family's names, or the rule itself."""
+    family = {label: (name, short, re.sub("[^a-z0-9]+", " ", label)) for label, _, name, short, _ in FAMILIES}
+    out = {}
+    for r in own:
+        if r["group"] in family:
+            name, short, words = family[r["group"]]
+            out[r["group"]] = "(?<![^ ])(?:" + "|".join([name, *([short] if short else []), words]) + ")"
+        else:
+            out[r["group"]] = r["pattern"]
+    return out
+
+
+def _tree(words: list[str]) -> str:
+    """An expression for any of the words or expressions, parted by their first letters, so that few are tried at a place. Longer
+    ones come first where one begins with another."""
+    by: dict[str, list[str]] = {}
+    for w in words:
+        by.setdefault(w[0] if w[0].isalnum() else "", []).append(w)
+    own = lambda ws: "|".join(sorted(ws, key=lambda w: (-len(w), w)))
+    parts = [own(by.pop("", []))] + [f"{c}(?:{own([w[1:] for w in ws])})" for c, ws in sorted(by.items())]
+    return "|".join(p for p in parts if p)
+
+
 def gate(own: list[dict]) -> str:
     """The expression of the texts that any rule can match: any of the rules' gates, at the start of a word."""
-    words = {g for r in own for g in r["gates"]}
+    words = set()
+    for g in {g for r in own for g in r["gates"]}:
+        either = re.match(r"\(\?:([a-z|]+)\)(.*)", g)
+        words |= {w + either[2] for w in either[1].split("|")} if either else {g}
     # a gate that starts with another adds nothing
-    return "(?:^| )(?:" + "|".join(sorted(w for w in words if not any(o != w and w.startswith(o) for o in words))) + ")"
+    return "(?:^| )(?:" + _tree([w for w in words if not any(o != w and w.startswith(o) for o in words)]) + ")"
 
 
 def _spaces(c):
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def detections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own: list[dict] | None = None) -> DataFrame:
-    """(k1, k2, rule, label, priority, base, start, end) of every match; words from 0, end exclusive; k1 and k2 are id and hash."""
-    own = rules() if own is None else own
-    table = F.from_json(F.lit(json.dumps([{k: v for k, v in r.items() if k != "gates"} for r in own])), "array<struct<rule:int,label:string,keywords:array<string>,priority:int,base:boolean,pattern:string>>")
-    base = docs.select(docs[f"`{doc_id}`"].alias("k1"), F.xxhash64(docs[f"`{text}`"]).alias("k2"), normal_words(docs[f"`{text}`"]).alias("normal"))
-    words = F.array(*[F.lit(k) for k in sorted({k for r in own for k in r["keywords"]})])
-    gated = base.where(F.rlike("normal", F.lit(gate(own))))
-    # the keywords that a text holds are named in a lambda, so that they are looked for once and not for each rule
-    present = F.array(F.filter(words, lambda k: F.contains(F.col("normal"), k)))
-    own_rules = F.get(F.transform(present, lambda p: F.filter(table, lambda r: F.arrays_overlap(r["keywords"], p))), F.lit(0))
-    return (
-        gated.select("k1", "k2", "normal", F.explode(own_rules).alias("r"))
-        .where(F.rlike("normal", F.col("r.pattern")))
-        .select(
-            "k1", "k2", "r",
-            F.transform(F.split("normal", F.col("r.pattern"), -1), _spaces).alias("between"),
-            F.transform(F.regexp_extract_all("normal", F.col("r.pattern"), F.lit(0)), _spaces).alias("inside"),
-        )
-        .select("k1", "k2", "r", "inside", F.posexplode(_starts()).alias("i", "start"))
-        .select("k1", "k2", "r.rule", "r.label", "r.priority", "r.base", "start", (F.col("start") + F.get("inside", F.col("i")) + 1).alias("end"))
-        .distinct()  # of rows that repeat an id and a text
-    )
+def _gated(docs: DataFrame, doc_id: str, text: str, own: list[dict]) -> DataFrame:
+    """row, k1 (id), k2 (hash), n_words, normal (the words of a text that passes the gates, else null) and named (words with marked
+    names in parentheses, or null). Texts are gone through once and written only where a rule may match."""
+    t = F.coalesce(docs[f"`{text}`"], F.lit(""))
+    rows = docs.select(docs[f"`{doc_id}`"].alias("k1"), t.alias("t"), normal_words(t).alias("words"))
+    rows = rows.withColumn("open", F.rlike("words", F.lit(gate(own))))
+    inside = "\\((" + "|".join(sorted(PARENTHESES)) + ")\\)"
+    lower = ascii_lower(F.col("t"))
+    named = F.when(F.col("open") & F.rlike(lower, F.lit(inside)), normal_words(F.regexp_replace(lower, inside, f" {MARK}$1 ")))
+    n_words = F.when(F.col("words") == "", 0).otherwise(_spaces(F.col("words")) + 1).cast("long")
+    rows = rows.select("k1", F.xxhash64("t").alias("k2"), n_words.alias("n_words"), F.when(F.col("open"), F.col("words")).alias("normal"), named.alias("named"))
+    return cut(rows.withColumn("row", F.monotonically_increasing_id()), "gated")
 
 
-def _starts():
-    """Spaces before each match: those of all pieces up to it and of all matches before it."""
-    step = F.aggregate(
-        F.arrays_zip("between", "inside"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),
-        lambda a, x: F.struct((a["at"] + x["between"] + F.coalesce(x["inside"], F.lit(0))).alias("at"), F.array_append(a["all"], a["at"] + x["between"]).alias("all")),
-        lambda a: a["all"],
-    )
-    return F.slice(step, 1, F.size("inside"))
+def _present(normal, own: list[dict], names: list[str]):
+    """Places in names of the groups of which a text has a keyword. A keyword begins where a word begins."""
+    of_word: dict[str, set[int]] = {}
+    for r in own:
+        for k in r["keywords"]:
+            of_word.setdefault(k, set()).add(names.index(r["group"]))
+    # of keywords that begin alike the longest one is found, and counts for all that it begins with
+    reach = {k: sorted(set().union(*(of_word[o] for o in of_word if k.startswith(o)))) for k in of_word}
+    of_word = F.from_json(F.lit(json.dumps(reach)), "map<string,array<int>>")
+    found = F.array_distinct(F.regexp_extract_all(normal, F.lit(f"(?<![^ ])(?=({_tree(list(reach))}))"), F.lit(1)))
+    return F.array_distinct(F.flatten(F.transform(found, lambda k: F.element_at(of_word, k))))
+
+
+def _found(gated: DataFrame, own: list[dict]) -> DataFrame:
+    """row, k1, k2, rule, label, priority, base, start and end of every match."""
+    of_group = groups(own)
+    names = list(of_group)
+    table = [[{k: v for k, v in r.items() if k not in ("gates", "group")} for r in own if r["group"] == g] for g in names]
+    table = F.from_json(F.lit(json.dumps(table)), "array<array<struct<rule:int,label:string,keywords:array<string>,priority:int,base:boolean,pattern:string>>>")
+    normal, pattern = F.col("normal"), F.col("r.pattern")
+    rows = gated.where("normal is not null").select("row", "k1", "k2", "normal", _present(normal, own, names).alias("gs"))
+    fits = [F.when(F.array_contains("gs", i) & F.rlike(normal, F.lit(of_group[g])), F.lit(i)) for i, g in enumerate(names)]
+    rows = rows.select("row", "k1", "k2", "normal", F.explode(F.filter(F.array(*fits), lambda i: i.isNotNull())).alias("g"))
+    rows = rows.select("row", "k1", "k2", "normal", F.explode(F.get(table, F.col("g"))).alias("r")).where(F.exists("r.keywords", lambda k: F.contains("normal", k)) & F.rlike(normal, pattern))
+    # each match's first word is marked, so that its place is found in one pass over the words, however many matches there are
+    marked = F.split(F.regexp_replace(normal, pattern, F.lit("\x01$0")), " ")
+    starts = F.filter(F.transform(marked, lambda w, i: F.when(F.startswith(w, F.lit("\x01")), i)), lambda i: i.isNotNull())
+    more = F.transform(F.regexp_extract_all(normal, pattern, F.lit(0)), _spaces)
+    rows = rows.select("row", "k1", "k2", "r", F.explode(F.arrays_zip(starts.alias("start"), more.alias("more"))).alias("m"))
+    worded = rows.select("row", "k1", "k2", "r.rule", "r.label", "r.priority", "r.base", "m.start", (F.col("m.start") + F.col("m.more") + 1).alias("end"))
+    labels = F.create_map(*[F.lit(x) for k, v in PARENTHESES.items() for x in (MARK + k, v)])
+    in_text = gated.where("named is not null").select("row", "k1", "k2", F.posexplode(F.split("named", " ")).alias("start", "w")).where(F.startswith("w", F.lit(MARK)))
+    in_text = in_text.withColumn("label", F.try_element_at(labels, F.col("w"))).where("label is not null")
+    return worded.unionByName(in_text.select("row", "k1", "k2", F.lit(-1).alias("rule"), "label", F.lit(2).alias("priority"), F.lit(False).alias("base"), "start", (F.col("start") + 1).alias("end")))
+
+
+def detections(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own: list[dict] | None = None) -> DataFrame:
+    """(k1, k2, rule, label, priority, base, start, end) of every match; words from 0, end exclusive; k1 and k2 are id and hash.
+
+    Rule -1 is a name in parentheses. Rows that repeat an id and a text have their matches once.
+    """
+    own = rules() if own is None else own
+    return _found(_gated(docs, doc_id, text, own), own).drop("row").distinct()
 
 
-def survivors(found: DataFrame) -> DataFrame:
+def survivors(found: DataFrame, doc: Sequence[str] = ("k1", "k2")) -> DataFrame:
     """Detections that lie inside no other of the same document with the same or a better priority."""
-    order = Window.partitionBy("k1", "k2").orderBy("start", F.desc("end"), "priority", "label", "rule").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*doc).orderBy("start", F.desc("end"), "priority", "label", "rule").rowsBetween(Window.unboundedPreceding, -1)
     reach = F.lit(None)
     for p in sorted(CONFIDENCE, reverse=True):
         reach = F.when(F.col("priority") == p, F.max(F.when(F.col("priority") <= p, F.col("end"))).over(order)).otherwise(reach)
@@ -315,21 +389,19 @@ def survivors(found: DataFrame) -> DataFrame:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", own: list[dict] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score, for every row of docs."""
-    found = cut(detections(docs, doc_id, text, own), "detections")
-    base = found.where("base").groupBy("k1", "k2").agg(
+    own = rules() if own is None else own
+    gated = _gated(docs, doc_id, text, own)
+    found = cut(_found(gated, own), "detections")
+    base = found.where("base").groupBy("row").agg(
         F.count("*").alias("n_base"), F.min("start").alias("first_word"), F.max("start").alias("last_word"),
         F.collect_set("label").alias("base_labels"),
     )
     confidence = F.lit(0.0)
     for p, c in CONFIDENCE.items():
         confidence = F.when(F.col("priority") == p, F.lit(c)).otherwise(confidence)
-    more = survivors(found).groupBy("k1", "k2").agg(F.collect_set("label").alias("labels"), F.max(confidence).alias("score"))
-    same = [more.k1.eqNullSafe(base.k1), more.k2 == base.k2]
-    per_doc = more.join(base, same, "left").select(more.k1, more.k2, "labels", "score", "n_base", "first_word", "last_word", "base_labels")
-    per_doc = cut(per_doc, "licenses")
-
-    whole = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), F.xxhash64(docs[f"`{text}`"]).alias("h"), count_words(docs[f"`{text}`"]).alias("n_words"))
-    out = whole.join(per_doc, whole.doc_id.eqNullSafe(per_doc.k1) & (whole.h == per_doc.k2), "left")
+    more = survivors(found, ["row"]).groupBy("row").agg(F.collect_set("label").alias("labels"), F.max(confidence).alias("score"))
+    per_row = cut(more.join(base, "row", "left"), "licenses")
+    out = gated.select("row", F.col("k1").alias("doc_id"), "n_words").join(per_row, "row", "left")
     none = F.array().cast("array<string>")
     basic, every = F.coalesce("base_labels", none), F.coalesce("labels", none)
     return out.select(
