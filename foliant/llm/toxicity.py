@@ -30,8 +30,6 @@ from foliant.llm.base import annotate, cut, field, fold, table
 
 #: Labelled rows of each label that are learned from, whole, at most: those with the least hash of their id.
 TRAIN_ROWS = {1: 400, 0: 2400}
-#: Telling terms at most, the most telling first.
-TERMS = 8192
 #: A telling term is in so many examples, at this many deviations above chance, mostly of label 1.
 LEAST_EXAMPLES, LEAST_DEVIATIONS, LEAST_SHARE = 5, 6.0, 0.8
 #: Lengths of the heads of words that are terms too, where they tell.
@@ -217,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: dict[int, int] | None = None,
     stats = stats.groupBy("term").agg(F.count("*").alias("df"), F.sum("y").alias("ones")).where(F.col("df") >= LEAST_EXAMPLES)
     deviations = (F.col("ones") - F.col("df") * p) / F.sqrt(F.col("df") * (p * (1 - p)))
     stats = stats.withColumn("z", deviations).where((F.col("z") >= LEAST_DEVIATIONS) & (F.col("ones") >= LEAST_SHARE * F.col("df")))
-    idf = {r["term"]: float(np.log((1 + n) / (1 + r["df"])) + 1) for r in stats.orderBy(F.desc("z"), "term").limit(TERMS).collect()}
+    idf = {r["term"]: float(np.log((1 + n) / (1 + r["df"])) + 1) for r in stats.collect()}  # terms of a bounded sample
 
     def words():
         def run(texts):
