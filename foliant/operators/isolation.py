@@ -9,19 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of an Arrow batch at most, since a row may hold a page's pixels; and letters of an error that are kept.
-BATCH_ROWS, ERROR_CHARS = 256, 500
+#: Letters of an error that are kept.
+ERROR_CHARS = 500
 
 
 def each(rows: DataFrame, work: Callable[[object], list[tuple]], schema: str, key: list[str]) -> DataFrame:
     """What work() gives for each row (tuples of the schema's columns), with error null; for a row that it fails on, one row with
-    its key columns and the error, all else null. schema must have the key columns. Only a killed worker fails the query."""
+    its key columns and the error, all else null. schema must have the key columns. Only a killed worker fails the query. Batches
+    are bounded by Spark's spark.sql.execution.arrow.maxBytesPerBatch, whatever a row holds."""
     names = T.StructType.fromDDL(schema).names
     place = [names.index(k) for k in key]
-    session = rows.sparkSession.conf
-    bound = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(session.get(bound, "10000")) <= BATCH_ROWS:
-        session.set(bound, str(BATCH_ROWS))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for some in batches:
