@@ -1,7 +1,10 @@
 """Secrets in texts: three fixed patterns, and strings that look drawn at random.
 
 A string is scored by two character Markov models, one of random strings and one of ordinary identifiers, both trained
-from labelled samples; the mean log-likelihood ratio of a character decides. Spans count code points, end exclusive.
+from labelled samples; the mean log-likelihood ratio of a character decides. Samples are drawn by rule, and fit() adds those
+that documents label themselves: what the patterns find is random, names made of a text's own words are not. Strings that look
+random but are public by their class are left alone: UUIDs, digests that name their function, times, and text in base64.
+Spans count code points, end exclusive.
 
 Null texts count as empty and have no spans. Texts are scanned whole. Repeated rows are scanned each; an empty table
 gives an empty result; input columns that have the name of a result are replaced. Spans that start at the same place go by
@@ -10,6 +13,7 @@ kind, as listed; a random string that overlaps a base span is left to it; a scor
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 import re
@@ -18,6 +22,7 @@ from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliant.llm.base import annotate, field, table
 
@@ -33,6 +38,33 @@ CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Samples of each label that the default models are trained from.
 SAMPLES = 4000
 
+#: Documents that fit() takes samples from, those with the least hash of id and text, and samples of each label from one.
+FIT_ROWS, FIT_STRINGS = 2000, 4
+#: Classes of strings that are no secrets, whatever the models say.
+PUBLIC = {
+    "uuid": re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
+    "digest": re.compile(r"(?ai:sha(?:1|224|256|384|512)|md5)[-_=/][A-Za-z0-9+/_=-]+"),
+    "time": re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}[T_-][0-9]{2}[-_]?[0-9]{2}[-_]?[0-9]{0,2}Z?"),
+}
+
+
+def public_class(string: str) -> str | None:
+    """The class of a string that is no secret though it may look random; None for others."""
+    for name, shape in PUBLIC.items():
+        if shape.fullmatch(string):
+            return name
+    core = string.rstrip("=")
+    if len(core) % 4 == 1 or any(c in core for c in "=") or string.islower() or string.isupper():
+        return None
+    try:
+        text = base64.b64decode(core.translate(_URL_SAFE) + "=" * (-len(core) % 4), validate=True).decode("utf-8")
+    except ValueError:  # no base64, or no text in it
+        return None
+    return "base64 text" if text.isprintable() or all(c.isprintable() or c in "\n\r\t" for c in text) else None
+
+
+_URL_SAFE = str.maketrans("-_", "+/")
+
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Kept matches of the three patterns as (kind, start, end), by start and then kind."""
@@ -108,6 +140,42 @@ def default_model() -> MarkovPair:
     return _DEFAULT[0]
 
 
+def labelled_strings(text: str | None, most: int = FIT_STRINGS) -> list[tuple[str, int]]:
+    """Strings that a text labels itself: secrets that the patterns find (1), and names made of its neighbouring words (0)."""
+    if not text:
+        return []
+    spans = base_spans(text)
+    found = [(ASSIGN.match(text, a)[1] if kind == "assign" else text[a:b], 1) for kind, a, b in spans]
+    found = [(x, y) for x, y in found if len(x) >= LEAST and re.fullmatch(f"[{re.escape(CLASSES)}]+", x) and not public_class(x)][:most]
+    words = [m[0] for m in re.finditer(r"(?a:\b[A-Za-z]{3,}\b)", text) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
+    step = max(1, len(words) // most)
+    for i in range(0, min(len(words), most * step), step):
+        some, n = [], 0
+        while n < LEAST and i + len(some) < len(words):
+            some.append(words[i + len(some)])
+            n += len(some[-1])
+        if n >= LEAST:
+            found.append((("_", "-", "")[i % 3].join(some) if i % 2 else "".join(w.capitalize() for w in some), 0))
+    return found
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> MarkovPair:
+    """Models from the drawn samples and those of at most `rows` documents; what reaches the driver are those samples."""
+    t = docs[f"`{text}`"]
+    order = F.xxhash64(docs[f"`{doc_id}`"].cast("string"), t)
+    few = docs.select(order.alias("order"), t.alias("text")).where("text is not null").orderBy("order").limit(rows)
+
+    def make():
+        def run(texts):
+            found = [labelled_strings(t) for t in texts]
+            return [[[x for x, _ in f] for f in found], [[y for _, y in f] for f in found]]
+
+        return run
+
+    got = annotate(few, make, [field("strings", "array<string>"), field("labels", "array<int>")], carry=["order"]).orderBy("order").collect()
+    return MarkovPair(labelled_samples() + [(x, y) for r in got for x, y in zip(r["strings"], r["labels"], strict=True)])
+
+
 def find(text: str | None, model: MarkovPair) -> tuple[list, list]:
     """Base spans, and all spans: the base ones and the random strings that overlap none of them."""
     if not text:
@@ -121,7 +189,7 @@ def find(text: str | None, model: MarkovPair) -> tuple[list, list]:
         k = bisect_left(starts, b)  # base spans that start before b
         if k and ends[k - 1] > a:
             continue
-        if model.score(m[0]) > model.threshold:
+        if model.score(m[0]) > model.threshold and not public_class(m[0]):
             more.append(("random", a, b))
     return base, sorted(base + more, key=lambda s: (s[1], KINDS.index(s[0])))
 
@@ -177,4 +245,5 @@ def redacted(docs: DataFrame, model: MarkovPair | None = None, text: str = "text
 
 
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return scan(docs, fit(docs), carry=["doc_id"])
