@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.text import LABEL_NAMES
+from foliant.operators.ranks import checkpointed
 
 COUNTS = ["image_count", "image_annotated_count", "annotation_count", *LABEL_NAMES]
 #: Splits that training of the page model uses together.
@@ -54,7 +55,7 @@ def _pieces(text: Column, size) -> Column:
 def contained(names: DataFrame, lines: DataFrame, gram: int = GRAM) -> DataFrame:
     """The different names that lie in some line. Both have one column of text; nulls lie in nothing and hold nothing.
 
-    Lines are indexed by their pieces of some letters, and only by those that names have. A name is looked up by the piece that
+    Lines are indexed by their pieces of some letters. A name is looked up by the piece that
     the fewest lines hold, and then compared with those lines. Names of fewer letters are pieces themselves, looked up
     whole, the empty one too.
     """
@@ -64,11 +65,11 @@ def contained(names: DataFrame, lines: DataFrame, gram: int = GRAM) -> DataFrame
     size = F.length("name")
     long = names.where(size >= gram).select("name", F.explode(_pieces(F.col("name"), gram)).alias("piece"))
     held = lines.select("line", F.explode(_pieces(F.col("line"), gram)).alias("piece"))
-    wanted = held.join(long.select("piece").distinct(), "piece", "left_semi")
-    held_by = wanted.groupBy("piece").agg(F.count("*").alias("n"))
+    # counts are written, so that the join with the pieces of names can split a piece that many names have
+    held_by = checkpointed(held.groupBy("piece").agg(F.count("*").alias("n")))
     rarest = long.join(held_by, "piece").groupBy("name").agg(F.min_by("piece", F.struct("n", "piece")).alias("piece"))
     # a name with a piece that no line has may still be looked up by another one; comparing tells
-    by_piece = wanted.join(rarest, "piece").where(F.contains("line", "name")).select("name")
+    by_piece = held.join(rarest, "piece").where(F.contains("line", "name")).select("name")
     short = names.where(size < gram)
     lengths = F.array(*[F.lit(k) for k in range(1, gram)])
     pieces = F.flatten(F.transform(lengths, lambda k: F.coalesce(_pieces(F.col("line"), k), F.array().cast("array<string>"))))
