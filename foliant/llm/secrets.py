@@ -160,10 +160,12 @@ def labelled_strings(text: str | None, most: int = FIT_STRINGS) -> list[tuple[st
 
 
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> MarkovPair:
-    """Models from the drawn samples and those of at most `rows` documents; what reaches the driver are those samples."""
+    """Models from the drawn samples and those of at most `rows` documents; what moves, and reaches the driver, are those samples."""
     t = docs[f"`{text}`"]
     order = F.xxhash64(docs[f"`{doc_id}`"].cast("string"), t)
-    few = docs.select(order.alias("order"), t.alias("text")).where("text is not null").orderBy("order").limit(rows)
+    known = docs.select(order.alias("order"), t.alias("text")).where("text is not null")
+    share = (2.0 * rows + 100) / max(1, known.count())  # about twice as many as needed, so that only those are looked through
+    few = known.where((F.col("order") / F.lit(2.0**64) + 0.5) < min(1.0, share))
 
     def make():
         def run(texts):
@@ -172,7 +174,8 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int =
 
         return run
 
-    got = annotate(few, make, [field("strings", "array<string>"), field("labels", "array<int>")], carry=["order"]).orderBy("order").collect()
+    got = annotate(few, make, [field("strings", "array<string>"), field("labels", "array<int>")], carry=["order"])
+    got = got.dropDuplicates(["order"]).orderBy("order").limit(rows).collect()  # repeated rows count once
     return MarkovPair(labelled_samples() + [(x, y) for r in got for x, y in zip(r["strings"], r["labels"], strict=True)])
 
 
