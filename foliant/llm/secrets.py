@@ -63,6 +63,7 @@ def public_class(string: str) -> str | None:
     return "base64 text" if text.isprintable() or all(c.isprintable() or c in "\n\r\t" for c in text) else None
 
 
+NAME_PART = re.compile(r"(?a:\b[A-Za-z]{3,}\b)")
 _URL_SAFE = str.maketrans("-_", "+/")
 
 
@@ -147,15 +148,19 @@ def labelled_strings(text: str | None, most: int = FIT_STRINGS) -> list[tuple[st
     spans = base_spans(text)
     found = [(ASSIGN.match(text, a)[1] if kind == "assign" else text[a:b], 1) for kind, a, b in spans]
     found = [(x, y) for x, y in found if len(x) >= LEAST and re.fullmatch(f"[{re.escape(CLASSES)}]+", x) and not public_class(x)][:most]
-    words = [m[0] for m in re.finditer(r"(?a:\b[A-Za-z]{3,}\b)", text) if not any(a < m.end() and m.start() < b for _, a, b in spans)]
-    step = max(1, len(words) // most)
-    for i in range(0, min(len(words), most * step), step):
+    rest, at = [], 0
+    for _, a, b in spans:
+        rest += [text[at:a], "\0"]
+        at = max(at, b)
+    rest = "".join([*rest, text[at:]])
+    for i in range(most):  # from places all over the text
         some, n = [], 0
-        while n < LEAST and i + len(some) < len(words):
-            some.append(words[i + len(some)])
-            n += len(some[-1])
-        if n >= LEAST:
-            found.append((("_", "-", "")[i % 3].join(some) if i % 2 else "".join(w.capitalize() for w in some), 0))
+        for m in NAME_PART.finditer(rest, i * len(rest) // most):
+            some.append(m[0])
+            n += len(m[0])
+            if n >= LEAST:
+                found.append((("_", "-", "")[i % 3].join(some) if i % 2 else "".join(w.capitalize() for w in some), 0))
+                break
     return found
 
 
