@@ -513,8 +513,7 @@ def _finished(spark: SparkSession, sf_dir: str, start, each=None) -> str:
         spark.conf.set(idle, "false")
         query = start(spark.readStream.schema(MESSAGE).json(f"{where}/in"), where)
         try:
-            if not query.awaitTermination(300):
-                raise TimeoutError("the stream did not end")
+            query.awaitTermination()  # it ends when all there is has been read, however much that is, and a failure is raised here
         finally:
             query.stop()
             spark.conf.set(idle, before)

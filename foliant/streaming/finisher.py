@@ -5,18 +5,20 @@ how many pages to expect; "close" ends it at once. An issue is closed when it ha
 after its finish message, or on close, and gives all its pages then, once. What comes later for it is dropped. There is no
 limit to the issues that are open at a time: each is state of its own.
 
-A page is an entry of the issue's state, so a batch writes the pages it brings and no others. A timer ends an issue after its
-finish message, and that an issue was closed is forgotten after REMEMBER seconds by the state's time to live. State is
-kept by RocksDB, which the session is set to.
+A batch appends the pages it brings to the issue's list, as one entry, and rewrites its head, which has the numbers of its pages: so
+a batch asks the state store for a few things of each issue, not of each page. A page that comes again is kept again until
+the list holds twice as many as there are numbers. A timer ends an issue after its finish message, and that an issue was closed is
+forgotten after REMEMBER seconds by the state's time to live. State is kept by RocksDB, which the session is set to.
 """
 
 from __future__ import annotations
 
+import json
 import time
 from collections.abc import Iterator
+from itertools import islice
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -34,18 +36,29 @@ REMEMBER = 24 * 3600.0
 PAGE = ["page_id", "page_number", "page_type", "title", "authors", "refs", "toc"]
 MESSAGE = "journal_id string, issue_id string, state string, page_count int, seq bigint, page_id string, page_number int, page_type int, title string, authors string, refs string, toc string"
 OUTPUT = "journal_id string, issue_id string, reason string, page_id string, page_number int, page_type int, title string, authors string, refs string, toc string"
-#: State of an open issue beside its pages: pages it has and is to have, and when its finish message came (0: not yet).
-HEAD = "n int, target int, finish double"
+#: State of an open issue beside its pages: numbers of the pages it has, entries that are kept of them, pages it is to have, and
+#: when its finish message came (0: not yet).
+HEAD = "numbers array<int>, kept int, target int, finish double"
+#: Pages that one batch brought, a list of each column.
+TEXTS = ["title", "authors", "refs", "toc"]
+BROUGHT = "page_number array<int>, page_id array<string>, page_type array<int>, " + ", ".join(f"{c} array<string>" for c in TEXTS)
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _plain(value, whole: bool = False):
-    """A value of a message as Python's own, null as None."""
-    return None if pd.isna(value) else int(value) if whole else str(value)
+#: Columns of a message beside its issue, and rows that sessions give.
+COLUMNS = [c.split()[0] for c in MESSAGE.split(", ")][2:]
+CLOSED = Row(*[c.split()[0] for c in OUTPUT.split(", ")], "first")
+#: Messages of an issue that are put in order at a time.
+ORDERED = 10000
+
+
+def _place(message: dict) -> tuple:
+    """Where a message stands in its issue; without a seq, last."""
+    return "seq" not in message, message.get("seq", 0)
 
 
 class IssueSession(StatefulProcessor):
-    """One issue: its head, its pages by number, and whether it has been closed."""
+    """One issue: its head, its pages as batches brought them, and whether it has been closed."""
 
     def __init__(self, latency: float, report: bool):
         self.latency, self.report = latency, report
@@ -53,68 +66,80 @@ class IssueSession(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.head = handle.getValueState("head", HEAD)
-        self.pages = handle.getMapState("pages", "page_number int", "page_id string, page_type int, title string, authors string, refs string, toc string")
+        self.pages = handle.getListState("brought", BROUGHT)
         self.closed = handle.getValueState("closed", "reason string", ttlDurationMs=int(REMEMBER * 1000))
 
-    def _close(self, key: tuple, reason: str) -> pd.DataFrame:
-        rows = [(*key, reason, v[0], k[0], *v[1:]) for k, v in self.pages.iterator()]
-        rows = [(*r, i == 0) for i, r in enumerate(sorted(rows, key=lambda r: r[4]))]
+    def _kept(self) -> dict[int, tuple]:
+        """Pages by number, of one that came again the last."""
+        return {page[0]: page for some in self.pages.get() for page in zip(*some, strict=True)}
+
+    def _close(self, key: tuple, reason: str, pages: dict[int, tuple], timed: bool) -> Iterator[Row]:
         self.pages.clear()
         self.head.clear()
         self.closed.update((reason,))
-        for at in list(self.handle.listTimers()):
+        for at in list(self.handle.listTimers()) if timed else ():
             self.handle.deleteTimer(at)
-        return _frame(rows)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        done = self.closed.exists()
-        n, target, finish = self.head.get() if not done and self.head.exists() else (0, -1, 0.0)
-        reason, unused = None, []
-        for some in rows:
-            for m in some.sort_values("seq").itertuples(index=False):
+        for i, (number, page_id, *rest) in enumerate(pages[k] for k in sorted(pages)):
+            yield CLOSED(*key, reason, page_id, number, *rest, i == 0)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        done = self.closed.get() is not None
+        numbers, kept, target, finish = (None if done else self.head.get()) or ([], 0, -1, 0.0)
+        had, timed, again, reason, brought = set(numbers), bool(finish), False, None, {}
+        n, unused = len(had), []
+        while some := list(islice(rows, ORDERED)):
+            for m in sorted((json.loads(row.message) for row in some), key=_place):
+                state, page_count, page_number = m.get("state"), m.get("page_count"), m.get("page_number")
+                page = (page_number, m.get("page_id"), m.get("page_type"), *(m.get(c) for c in TEXTS))
                 if done or reason:
-                    unused += [("late", m)] if m.state != "tick" else []
+                    unused += [("late", page)] if state != "tick" else []
                     continue
-                if m.state == "continue" and not pd.isna(m.page_number):
-                    at = (int(m.page_number),)
-                    n += not self.pages.containsKey(at)
-                    self.pages.updateValue(at, (_plain(m.page_id), _plain(m.page_type, True), *(_plain(getattr(m, c)) for c in ("title", "authors", "refs", "toc"))))
-                elif m.state == "finish":
-                    target, finish = -1 if pd.isna(m.page_count) else int(m.page_count), time.time()
-                    self.handle.registerTimer(int((finish + self.latency) * 1000))
-                elif m.state == "close":
+                if state == "continue" and page_number is not None:
+                    n += page_number not in had and page_number not in brought
+                    brought[page_number] = page
+                elif state == "finish":
+                    target, finish, again = -1 if page_count is None else page_count, time.time(), True
+                elif state == "close":
                     reason = "close"
-                elif m.state not in STATES:
-                    unused.append(("unknown", m))
+                elif state not in STATES:
+                    unused.append(("unknown", page))
                 if n == target:
                     reason = "count"
         if not done and not reason and finish and time.time() > finish + self.latency:
             reason = "timeout"
         if reason:
-            yield self._close(key, reason)
+            yield from self._close(key, reason, (self._kept() if kept else {}) | brought, timed)
         elif not done:
-            self.head.update((n, target, finish))
-        if self.report and unused:
-            yield _frame([(*key, why, *(_plain(getattr(m, c), c in ("page_number", "page_type")) for c in PAGE), False) for why, m in unused])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if brought:
+                if kept + len(brought) > 2 * n:
+                    brought = self._kept() | brought
+                    self.pages.clear()
+                    kept = 0
+                self.pages.appendValue(tuple(map(list, zip(*brought.values(), strict=True))))
+                kept += len(brought)
+            self.head.update((sorted(had.union(brought)), kept, target, finish))
+            if again:
+                self.handle.registerTimer(int((finish + self.latency) * 1000))
+        if self.report:
+            for why, (number, page_id, *rest) in unused:
+                yield CLOSED(*key, why, page_id, number, *rest, False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         # a second finish message sets a later time; only the last one's timer ends the issue
-        if not self.closed.exists() and self.head.exists() and time.time() >= self.head.get()[2] + self.latency:
-            yield self._close(key, "timeout")
+        head = self.head.get()
+        if head is not None and time.time() >= head[3] + self.latency:
+            yield from self._close(key, "timeout", self._kept() if head[1] else {}, True)
 
     def close(self) -> None:
         pass
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["journal_id", "issue_id", "reason", *PAGE, "first"], dtype=object)
-    return out.astype({"page_number": "Int32", "page_type": "Int32", "first": bool})
-
-
 def closed(messages: DataFrame, latency: float = CLOSE_LATENCY, report: bool = False) -> DataFrame:
     """closed_pages() with first, true for one page of each issue that closes."""
     messages.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    return messages.groupBy("journal_id", "issue_id").transformWithStateInPandas(IssueSession(latency, report), f"{OUTPUT}, first boolean", "append", "processingTime")
+    # a message is one text, since Spark turns rows into Python's cell by cell, which costs more than reading JSON
+    packed = messages.select("journal_id", "issue_id", F.to_json(F.struct(*COLUMNS)).alias("message"))
+    return packed.groupBy("journal_id", "issue_id").transformWithState(IssueSession(latency, report), f"{OUTPUT}, first boolean", "append", "processingTime")
 
 
 def closed_pages(messages: DataFrame, latency: float = CLOSE_LATENCY, report: bool = False) -> DataFrame:

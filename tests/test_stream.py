@@ -1,5 +1,7 @@
 import time
 
+from pyspark.sql import Row
+
 from foliant.operators.issues import results
 from foliant.streaming.finisher import MESSAGE, write_results
 from foliant.streaming.progress import Progress
@@ -86,3 +88,48 @@ def test_a_session_goes_on_after_a_restart(spark, tmp_path):
     got = progress.totals()
     assert (got["issues.n_issues"], got["issues.n_pages"], got["issues.n_unused"], got["batches"]) == (2, 4, 1, 4)
     assert got["seconds"] > 3 and not progress.failed
+
+
+class Kept:
+    """A state variable in memory, which counts the calls of all."""
+
+    calls = 0
+
+    def __init__(self):
+        self.value = None
+
+    def _call(self, value=None, put=False):
+        Kept.calls += 1
+        self.value = value if put else self.value
+        return self.value
+
+    get = exists = _call
+    update = lambda self, value: self._call(value, True)
+    clear = lambda self: self._call(None, True)
+    appendValue = lambda self, value: self._call([*(self.value or []), value], True)
+
+
+class Handle:
+    getValueState = getListState = lambda self, *a, **k: Kept()
+    registerTimer = deleteTimer = lambda self, at: None
+    listTimers = lambda self: []
+
+
+def test_calls_of_the_state_store_do_not_grow_with_pages():
+    import json
+
+    from foliant.streaming.finisher import IssueSession
+
+    session, key = IssueSession(60.0, True), ("j", "a")
+    session.init(Handle())
+    names = [c.split()[0] for c in MESSAGE.split(", ")]
+    row = lambda *a, **k: Row(message=json.dumps({c: v for c, v in zip(names, message(*a, **k), strict=True) if v is not None and c not in ("journal_id", "issue_id")}))
+    Kept.calls = 0
+    assert not list(session.handleInputRows(key, iter([row("a", "continue", 1000 - i, i) for i in range(999)]), None))
+    assert Kept.calls <= 5
+    for i in range(3000):  # a page that comes again and again takes no more room than the others do
+        assert not list(session.handleInputRows(key, iter([row("a", "continue", 2000 + i, 5, kind=i % 4)]), None))
+    assert sum(len(some[0]) for some in session.pages.value) <= 2 * 999
+    got = list(session.handleInputRows(key, iter([row("a", "continue", 9001, 999), row("a", "finish", 9000, count=1000), row("a", "odd", 9002)]), None))
+    assert [r.page_number for r in got] == [*range(1000), None] and [r.reason for r in got] == ["count"] * 1000 + ["late"]
+    assert got[5].page_type == 2999 % 4 and [r.first for r in got[:3]] == [True, False, False]
