@@ -9,8 +9,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Letters of an error that are kept.
-ERROR_CHARS = 500
+#: Letters of an error that are kept, and rows of a task where work on a row takes long.
+ERROR_CHARS, TASK_ROWS = 500, 4000
+
+
+def dealt(rows: DataFrame, key: list[str], per_task: int = TASK_ROWS) -> DataFrame:
+    """rows dealt by key into tasks of some number of rows, for a table whose few bytes would make few tasks though each row is much work.
+
+    The rows are counted first, which a scan does from its files' footers."""
+    n = rows.count()
+    return rows.repartition(max(1, -(-n // per_task)), *key)
 
 
 def each(rows: DataFrame, work: Callable[[object], list[tuple]], schema: str, key: list[str]) -> DataFrame:

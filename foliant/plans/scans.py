@@ -114,7 +114,8 @@ def _probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
         content = probs.tobytes()
         return [(f"page_{p.page_number}", p.page_number, _SIDE, _SIDE, content[:-3] if p.page_number % 10 == 0 else content)]
 
-    return isolation.each(rows, work, "page_id string, page_number int, height int, width int, probs binary", ["page_number"]).drop("error")
+    # the table is small, but each of its rows becomes pixels and then regions
+    return isolation.each(isolation.dealt(rows, ["page_number"]), work, "page_id string, page_number int, height int, width int, probs binary", ["page_number"]).drop("error")
 
 
 @answers("""with p as (select c_custkey as k, cast(1 + c_custkey % 4 as int) as label, 19 + c_custkey % 3 as h from customer)

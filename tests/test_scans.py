@@ -185,3 +185,39 @@ def test_lines_off_a_box_are_not_tried(spark):
     got = ocr.nested_lines(df, ["page"]).select(ocr.tried(lines, box).alias("tried"), ocr.words_in(lines, box).alias("n"), ocr.box_text(lines, box).alias("text")).first()
     assert (got.n, got.tried) == (12, 150)
     assert [x.strip() for x in got.text.split("\n") if x] == [" ".join(f"w{i}_{j}" for j in range(10, 14)) for i in range(50, 53)]
+
+
+def test_a_small_table_of_long_rows_is_dealt_to_many_tasks(spark, tmp_path):
+    """A file of a few bytes is one task by itself; its pages, which take a while each, are not."""
+    from foliant.plans import scans
+
+    spark.range(1, 9001).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    tasks = scans._probabilities(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) == 3 and sum(r[1] for r in tasks) == 9000
+
+
+def test_growing_and_boxes_beside_plain_ones():
+    from foliant.operators import images
+
+    rng = np.random.default_rng(7)
+    for h, w, part in ((9, 14, 0.1), (28, 28, 0.02), (1, 7, 0.5), (12, 5, 0.3)):
+        mask = rng.random((h, w)) < part
+        for by in (1, 2):
+            want = [[bool(mask[max(y - by, 0) : y + by + 1, max(x - by, 0) : x + by + 1].any()) for x in range(w)] for y in range(h)]
+            assert images._grown(mask, by).tolist() == want
+        seen, found = np.zeros_like(mask), []
+        for y, x in zip(*np.nonzero(mask), strict=True):
+            area, todo = [], [] if seen[y, x] else [(y, x)]
+            seen[y, x] = True
+            while todo:
+                v, u = todo.pop()
+                area.append((v, u))
+                for b in range(max(v - 1, 0), min(v + 2, h)):
+                    for a in range(max(u - 1, 0), min(u + 2, w)):
+                        if mask[b, a] and not seen[b, a]:
+                            seen[b, a] = True
+                            todo.append((b, a))
+            if area:
+                ys, xs = zip(*area, strict=True)
+                found.append((min(xs), min(ys), max(xs), max(ys)))
+        assert sorted(images.boxes(mask, 0, 10**6)) == sorted(found)
