@@ -45,5 +45,9 @@ def issue_scores(golden: DataFrame, check: DataFrame, keys: list[str]) -> DataFr
     return rows.withColumn("explanation", F.when(faults == "", fine).otherwise(faults)).drop("own_whole", "other_whole", "n_other")
 
 
-def accuracy(rows: DataFrame, predicted: str, actual: str) -> DataFrame:
-    return rows.agg(F.avg((F.col(predicted) == F.col(actual)).cast("double")).alias("accuracy"))
+def accuracy(rows: DataFrame, predicted: str, actual: str, weight: str | None = None) -> DataFrame:
+    """Part of the rows that are predicted right; with a weight, each counts so many times."""
+    right = (F.col(predicted) == F.col(actual)).cast("double")
+    if weight is None:
+        return rows.agg(F.avg(right).alias("accuracy"))
+    return rows.agg((F.sum(right * F.col(weight)) / F.sum(F.when(right.isNotNull(), F.col(weight)))).alias("accuracy"))

@@ -94,6 +94,19 @@ def test_page_model(spark, tmp_path):
     assert sizes == [4] * 20
 
 
+def test_equal_pages_are_one_with_a_weight(spark):
+    """A tree that is fitted on copies holds each page once, and tells what a tree on all of them does."""
+    vec = F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: (F.col("id") * 7 % (i + 3)).cast("double"))
+    rows = spark.range(40).select("id", ((F.col("id") * 5 + F.col("id") % 3) % 4).cast("int").alias("page_type"), vec.alias("vec"))
+    many = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(6)))).where("copy <= 1 + id % 6").withColumn("key", F.col("id") * 10 + F.col("copy"))
+    one = page_model.weighted(many)
+    assert one.count() == 40 and one.agg(F.sum("weight")).first()[0] == many.count()
+    a, b = (page_model.predict(page_model.train(r), rows).orderBy("id").select("model_type").collect() for r in (one, many))
+    assert a == b == rows.orderBy("id").select(F.col("page_type").alias("model_type")).collect()
+    got = page_model.cross_validation(many, "key").collect()
+    assert sum(r.n for r in got) == many.count() and all(0 <= r.accuracy <= 1 for r in got)
+
+
 def test_images():
     probs = np.zeros((100, 120))
     probs[10:40, 20:60] = 0.9
