@@ -51,3 +51,20 @@ def words_in(lines: Column, box: dict[str, Column]) -> Column:
     """Number of a page's words in a box."""
     of_line = lambda n, x: n + F.when(reaches(x, box), F.size(F.filter(x["words"], lambda w: inside(w, box)))).otherwise(0)
     return F.coalesce(F.aggregate(lines, F.lit(0), of_line), F.lit(0))
+
+
+def texts_in_box(words: DataFrame, page: list[str], box: dict[str, Column]) -> DataFrame:
+    """page columns and text, as box_text() gives it, where the box is the same for all pages. Of words outside nothing moves, and of
+    a line no more than its number and its text."""
+    word = F.struct("word_no", "text")
+    there = F.when(F.col("word_no").isNotNull() & inside({c: F.col(c) for c in ("x0", "y0", "x1", "y1")}, box), word)
+    line = words.select(*page, "line_no", there.alias("word")).groupBy(*page, "line_no").agg(F.array_sort(F.collect_list("word")).alias("words"))
+    found = F.array_join(F.transform("words", lambda w: F.concat(w["text"], F.lit(" "))), "")
+    lines = line.select(*page, F.struct("line_no", found.alias("text")).alias("line")).groupBy(*page).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return lines.select(*page, F.coalesce(strip(F.array_join(F.transform("lines", lambda x: x["text"]), "\n")), F.lit("")).alias("text"))
+
+
+def words_in_box(words: DataFrame, page: list[str], box: dict[str, Column]) -> DataFrame:
+    """page columns and n_words, as words_in() gives it, where the box is the same for all pages: a count."""
+    there = F.col("word_no").isNotNull() & inside({c: F.col(c) for c in ("x0", "y0", "x1", "y1")}, box)
+    return words.groupBy(*page).agg(F.count_if(there).cast("int").alias("n_words"))

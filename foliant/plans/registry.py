@@ -177,14 +177,12 @@ def _box() -> dict:
 
 @answers(f"""select page_key, regexp_replace(string_agg(lt, chr(10) order by line_no), {_sql_re(f'^[{tx.SPACE}]+|[{tx.SPACE}]+$')}, '', 'g') as text from ({_LINE_TEXT}) group by page_key""")
 def bbox_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = ocr.nested_lines(fx.words(spark, sf_dir), PAGE)
-    return pages.select("page_key", ocr.box_text(F.col("lines"), _box()).alias("text"))
+    return ocr.texts_in_box(fx.words(spark, sf_dir), PAGE, _box())
 
 
 @answers(f"select page_key, cast(count(case when {_BOX_SQL} then 1 end) as int) as n_words from ({fx.WORDS}) group by page_key")
 def bbox_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = ocr.nested_lines(fx.words(spark, sf_dir), PAGE)
-    return pages.select("page_key", ocr.words_in(F.col("lines"), _box()).alias("n_words"))
+    return ocr.words_in_box(fx.words(spark, sf_dir), PAGE, _box())
 
 
 # --- regions and rules
