@@ -118,6 +118,18 @@ def test_masks(spark, tmp_path):
     assert {r.file_name: (r.error or "").split(":")[0] for r in images.mask_colours(broken).collect()} == {"x": "ValueError", "y": "ValueError", "z": ""}
 
 
+def test_strokes_reach_workers_as_numbers(spark):
+    """A batch of pages with some hundred structs each would be dictionaries of some gigabytes in a worker."""
+    stroke = "array<struct<n:int,label:int,x:int,y:int,w:int,h:int>>"
+    pages = spark.createDataFrame([("a.png", 4, 3, [(1, 1, -1, 0, 3, 2), (2, 4, 1, 1, 9, 9)]), ("b.png", 4, 3, [(1, None, 0, 0, 1, 1)]), ("c.png", 4, 3, [])], f"file_name string, width int, height int, strokes {stroke}")
+    for files, plain in ((images.mask_files, images.painted_mask), (images.composite_files, images.composite_mask)):
+        made = files(pages)
+        assert images._flat(pages).schema["strokes"].dataType.simpleString() == "array<int>"
+        got = {r.file_name: r for r in made.collect()}
+        assert images.png_pixels(bytes(got["a.png"].content)).tolist() == plain(4, 3, [(1, (-1, 0, 3, 2)), (4, (1, 1, 9, 9))]).tolist()
+        assert got["b.png"].error and not got["c.png"].error and not images.png_pixels(bytes(got["c.png"].content)).any()
+
+
 def test_a_failing_row_is_a_dead_letter(spark, tmp_path):
     def work(row):
         if row.n == 3:
@@ -187,6 +199,19 @@ def test_lines_off_a_box_are_not_tried(spark):
     assert [x.strip() for x in got.text.split("\n") if x] == [" ".join(f"w{i}_{j}" for j in range(10, 14)) for i in range(50, 53)]
 
 
+def test_one_box_for_all_pages_moves_no_words_outside(spark):
+    r = random.Random(3)
+    rows = [(p, i, None if j < 0 else j, *([None] * 5 if j < 0 else (f"w{i}_{j}", 10 * j, 10 * i, 10 * j + r.randrange(20), 10 * i + r.randrange(12)))) for p in "ab" for i in range(12) for j in (range(r.randrange(9)) or [-1])]
+    df = spark.createDataFrame(rows, "page string, line_no int, word_no int, text string, x0 int, y0 int, x1 int, y1 int").repartition(3)
+    for corners in ((10, 20, 55, 90), (0, 0, 999, 999), (500, 500, 600, 600)):
+        box = {k: F.lit(v) for k, v in zip(("x0", "y0", "x1", "y1"), corners, strict=True)}
+        want = ocr.nested_lines(df, ["page"]).select("page", ocr.box_text(F.col("lines"), box).alias("text"), ocr.words_in(F.col("lines"), box).alias("n"))
+        text, n = (dict(map(tuple, f(df, ["page"], box).collect())) for f in (ocr.texts_in_box, ocr.words_in_box))
+        assert {x.page: (x.text, x.n) for x in want.collect()} == {p: (text[p], n[p]) for p in text} and len(n) == 2
+    sent = [line for line in ocr.texts_in_box(df, ["page"], box)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "collect_list" in line]
+    assert sent and not any("x0" in line for line in sent)
+
+
 def test_a_small_table_of_long_rows_is_dealt_to_many_tasks(spark, tmp_path):
     """A file of a few bytes is one task by itself; its pages, which take a while each, are not."""
     from foliant.plans import scans
