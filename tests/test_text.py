@@ -86,3 +86,12 @@ def test_predicates(spark):
     df = spark.createDataFrame(rows, f"a {page}, b {page}")
     got = df.select(tx.same_page("a", "b"), tx.same_type("a", "b"), tx.is_type(tx.REFS, F.col("a.page_type"))).collect()
     assert [tuple(r) for r in got] == [(True, False, True), (False, True, True), (True, True, True)]
+
+
+def test_words_are_told_alike_for_every_character(spark):
+    """tokens() names the characters of words, most frequent first; TOKEN, which SQL uses, those between them."""
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    rows = spark.createDataFrame([("".join(letters[i : i + 4096]),) for i in range(0, len(letters), 4096)], "t string")
+    plain = F.regexp_extract_all("t", F.lit(tx.TOKEN), F.lit(0))
+    assert tx.WORD.startswith("[a-zA-Z0-9") and rows.where(tx.tokens(F.col("t")) != plain).count() == 0
+    assert rows.select(F.sum(F.size(plain))).first()[0] > 30
