@@ -21,6 +21,15 @@ def nested_lines(words: DataFrame, page: list[str]) -> DataFrame:
     return line.groupBy(*page).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "words", "y0", "y1"))), of_line).alias("lines"))
 
 
+def near(words: DataFrame, bounds: DataFrame) -> DataFrame:
+    """words without those that lie outside the bounds (one row: x0, y0, x1, y1) of all boxes that will be asked for: what is left of them is
+    their line. Only the lines' numbers and words that some box can hold move then; texts of such boxes stay what they are."""
+    bounds = F.broadcast(bounds.select(*[F.col(c).alias(f"__{c}") for c in ("x0", "y0", "x1", "y1")]))
+    there = F.coalesce(inside({c: F.col(c) for c in ("x0", "y0", "x1", "y1")}, {c: F.col(f"__{c}") for c in ("x0", "y0", "x1", "y1")}), F.lit(False))
+    own = ("word_no", "text", "x0", "y0", "x1", "y1")
+    return words.crossJoin(bounds).select(*[F.when(there, F.col(c)).alias(c) if c in own else F.col(c) for c in words.columns])
+
+
 def inside(word: Column, box: dict[str, Column]) -> Column:
     """Whether a word lies in a box, edges included."""
     return (box["x0"] <= word["x0"]) & (box["x1"] >= word["x1"]) & (box["y0"] <= word["y0"]) & (box["y1"] >= word["y1"])

@@ -212,6 +212,20 @@ def test_one_box_for_all_pages_moves_no_words_outside(spark):
     assert sent and not any("x0" in line for line in sent)
 
 
+def test_words_outside_all_boxes_are_lines_alone(spark):
+    rows = [(p, i, j, f"w{i}_{j}", 10 * j, 10 * i, 10 * j + 8, 10 * i + 8) for p in "ab" for i in range(20) for j in range(9)]
+    rows += [("a", 20, None, *[None] * 5)]
+    df = spark.createDataFrame(rows, "page string, line_no int, word_no int, text string, x0 int, y0 int, x1 int, y1 int")
+    bounds = spark.createDataFrame([(10, 30, 58, 98)], "x0 int, y0 int, x1 int, y1 int")
+    some = ocr.near(df, bounds)
+    assert some.columns == df.columns and some.where("text is not null").count() == 2 * 7 * 5
+    for corners in ((10, 30, 58, 98), (20, 41, 40, 70), (30, 90, 38, 98)):
+        box = {k: F.lit(v) for k, v in zip(("x0", "y0", "x1", "y1"), corners, strict=True)}
+        a, b = ({r.page: (r.t, r.n) for r in ocr.nested_lines(w, ["page"]).select("page", ocr.box_text(F.col("lines"), box).alias("t"), ocr.words_in(F.col("lines"), box).alias("n")).collect()} for w in (df, some))
+        assert a == b and a["a"][1] > 0
+    assert [len(r.lines) for r in ocr.nested_lines(some, ["page"]).orderBy("page").collect()] == [21, 20]
+
+
 def test_a_small_table_of_long_rows_is_dealt_to_many_tasks(spark, tmp_path):
     """A file of a few bytes is one task by itself; its pages, which take a while each, are not."""
     from foliant.plans import scans
