@@ -154,15 +154,17 @@ def write_results(messages: DataFrame, path: str, checkpoint: str, latency: floa
     """Start a query that appends each closed issue's result and its pages below path, with the batch roll-up's own code.
 
     Messages that come late or have an unknown state are written below path/unused. Progress counts issues, as `issues`.
+    What the last batch closed lies in path/_closed, which readers of folders pass over.
     """
 
     def write(rows: DataFrame, epoch: int) -> None:
-        rows = rows.persist()
+        # on disk, not cached: cached rows that an executor loses would have the sessions run again, and their issues counted again
+        rows.write.mode("overwrite").parquet(f"{path}/_closed")
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/_closed")
         rows.where(F.col("reason").isin(*UNUSED)).write.mode("overwrite").parquet(f"{path}/unused/epoch={epoch}")
         pages = rows.where(~F.col("reason").isin(*UNUSED))
         pages.write.mode("overwrite").parquet(f"{path}/pages/epoch={epoch}")
         results(pages.drop("reason")).write.mode("overwrite").parquet(f"{path}/results/epoch={epoch}")
-        rows.unpersist()
 
     used = ~F.col("reason").isin(*UNUSED)
     # an issue without any page gives no row and is not counted

@@ -133,3 +133,28 @@ def test_calls_of_the_state_store_do_not_grow_with_pages():
     got = list(session.handleInputRows(key, iter([row("a", "continue", 9001, 999), row("a", "finish", 9000, count=1000), row("a", "odd", 9002)]), None))
     assert [r.page_number for r in got] == [*range(1000), None] and [r.reason for r in got] == ["count"] * 1000 + ["late"]
     assert got[5].page_type == 2999 % 4 and [r.first for r in got[:3]] == [True, False, False]
+
+
+def test_sessions_run_once_though_cached_rows_are_lost(spark, tmp_path, monkeypatch):
+    """An executor that goes takes what it has cached along; sessions that run again for it count their issues again."""
+    from foliant.streaming import finisher
+
+    def after_loss(pages):
+        spark.catalog.clearCache()
+        return results(pages)
+
+    monkeypatch.setattr(finisher, "results", after_loss)
+    progress = Progress.of(spark)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        rows = [message("a", "continue", 0, 0, kind=1), message("a", "continue", 1, 1), message("a", "finish", 2, count=2), message("a", "odd", 3)]
+        spark.createDataFrame(rows, MESSAGE).coalesce(1).write.json(f"{tmp_path}/in")
+        query = start_once(spark.readStream.schema(MESSAGE).json(f"{tmp_path}/in"), str(tmp_path), 60.0)
+        assert query.awaitTermination(60)
+        progress.wait(query)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
+        spark.streams.removeListener(progress)
+    assert {r.issue_id: len(r.articles) for r in spark.read.parquet(f"{tmp_path}/out/results").collect()} == {"a": 1}
+    got = progress.totals()
+    assert (got["issues.n_issues"], got["issues.n_pages"], got["issues.n_unused"]) == (1, 2, 1)
