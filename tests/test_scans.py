@@ -3,6 +3,7 @@
 import gzip
 import json
 import random
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -62,6 +63,41 @@ def test_reading_stops_behind_the_last_page():
     assert list(hocr.parse([])) == []
 
 
+class Whole(hocr.HocrParser):
+    """All of it by HTMLParser."""
+
+    feed = HTMLParser.feed
+
+
+def test_plain_words_beside_the_whole_parser(monkeypatch):
+    r = random.Random(11)
+    word = "<span class='ocrx_word' title='bbox {n} 2 -3 44; x_wconf 9'>"
+    parts = [
+        "<div class='ocr_page' id='p' title='image &quot;x&quot;; bbox 0 0 1 1'>", '<div class="ocr_page">', "</div>", "<span class='ocr_line'>", "<p class='ocr_par x'\n  lang=\"eng\" >", "<SPAN CLASS=ocr_header >", "</span>", "</span >", "</p>",
+        word + "one</span>", word + "a&amp;b &lt;&#233; &copy </span>", word + "<strong>two</strong> three</span>", word + " </span>", word, "<span class=\"ocrx_word\" id='w' title=\"bbox 1 2 3 4\" lang='e'>é</span>",
+        "<span class='ocrx_word' title='bbox 1 2 3'>none</span>", "<span class='ocrx_word x' title='x bbox 1 2 3 4'>four</span>", "<span title='bbox 5 6 7 8' class='ocrx_word'>five</span>", "<span class='ocrx_word' title='bbox 1 2 3 4' title='no'>six</span>",
+        "<br/>", "<br>", "<img src='x'>", "<!-- <span class='ocr_line'> > -->", "<script>if (a > b) '<span class=\"ocr_line\">'</script>", "<meta name='ocr' />", "a < b > c", " & ", "&", "\n", "<?x?>", "<!DOCTYPE html>", "<em/>", "text",
+    ]
+    for k in range(400):
+        text = "".join(r.choice(parts).replace("{n}", str(r.randrange(99))) for _ in range(r.randrange(60)))
+        size = r.choice([1, 7, 50, 10**6])
+        want, got = Whole(), hocr.HocrParser()
+        want.feed(text)
+        for i in range(0, len(text), size):
+            got.feed(text[i : i + size])
+        want.close()
+        got.close()
+        assert got.take() == want.take(), (k, size, text)
+    seen, feed = [], HTMLParser.feed
+    monkeypatch.setattr(HTMLParser, "feed", lambda self, data: seen.append(len(data)) or feed(self, data))
+    text = body(*[page(["a&amp;b", "c"], []) for _ in range(500)]).decode()
+    parser = hocr.HocrParser()
+    for i in range(0, len(text), 5000):
+        parser.feed(text[i : i + 5000])
+    parser.close()
+    assert len(parser.take()) == 1500 and sum(seen) < len(text) / 10
+
+
 def test_named_files_come_all_or_none(spark, tmp_path):
     rows = spark.createDataFrame([(f"d{i % 3}/f{i}.txt", f"text {i}") for i in range(40)], "name string, content string").repartition(4)
     named_files.write(rows, f"file://{tmp_path}/out")
