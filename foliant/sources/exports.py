@@ -13,14 +13,20 @@ import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from foliant.sources.stores import listed, store
 
 ITEM = "file string, list string, n long, item string"
+_ARROW = pa.schema([("file", pa.string()), ("list", pa.string()), ("n", pa.int64()), ("item", pa.string())])
 #: Bytes that are read at a time at first; while an item does not fit, twice as many each time.
 CHUNK = 1 << 16
+#: Bytes of files that share a partition, and what a file counts at least, since to open one takes a while too.
+PACKED, OPENED = 16 << 20, 64 << 10
+#: Rows of a batch, and bytes of its items.
+BATCH, BATCH_BYTES = 8192, 8 << 20
 _SPACE = " \t\n\r"
 
 
@@ -109,8 +115,24 @@ def pieces(path: str, base: str) -> Iterator[str]:
 
 
 @dataclass
-class File(InputPartition):
-    path: str
+class Files(InputPartition):
+    paths: list[str]
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[3])
+        if len(held) == BATCH or size >= BATCH_BYTES:
+            yield _batch(held)
+            held, size = [], 0
+    if held:
+        yield _batch(held)
 
 
 class ItemsReader(DataSourceReader):
@@ -125,14 +147,20 @@ class ItemsReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[InputPartition]:
-        return [File(f.path) for f in listed(self.path) if f.path.endswith((".json", ".json.gz"))] or [File("")]
-
-    def read(self, partition: File) -> Iterator[tuple]:
-        if partition.path:
-            file = partition.path.rsplit("/", 1)[-1]
-            for name, n, raw in items(pieces(partition.path, self.path), self.lists):
-                yield file, name, n, raw
+    def partitions(self) -> list[Files]:
+        packs, room = [Files([])], PACKED
+        for f in listed(self.path):
+            if f.path.endswith((".json", ".json.gz")):
+                size = max(f.size or 0, OPENED)
+                if size > room and packs[-1].paths:
+                    packs.append(Files([]))
+                    room = PACKED
+                packs[-1].paths.append(f.path)
+                room -= size
+        return packs
+
+    def read(self, partition: Files) -> Iterator[pa.RecordBatch]:
+        return _batches((path.rsplit("/", 1)[-1], *item) for path in partition.paths for item in items(pieces(path, self.path), self.lists))
 
 
 class JsonItems(DataSource):

@@ -138,6 +138,14 @@ def test_exports_as_tasks(spark, tmp_path):
     assert readers.coco_items(spark, str(tmp_path), "annotations").where("item.id > 3").count() == 8
 
 
+def test_small_exports_share_a_partition(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"t{i}.json").write_text(json.dumps({"images": [{"id": i}], "annotations": []}))
+    rows = readers.coco_items(spark, str(tmp_path), "images")
+    assert rows.rdd.getNumPartitions() <= 3
+    assert sorted((r.task, r.n, r.item.id) for r in rows.collect()) == sorted((f"t{i}", 0, i) for i in range(300))
+
+
 def test_masks(spark, tmp_path):
     stroke = "array<struct<label:int,x:int,y:int,w:int,h:int>>"
     pages = spark.createDataFrame([("a.png", 4, 3, [(1, -1, 0, 3, 2), (4, 1, 1, 9, 9)]), ("b.png", 2, 2, None), ("c.png", None, 1, [])], f"file_name string, width int, height int, strokes {stroke}")
